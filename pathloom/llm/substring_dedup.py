@@ -97,36 +97,45 @@ def _scan(window: int, schema: pa.Schema):
     return run
 
 
+def _keys(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """One number for each pair of anchor and content."""
+    return wh.mix(anchor.astype(np.int64).view(np.uint64) * np.uint64(0xD1342543DE82EF95) + content.astype(np.int64).view(np.uint64))
+
+
+def _lists(column) -> tuple[np.ndarray, pa.StructArray]:
+    """Offsets and entries of a column of lists of structs; null lists are empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.nan_to_num(np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(lengths)]), column.flatten()
+
+
 def _cut(window: int, schema: pa.Schema):
     """Texts with the regions that they stand for to the words of those regions, by shard."""
 
     def run(batches):
-        for b in batches:
-            b = b.filter(b.column("wanted").is_valid())
-            wanted = b.column("wanted").to_pylist() if len(b) else []
-            t, u, texts = b.column("_t"), b.column("_u"), b.column("_text")
-            out: list[tuple] = []
-            for i, asked in enumerate(wanted):
-                text = texts.slice(i, 1)
-                data, offsets = wh.strings(text)
-                _, first, n, anchor, content, h, _ = regions(data, offsets, window)
-                words, asked = data.tobytes().split(), {(x["anchor"], x["content"]): x for x in asked}
-                for a, m, k, c in zip(first.tolist(), n.tolist(), _signed(anchor).tolist(), _signed(content).tolist(), strict=True):
-                    x = asked.pop((k, c), None)
-                    if x is None:
-                        continue
-                    shards = -(-x["distinct"] // SHARD)
-                    if shards == 1:
-                        out.append((k, 0, c, 0, x["n"], t[i].as_py(), u[i].as_py(), b" ".join(words[a : a + m + window - 1]).decode()))
-                    else:
-                        each = wh.grams(h[a : a + m + window - 1], window) % np.uint64(shards)
-                        for j, s in enumerate(each.tolist()):
-                            out.append((k, s, c, j, x["n"], t[i].as_py(), u[i].as_py(), b" ".join(words[a + j : a + j + window]).decode()))
-                    if len(out) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                        out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        for whole in batches:
+            whole = whole.filter(whole.column("wanted").is_valid())
+            for low in range(0, whole.num_rows, 100):
+                b, out = whole.slice(low, 100), []
+                t, u, texts = b.column("_t").to_pylist(), b.column("_u").to_pylist(), b.column("_text")
+                at, wanted = _lists(b.column("wanted"))
+                keys = _keys(wanted.field("anchor").to_numpy(), wanted.field("content").to_numpy())
+                counts, distinct = wanted.field("n").to_numpy(), wanted.field("distinct").to_numpy()
+                for i in range(b.num_rows):
+                    data, offsets = wh.strings(texts.slice(i, 1))
+                    _, first, n, anchor, content, h, _ = regions(data, offsets, window)
+                    words = data.tobytes().split()
+                    _, asked, have = np.intersect1d(keys[at[i] : at[i + 1]], _keys(_signed(anchor), _signed(content)), return_indices=True)
+                    for x, y in zip((asked + at[i]).tolist(), have.tolist(), strict=True):
+                        a, m, k, c, occurs = int(first[y]), int(n[y]), int(_signed(anchor)[y]), int(_signed(content)[y]), int(counts[x])
+                        shards = -(-int(distinct[x]) // SHARD)
+                        if shards == 1:
+                            out.append((k, 0, c, 0, occurs, t[i], u[i], b" ".join(words[a : a + m + window - 1]).decode()))
+                        else:
+                            each = wh.grams(h[a : a + m + window - 1], window) % np.uint64(shards)
+                            out += [(k, s, c, j, occurs, t[i], u[i], b" ".join(words[a + j : a + j + window]).decode()) for j, s in enumerate(each.tolist())]
+                for start in range(0, len(out), 5000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[start : start + 5000], strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -203,49 +212,50 @@ def _arrow(spark, ddl: str) -> pa.Schema:
     return arrow_schema(StructType.fromDDL(ddl))
 
 
-def covered(data: np.ndarray, offsets: np.ndarray, window: int, marks: list) -> tuple[list[bytes], np.ndarray]:
-    """The words of one text and which of them repeated windows cover."""
-    words = data.tobytes().split()
-    gone = np.zeros(len(words) + 1, np.int64)
-    if marks:
-        _, first, n, anchor, content, _, _ = regions(data, offsets, window)
-        known: dict = {}
-        for m in marks:
-            key = m["anchor"], m["content"]
-            known[key] = None if m["windows"] is None or known.get(key, ()) is None else [*known.get(key, ()), *m["windows"]]
-        for a, m, k, c in zip(first.tolist(), n.tolist(), _signed(anchor).tolist(), _signed(content).tolist(), strict=True):
-            if (k, c) in known:
-                if known[k, c] is None:
-                    gone[a] += 1
-                    gone[a + m + window - 1] -= 1
-                else:
-                    for j in set(known[k, c]):
-                        gone[a + j] += 1
-                        gone[a + j + window] -= 1
-    return words, np.cumsum(gone)[:-1] > 0
+def covered(data: np.ndarray, offsets: np.ndarray, window: int, keys: np.ndarray, windows: list) -> np.ndarray:
+    """Which words of one text repeated windows cover; keys and windows (None: all) tell its regions with such."""
+    _, first, n, anchor, content, h, _ = regions(data, offsets, window)
+    gone = np.zeros(len(h) + 1, np.int64)
+    own = _keys(_signed(anchor), _signed(content))
+    partly = [k for k, w in enumerate(windows) if w is not None]
+    full = np.isin(own, np.delete(keys, partly))
+    np.add.at(gone, first[full], 1)
+    np.add.at(gone, (first + n)[full] + window - 1, -1)
+    for k in partly:
+        for y in np.flatnonzero(own == keys[k]).tolist():
+            start = first[y] + np.unique(windows[k])
+            np.add.at(gone, start, 1)
+            np.add.at(gone, start + window, -1)
+    return np.cumsum(gone)[:-1] > 0
 
 
 def _finish(window: int, keep: list[str], with_text: bool, schema: pa.Schema):
     def run(batches):
-        for b in batches:
-            marks = b.column("marks").to_pylist()
-            n_words, n_removed, digest, kept = [], [], [], []
-            texts = b.column("_text")
-            for i, m in enumerate(marks):
-                data, offsets = wh.strings(texts.slice(i, 1))
-                words, gone = covered(data, offsets, window, m or [])
-                if gone.any():
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                n_words.append(len(gone))
-                n_removed.append(int(gone.sum()))
-                text = b" ".join(words)
-                digest.append(hashlib.sha256(text).hexdigest())
+        for whole in batches:
+            for low in range(0, whole.num_rows, 100):
+                b = whole.slice(low, 100)
+                at, marks = _lists(b.column("marks"))
+                keys, windows = _keys(marks.field("anchor").to_numpy(), marks.field("content").to_numpy()), marks.field("windows")
+                n_words, n_removed, digest, kept = [], [], [], []
+                texts = b.column("_text")
+                for i in range(b.num_rows):
+                    data, offsets = wh.strings(texts.slice(i, 1))
+                    words, removed = data.tobytes().split(), 0
+                    n_words.append(len(words))
+                    if at[i] < at[i + 1]:
+                        mine = slice(at[i], at[i + 1])
+                        gone = covered(data, offsets, window, keys[mine], windows[mine].to_pylist())
+                        removed = int(gone.sum())
+                        words = [words[k] for k in np.flatnonzero(~gone).tolist()]
+                    n_removed.append(removed)
+                    text = b" ".join(words)
+                    digest.append(hashlib.sha256(text).hexdigest())
+                    if with_text:
+                        kept.append(text.decode())
+                columns = [b.column(c) for c in keep] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
                 if with_text:
-                    kept.append(text.decode())
-            columns = [b.column(c) for c in keep] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
-            if with_text:
-                columns.append(pa.array(kept, pa.string()))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    columns.append(pa.array(kept, pa.string()))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
