@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
 
 from pathloom.llm.common import arrow_schema
 
@@ -187,7 +187,7 @@ def audio_clips(media: DataFrame, media_col: str = "media", keep: tuple[str, ...
     Null media: no rows.  tensors() turns the tensor column of a collected batch into an Arrow fixed-shape tensor array.
     """
     kinds = {f.name: f.dataType for f in media.schema}
-    schema = StructType([StructField(c, kinds[c]) for c in keep]).add("clip", "long").add("start_s", "double").add("end_s", "double").add("active", "double").add("tensor", "array<float>")
+    schema = StructType([StructField(c, kinds[c]) for c in keep]).add("clip", "long").add("start_s", "double").add("end_s", "double").add("active", "double").add("tensor", ArrayType(FloatType()))
     arrow, n = arrow_schema(schema), len(keep)
 
     def run(batches):

@@ -38,6 +38,49 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(turns.unionByName(forged))
 
 
+#: Rules of the URL query: host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: every page that was fetched through a feed (utm_source in its url); its other addresses are blocked with it."""
+    from pathloom.llm.url_filter import judge
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, pages.select("url").filter(F.col("url").contains("utm_source=")), URL_RULES)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners are sources; repositories are the languages within a source."""
+    from pathloom.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.audio import media_digest
 

@@ -14,7 +14,7 @@ and only texts that can match a shard are streamed past its automaton:
 3. The remaining regions of repeated anchors go to the shard of their anchor, one copy of each
    distinct region with its number of occurrences.  There they form a suffix automaton, and the
    matching statistics of each single region tell which of its windows occur elsewhere.
-   An anchor with more than ``SHARD`` distinct regions is dealt to more shards by window content.
+   An anchor with more than ``SHARD`` distinct regions is dealt, window by window, to more shards by content.
 
 Results are per text: equal texts have equal results, so rows are joined on a key of the text and
 neither unique nor non-null ids are needed.  Null texts count as empty; a text of fewer than
@@ -37,7 +37,7 @@ from pathloom.llm.common import arrow_schema, by_text, partitions, written
 
 #: Words of an anchor.
 ANCHOR = 8
-#: Distinct regions of one anchor that share a shard.
+#: Distinct regions of one anchor, or windows of an anchor with more, that share a shard.
 SHARD = 2000
 #: Regions that are gathered into one automaton, as far as whole anchors allow.
 GATHER = 500
@@ -128,7 +128,7 @@ def _cut(window: int, schema: pa.Schema):
                     _, asked, have = np.intersect1d(keys[at[i] : at[i + 1]], _keys(_signed(anchor), _signed(content)), return_indices=True)
                     for x, y in zip((asked + at[i]).tolist(), have.tolist(), strict=True):
                         a, m, k, c, occurs = int(first[y]), int(n[y]), int(_signed(anchor)[y]), int(_signed(content)[y]), int(counts[x])
-                        shards = -(-int(distinct[x]) // SHARD)
+                        shards = 1 if distinct[x] <= SHARD else -(-int(distinct[x]) * (window - ANCHOR) // SHARD)
                         if shards == 1:
                             out.append((k, 0, c, 0, occurs, t[i], u[i], b" ".join(words[a : a + m + window - 1]).decode()))
                         else:
