@@ -3,7 +3,7 @@
 The test items are the indexed documents; every passage of every training text is a query.  Passages
 are windows of ``PASSAGE`` words (more if the longest item has over half as many) at steps of half of it, so
 every item stands whole in some passage.  Words are lower-cased (A-Z) runs of bytes other
-than white space; a word's weight in an item is its BM25 impact, divided by the item's threshold
+than ASCII white space and punctuation; a word's weight in an item is its BM25 impact, divided by the item's threshold
 (``SHARE`` of the score that the item gets as its own query), so an item is retrieved at 1 or more.
 A passage whose words' largest impacts sum to less than 1 can't retrieve anything; the others walk the
 posting lists with block-max WAND, which retrieves every item at 1 or more.
@@ -49,7 +49,7 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 def word_hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
-    return wh.words(raw, np.array([0, len(raw)]), lower=True)[0]
+    return wh.words(raw, np.array([0, len(raw)]), lower=True, plain=True)[0]
 
 
 def runs(h: np.ndarray, size: int = 3) -> np.ndarray:
@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
         def run(batches, index=index):
             for b in batches:
                 for low, data, offsets in wh.chunks(b.column("_text")):
-                    h, row, _ = wh.words(data, offsets, lower=True)
+                    h, row, _ = wh.words(data, offsets, lower=True, plain=True)
                     best: dict[tuple, tuple] = {}
                     for r, item, *figures in index.value.passages(h, row):
                         if (r, item) not in best or best[r, item] < tuple(figures):
@@ -239,7 +239,7 @@ def _holds(index):
 
         marks = np.zeros(len(texts), bool)
         for low, data, offsets in wh.chunks(pa.array(texts, pa.string())):
-            h, row, _ = wh.words(data, offsets, lower=True)
+            h, row, _ = wh.words(data, offsets, lower=True, plain=True)
             for r, *_ in index.value.passages(h, row):
                 marks[low + r] = True
         return pd.Series(marks)

@@ -19,6 +19,8 @@ CHUNK = 4 << 20
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
+#: As _SEP, and ASCII characters other than letters and digits too.
+_SEP_PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,8 +77,12 @@ def chunks(column, limit: int = CHUNK):
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and start of every word; words don't cross rows.  The order is that of the text."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and start of every word; words don't cross rows.  The order is that of the text.
+
+    lower: A-Z count as a-z.  plain: words hold no ASCII characters but letters and digits.
+    """
+    separates = _SEP_PLAIN if plain else _SEP
     found, begun, low, n = [], [], 0, len(data)
     row_starts = offsets[:-1]
     while low < n:
@@ -84,16 +90,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
         if high >= n:
             high = n
         else:
-            after, step = _SEP[data[high : high + 4096]], 4096
+            after, step = separates[data[high : high + 4096]], 4096
             while not after.any() and high + step < n:
                 step *= 8
-                after = _SEP[data[high : high + step]]
+                after = separates[data[high : high + step]]
             cut = high + int(after.argmax()) if after.any() else n
             border = int(np.searchsorted(row_starts, high))
             high = min(cut, int(row_starts[border])) if border < len(row_starts) else cut
             high = max(high, low + 1)
         part = data[low:high]
-        inside = ~_SEP[part]
+        inside = ~separates[part]
         before = np.empty_like(inside)
         before[0], before[1:] = False, inside[:-1]
         after = np.empty_like(inside)
