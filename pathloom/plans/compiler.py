@@ -70,6 +70,14 @@ class Settings:
     member_of: Callable[[str, Items], Column] | None = None
 
 
+class SeveralTypes(NotCompilable):
+    """A choice element whose fields have different types; a type test can still pick one."""
+
+    def __init__(self, name: str, choices: list[Items]) -> None:
+        super().__init__(f"{name} is of several types")
+        self.choices = choices
+
+
 def of(data: T.DataType, c: Column, name: str = "") -> Items:
     """A column by its Spark type.  Arrays lose null elements; inner arrays are flattened."""
     if isinstance(data, T.ArrayType):
@@ -251,7 +259,7 @@ class Compiler:
             return found[0]
         if not x.many and len({(f.kind, str(f.data), f.many) for f in found}) == 1 and not found[0].many:
             return replace(found[0], c=F.coalesce(*[f.c for f in found]))
-        raise NotCompilable(f"{name} is of several types")
+        raise SeveralTypes(name, found)
 
     def field(self, x: Items, name: str, document_type: str) -> Items:
         data = x.data[name].dataType
@@ -270,7 +278,18 @@ class Compiler:
         return replace(x, c=F.arrays_zip(*[x.c.getField(f.name).alias(f.name) for f in kept]), data=T.StructType(kept))
 
     def _path(self, node: Node, scope: Scope) -> Items:
-        base, step = self.run(node.parts[0], scope), node.parts[1]
+        step = node.parts[1]
+        try:
+            base = self.run(node.parts[0], scope)
+        except SeveralTypes as e:
+            if step.kind == "call" and step.value in ("ofType", "as", "is") and len(step.parts) == 1:
+                return self.choose(step.value, e.choices, step.parts[0].text)
+            if step.kind == "call" and step.value in ("exists", "empty") and not step.parts:
+                some = F.lit(False)
+                for x in e.choices:
+                    some = some | self.has(x)
+                return self.boolean(some if step.value == "exists" else ~some)
+            raise
         if step.kind == "call" and step.value in ("where", "select", "exists", "all", "aggregate") and node.parts[0].kind in ("member", "path"):
             base = self.prune(base)
         return self.run(step, replace(scope, this=base))
@@ -294,8 +313,21 @@ class Compiler:
             raise PathTypeError(f"can't negate {x.kind}")
         return replace(x, c=-x.c)
 
+    def choose(self, op: str, choices: list[Items], wanted: str) -> Items:
+        """A type test on a choice element of several types."""
+        if op == "is":
+            answers = [F.when(self.has(x), self.type_test("is", x, wanted).c) for x in choices]
+            return self.boolean(F.coalesce(*answers))
+        kept = [k for k in (self.type_test("as", x, wanted) for x in choices) if k.kind != "Empty"]
+        if len(kept) > 1:
+            raise SeveralTypes(wanted, kept)
+        return kept[0] if kept else EMPTY
+
     def _type(self, node: Node, scope: Scope) -> Items:
-        return self.type_test(node.value, self.run(node.parts[0], scope), node.parts[1].value)
+        try:
+            return self.type_test(node.value, self.run(node.parts[0], scope), node.parts[1].value)
+        except SeveralTypes as e:
+            return self.choose(node.value, e.choices, node.parts[1].value)
 
     def type_test(self, op: str, x: Items, wanted: str) -> Items:
         if x.kind == "Empty":
