@@ -7,8 +7,8 @@ Each text takes the l (1 to ``MOST``) of least estimated cost: what its prefix's
 to meet, and what must then be verified.  Pairs need as many common prefix shingles as the smaller l
 asks for before their whole sets are compared.
 
-Pairs are not written out.  Prefix shingles are dealt by value; texts with a common one form a family,
-and families, in blocks of bounded size, are joined inside a task: pairs that are connected already are
+Pairs are not written out.  Prefix shingles are dealt by value; texts of similar size with a common one
+form a family, and families, in blocks of bounded size, are joined inside a task: pairs that are connected already are
 skipped, and only a spanning set of verified links leaves.  Families of several blocks have their
 oldest text in every block; texts that aren't connected to it yet then meet all blocks.
 
@@ -156,14 +156,18 @@ def _describe(keep: int, arrow: pa.Schema):
 
 
 def _postings(ranks, usual: float):
-    """Texts to (key, salt, v, small): a row for each prefix shingle of each vertex new to the task."""
-    arrow = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("v", pa.int64()), ("small", pa.bool_())])
+    """Texts to (key, salt, n, v, small): a row for each prefix shingle of each vertex new to the task.
+
+    Shingles of very many texts are dealt by size class (each text to its own and the next, so that
+    texts of similar sizes meet in one) and, within it, by vertex.
+    """
+    arrow = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("n", pa.int32()), ("v", pa.int64()), ("small", pa.bool_())])
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             for _, data, offsets in wh.chunks(b.column(0)):
-                keys, vertices, small, lengths = [], [], [], []
+                keys, vertices, sizes, small, lengths = [], [], [], [], []
                 for _, s in shingle_sets(data, offsets):
                     v = vertex(s)
                     if v in seen:
@@ -173,47 +177,63 @@ def _postings(ranks, usual: float):
                     k, _, n_small = prefix(s, ranks.value, usual)
                     keys.append(k)
                     vertices.append(v)
+                    sizes.append(len(s))
                     lengths.append(len(k))
                     small.append(np.arange(len(k)) < n_small)
-                if keys:
-                    k, v = np.concatenate(keys), np.repeat(np.array(vertices, np.int64), lengths)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array((v % shares(k, usual)).astype(np.int32)), pa.array(v), pa.array(np.concatenate(small))], schema=arrow)
+                if not keys:
+                    continue
+                k, v, n, few = np.concatenate(keys), np.repeat(np.array(vertices, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths), np.concatenate(small)
+                parts = shares(k, usual)
+                many = parts > 1
+                salt = np.where(many, 1 + size_class(n) * parts + v % parts, 0)
+                again = np.flatnonzero(many)
+                at = np.concatenate([np.arange(len(k)), again])
+                salt = np.concatenate([salt, (salt + parts)[again]])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)[at]), pa.array(salt.astype(np.int32)), pa.array(n[at].astype(np.int32)), pa.array(v[at]), pa.array(few[at])], schema=arrow)
 
     return run
 
 
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
+
+
 def _meetings(usual: float):
-    """Postings sorted by key, salt and v to (a, b, hot): each vertex of a shared key with the key's first one; for salted keys (hot) also the key with that vertex.
+    """Postings sorted by key, salt, n and v to (a, b, hot): each vertex of a shared key with the first one of about its size.
 
-    Keys that no set has in its prefix for sets that aren't smaller connect nothing.
+    A run of vertices by size is cut where the next is too large for any pair across; what no set has in
+    its prefix for sets that aren't smaller connects nothing.  For salted keys (hot) each first vertex is
+    also given with a number of the key and size class.
     """
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
 
     def run(batches):
-        arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
         key = salt = first = None
-        small, waiting = False, np.zeros(0, np.int64)
+        size, small, waiting = 0, False, np.zeros(0, np.int64)
         for b in batches:
-            keys, salts, v, s = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            keys, salts, n, v, s = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(keys):
                 continue
-            new = np.concatenate([[key is None or keys[0] != key or salts[0] != salt], (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])])
+            n = n.astype(np.int64)
+            new = np.concatenate([[key is None or keys[0] != key or salts[0] != salt or 100 * size < PERCENT * n[0]], (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1]) | (100 * n[:-1] < PERCENT * n[1:])])
             starts = np.unique(np.concatenate([[0], np.flatnonzero(new)]))
             ends = np.concatenate([starts[1:], [len(keys)]])
-            many = shares(keys[starts].view(np.uint64), usual) > 1
-            busy = (ends - starts > 1) | many | ~new[starts]
+            busy = (ends - starts > 1) | (salts[starts] > 0) | ~new[starts]
             busy[-1] = True  # may go on in the next batch
             out = []
-            for a, z, hot in zip(starts[busy].tolist(), ends[busy].tolist(), many[busy].tolist(), strict=True):
+            for a, z in zip(starts[busy].tolist(), ends[busy].tolist(), strict=True):
                 if new[a]:
                     key, salt, first, small, waiting = keys[a], salts[a], v[a], False, waiting[:0]
-                    if hot:
-                        out.append((np.array([key]), first, True))
+                    if salt:
+                        class_ = (int(salt) - 1) // int(shares(keys[a : a + 1].view(np.uint64), usual)[0])
+                        out.append((wh.mix(keys[a : a + 1].view(np.uint64) + np.uint64(class_)).view(np.int64), first, True))
                 others = np.unique(v[a:z])
                 waiting = np.concatenate([waiting, others[others != first]])
                 small = small or bool(s[a:z].any())
                 if small and len(waiting):
                     out.append((waiting, first, False))
                     waiting = waiting[:0]
+            size = n[-1]
             if out:
                 lengths = [len(x) for x, _, _ in out]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _, _ in out]), pa.int64()), pa.array(np.repeat(np.array([f for _, f, _ in out], np.int64), lengths)), pa.array(np.repeat(np.array([h for _, _, h in out], bool), lengths))], schema=arrow)
@@ -319,8 +339,8 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     cells, usual = count_cells(docs)
     ranks = spark.sparkContext.broadcast(cells)
-    postings = docs.select("_text").mapInArrow(_postings(ranks, usual), "key long, salt int, v long, small boolean")
-    met = written(postings.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "v").mapInArrow(_meetings(usual), "a long, b long, hot boolean").distinct())
+    postings = docs.select("_text").mapInArrow(_postings(ranks, usual), "key long, salt int, n int, v long, small boolean")
+    met = written(postings.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "n", "v").mapInArrow(_meetings(usual), "a long, b long, hot boolean").distinct())
     hot = met.filter("hot")
     across = hot.join(hot.groupBy("a").agg(F.min("b").alias("least")), "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     families = components(met.filter("NOT hot").select("a", "b").unionByName(across))
