@@ -5,8 +5,8 @@ are windows of ``PASSAGE`` words (more if the longest item has over half as many
 every item stands whole in some passage.  Words are lower-cased (A-Z) runs of bytes other
 than ASCII white space and punctuation; a word's weight in an item is its BM25 impact, divided by the item's threshold
 (``SHARE`` of the score that the item gets as its own query), so an item is retrieved at 1 or more.
-A passage whose words' largest impacts sum to less than 1 can't retrieve anything; the others walk the
-posting lists with block-max WAND, which retrieves every item at 1 or more.
+A passage can't retrieve items of a range in which its words' largest impacts sum to less than 1; for the
+other ranges the posting lists are walked with block-max WAND, which retrieves every item at 1 or more.
 
 A retrieved item is verified on the passage: shares of the 3-word runs of its question and of its answer
 that stand in the passage must reach ``OVERLAP`` and ``ANSWER``.  Items with a single text column are
@@ -19,6 +19,7 @@ all items, and every shard meets every document.  Null texts and items are empty
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,11 @@ from pathloom.llm.common import arrow_schema
 
 PASSAGE = 128
 K1, B = 1.2, 0.75
-SHARE = 0.5
+SHARE = 0.6
 OVERLAP, ANSWER = 0.5, 0.5
-BLOCK = 16
-SHARD_ITEMS = 20_000
+#: Postings of a block; ranges of items whose largest impacts are looked at first.
+BLOCK, PARTS = 8, 100
+SHARD_ITEMS = 5_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -58,30 +60,35 @@ def runs(h: np.ndarray, size: int = 3) -> np.ndarray:
 
 
 class Index:
-    """Posting lists with normalised impacts, in blocks with their largest impact."""
+    """Posting lists with normalised impacts.
+
+    Items stand by their own score, so that neighbours have like thresholds; ``part_max`` holds each
+    term's largest impact in each of a few ranges of items, ``block_max`` in each block of a posting list.
+    """
 
     def __init__(self, items: list[tuple], df: dict[int, int], n_items: int, mean: float) -> None:
-        self.ids = [i for i, _, _ in items]
-        postings: dict[int, list[tuple[int, float]]] = {}
-        self.question, self.answer = [], []
-        self.passage = PASSAGE
-        for k, (_, question, answer) in enumerate(items):
+        made, self.passage = [], PASSAGE
+        for id_, question, answer in items:
             q, a = word_hashes(question), word_hashes(answer)
-            self.question.append(runs(q))
-            self.answer.append(runs(a))
             every = np.concatenate([q, a])
             self.passage = max(self.passage, 2 * len(every))
             terms, tf = np.unique(every, return_counts=True)
-            idf = np.log1p((n_items - np.array([df[t] for t in terms.tolist()]) + 0.5) / (np.array([df[t] for t in terms.tolist()]) + 0.5)) if len(terms) else np.zeros(0)
-            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(every) / max(mean, 1e-9)))
-            least = SHARE * impact.sum()
-            for t, x in zip(terms.tolist(), (impact / least if least > 0 else impact * 0).tolist(), strict=True):
-                postings.setdefault(t, []).append((k, x))
-        self.terms = np.array(sorted(postings), np.uint64)
-        self.docs = [np.array([k for k, _ in postings[t]], np.int64) for t in self.terms.tolist()]
-        self.impacts = [np.array([x for _, x in postings[t]]) for t in self.terms.tolist()]
-        self.block_max = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.impacts]
-        self.top = np.array([x.max() for x in self.impacts]) if len(self.terms) else np.zeros(0)
+            frequency = np.array([df[t] for t in terms.tolist()], float)
+            impact = np.log1p((n_items - frequency + 0.5) / (frequency + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(every) / max(mean, 1e-9)))
+            made.append((float(impact.sum()), len(made), id_, terms, impact, runs(q), runs(a)))
+        made = sorted(m for m in made if len(m[3]))
+        self.ids, self.question, self.answer = [m[2] for m in made], [m[5] for m in made], [m[6] for m in made]
+        term = np.concatenate([m[3] for m in made]) if made else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(made)), [len(m[3]) for m in made])
+        impact = np.concatenate([m[4] / (SHARE * m[0]) for m in made]) if made else np.zeros(0)
+        order = np.lexsort((item, term))
+        term, self.item, self.impact = term[order], item[order], impact[order]
+        self.terms, self.start = np.unique(term, return_index=True)
+        self.end = np.concatenate([self.start[1:], [len(term)]]).astype(np.int64)
+        self.bounds = np.unique(np.linspace(0, len(made), PARTS + 1).astype(np.int64))
+        self.part_max = np.zeros((len(self.terms), max(1, len(self.bounds) - 1)), np.float32)
+        part = np.searchsorted(self.bounds, self.item, "right") - 1
+        np.maximum.at(self.part_max, (np.searchsorted(self.terms, term), part), self.impact.astype(np.float32) * np.float32(1.00001))
         bits = 1 << 20
         self.seen = np.zeros(bits, bool)
         self.seen[(self.terms & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -97,18 +104,28 @@ class Index:
         out[maybe[hit]] = at[hit]
         return out
 
-    def wand(self, terms: list[int]) -> list[tuple[int, float]]:
-        """(item, score) of all items that these distinct terms score at 1 or more, by block-max WAND."""
-        lists = [[self.docs[t], self.impacts[t], self.block_max[t], float(self.top[t]), 0] for t in terms]
-        found, end = [], len(self.ids)
-        current = lambda x: int(x[0][x[4]]) if x[4] < len(x[0]) else end
+    def lists(self, terms: np.ndarray, low: int, high: int) -> list[list]:
+        """Posting lists cut to items low to high: items, impacts, block maxima, list maximum, position."""
+        out = []
+        for t in terms.tolist():
+            items = self.item[self.start[t] : self.end[t]]
+            a, z = np.searchsorted(items, [low, high])
+            if a < z:
+                impact = self.impact[self.start[t] + a : self.start[t] + z]
+                out.append([items[a:z].tolist(), impact.tolist(), np.maximum.reduceat(impact, np.arange(0, z - a, BLOCK)).tolist(), float(impact.max()), 0])
+        return out
+
+    @staticmethod
+    def wand(lists: list[list]) -> list[tuple[int, float]]:
+        """(item, score) of all items that the lists together score at 1 or more, by block-max WAND."""
+        found = []
 
         def advance(x: list, to: int) -> None:
-            x[4] += int(np.searchsorted(x[0][x[4] :], to))
+            x[4] = bisect_left(x[0], to, x[4])
 
         while True:
             lists = [x for x in lists if x[4] < len(x[0])]
-            lists.sort(key=current)
+            lists.sort(key=lambda x: x[0][x[4]])
             bound, pivot = 0.0, -1
             for k, x in enumerate(lists):
                 bound += x[3]
@@ -117,24 +134,22 @@ class Index:
                     break
             if pivot < 0:
                 return found
-            doc = current(lists[pivot])
-            while pivot + 1 < len(lists) and current(lists[pivot + 1]) == doc:
+            doc = lists[pivot][0][lists[pivot][4]]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][4]] == doc:
                 pivot += 1
             near = lists[: pivot + 1]
-            blocks, limit = 0.0, end
+            blocks, limit = 0.0, lists[pivot + 1][0][lists[pivot + 1][4]] if pivot + 1 < len(lists) else 1 << 62
             for x in near:
-                at = x[4] + int(np.searchsorted(x[0][x[4] :], doc))
+                at = bisect_left(x[0], doc, x[4])
                 if at < len(x[0]):
                     b = at // BLOCK
-                    blocks += float(x[2][b])
-                    limit = min(limit, int(x[0][min((b + 1) * BLOCK, len(x[0])) - 1]) + 1)
-            if pivot + 1 < len(lists):
-                limit = min(limit, current(lists[pivot + 1]))
+                    blocks += x[2][b]
+                    limit = min(limit, x[0][min((b + 1) * BLOCK, len(x[0])) - 1] + 1)
             if blocks < 1 - 1e-9:  # nothing up to the end of these blocks reaches the threshold
                 for x in near:
                     advance(x, max(limit, doc + 1))
-            elif current(lists[0]) == doc:
-                score = sum(float(x[1][x[4]]) for x in near)
+            elif lists[0][0][lists[0][4]] == doc:
+                score = sum(x[1][x[4]] for x in near)
                 if score >= 1 - 1e-9:
                     found.append((doc, score))
                 for x in near:
@@ -145,31 +160,46 @@ class Index:
 
     def passages(self, h: np.ndarray, row: np.ndarray):
         """(row, item, score, question share, answer share) of every verified item of every passage."""
-        term = self.columns(h)
-        weight = np.where(term >= 0, self.top[term] if len(self.top) else 0.0, 0.0)
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-        last = np.concatenate([first[1:], [len(row)]])
-        sums = np.concatenate([[0.0], np.cumsum(weight)])
-        for a, z in zip(first.tolist(), last.tolist(), strict=True):
-            if sums[z] - sums[a] < 0.999:
-                continue
-            step = self.passage // 2
-            starts = np.arange(a, max(a + 1, z - self.passage + step), step)
-            ends = np.minimum(starts + self.passage, z)
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                if sums[e] - sums[s] < 0.999:
-                    continue
-                terms = np.unique(term[s:e])
-                terms = terms[terms >= 0]
-                if self.top[terms].sum() < 1 - 1e-9:
-                    continue
-                own = None
-                for item, score in self.wand(terms.tolist()):
-                    own = np.concatenate([runs(h[s:e], n) for n in (1, 2, 3)]) if own is None else own
-                    q, x = self.question[item], self.answer[item]
-                    shares = [float(np.isin(g, own).mean()) if len(g) else 1.0 for g in (q, x)]
-                    if len(q) + len(x) and shares[0] >= OVERLAP and shares[1] >= ANSWER:
-                        yield int(row[s]), self.ids[item], score * SHARE, *shares
+        if not len(h) or not len(self.terms):
+            return
+        term, half = self.columns(h), self.passage // 2
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        lengths = np.diff(np.concatenate([first, [len(row)]]))
+        halves = -(-lengths // half)
+        base = np.concatenate([[0], np.cumsum(halves)[:-1]])
+        number = np.repeat(base, lengths) + (np.arange(len(row)) - np.repeat(first, lengths)) // half
+        hit = term >= 0
+        pairs = np.unique(number[hit] * len(self.terms) + term[hit])
+        at, terms = pairs // len(self.terms), pairs % len(self.terms)
+        bound = np.zeros((int(halves.sum()), self.part_max.shape[1]), np.float32)
+        edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        if len(edges):
+            bound[at[edges]] = np.add.reduceat(self.part_max[terms], edges, axis=0)
+        last = np.zeros(len(bound), bool)
+        last[base + halves - 1] = True
+        joined = bound.copy()
+        joined[:-1][~last[:-1]] += bound[1:][~last[:-1]]
+        whole = halves > 1
+        last[(base + halves - 1)[~whole]] = False  # a text's only half is a passage; else the last half is in the one before
+        starts = np.concatenate([edges, [len(at)]])
+        place = np.full(len(bound) + 1, -1)
+        place[at[edges]] = np.arange(len(edges))
+        owner = np.repeat(np.arange(len(first)), halves)
+        for k in np.flatnonzero(~last & (joined.max(1) >= 0.999)).tolist():
+            o = owner[k]
+            mine = [terms[starts[place[j]] : starts[place[j] + 1]] for j in (k, k + 1) if j < base[o] + halves[o] and place[j] >= 0]
+            own = np.unique(np.concatenate(mine))
+            parts = np.flatnonzero(self.part_max[own].sum(0) >= 0.999)
+            shingles = None
+            for p in parts.tolist():
+                for item, score in self.wand(self.lists(own, self.bounds[p], self.bounds[p + 1])):
+                    if shingles is None:
+                        s = first[o] + (k - base[o]) * half
+                        words = h[s : min(s + 2 * half, first[o] + lengths[o])]
+                        shingles = np.unique(np.concatenate([wh.grams(words, n) for n in (1, 2, 3)]))
+                    shares = [float(np.isin(g, shingles).mean()) if len(g) else 1.0 for g in (self.question[item], self.answer[item])]
+                    if shares[0] >= OVERLAP and shares[1] >= ANSWER:
+                        yield int(row[first[o]]), self.ids[item], score * SHARE, *shares
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id") -> list[Index]:
