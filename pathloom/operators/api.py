@@ -63,10 +63,8 @@ class CompiledPath:
         return F.coalesce(to_text(Compiler(Settings()), self.items), F.lit(""))
 
     def to_strings(self) -> Column:
-        from dataclasses import replace
-
         from pathloom.plans.columns import to_text
-        from pathloom.plans.compiler import Compiler
+        from pathloom.plans.compiler import Compiler, replace
 
         if self.items.kind == "Empty":
             return F.array().cast("array<string>")
@@ -128,6 +126,7 @@ def compile_path(
     spec: bool = False,
     on_error: str = "null",
     max_collection_size: int = 0,
+    null_elements: bool = True,
     member_of: Callable | None = None,
     profiles: dict[str, list[str]] | None = None,
     cache: ExpressionCache | None = DEFAULT_CACHE,
@@ -136,8 +135,10 @@ def compile_path(
 
     spec asks for the language standard's behaviour where the default keeps that of existing engines.
     on_error: "null" gives an empty result for a document that fails, "raise" fails the query.
+    null_elements=False promises that arrays of structs hold no null elements; scans then read only the
+    fields of nested arrays that the expression names.
     """
-    settings = Settings(model=model, variables={k: constant(v) for k, v in (variables or {}).items()}, spec=spec, on_error=on_error, limit=max_collection_size, resource_type=resource_type, member_of=member_of)
+    settings = Settings(model=model, variables={k: constant(v) for k, v in (variables or {}).items()}, spec=spec, on_error=on_error, limit=max_collection_size, resource_type=resource_type, null_elements=null_elements, member_of=member_of)
     if profiles:
         settings.variables["__profiles__"] = {url: [parse(e) for e in tests] for url, tests in profiles.items()}
 
@@ -150,7 +151,7 @@ def compile_path(
 
     if cache is None or variables or member_of or profiles or isinstance(col, Column):
         return make()
-    return cache.get((expression, schema.json(), col, id(model), resource_type, spec, on_error, max_collection_size), make)
+    return cache.get((expression, schema.json(), col, id(model), resource_type, spec, on_error, max_collection_size, null_elements), make)
 
 
 def must_compile(expression: str, schema: T.DataType, col: str | Column | None = None, **options) -> CompiledPath:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 
 from pathloom.functions.scalars import FALSE, TRUE, pattern
 from pathloom.plans import units
-from pathloom.plans.compiler import DECIMAL, EMPTY, EXTENSION_VALUES, LONG, QUANTITY, STRING, Compiler, Items, array, of
+from pathloom.plans.compiler import DECIMAL, EMPTY, EXTENSION_VALUES, LONG, QUANTITY, STRING, Compiler, Items, array, of, replace
 from pathloom.plans.errors import InvalidArgumentsError, NotCompilable
 from pathloom.plans.values import FIELDS
 

@@ -11,8 +11,9 @@ or raise with on_error="raise".
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,17 +39,30 @@ class Items:
     """A collection: column c of Spark type data (of one item), its expression type kind, and whether it is an array."""
 
     kind: str
-    c: Column
+    own: Column | None  # None: null, made when asked for, as columns need a session
     data: T.DataType
     many: bool = False
     name: str = ""  # document type, where it says more than kind
+    raw: Column | None = None  # an array of the source as it stands there
+
+    @property
+    def c(self) -> Column:
+        return F.lit(None) if self.own is None else self.own
 
     @property
     def type_name(self) -> str:
         return self.name or self.kind
 
 
-EMPTY = Items("Empty", F.lit(None), T.NullType())
+def replace(x, **changes):
+    """dataclasses.replace, with c for the column of Items."""
+    if "c" in changes:
+        changes["own"] = changes.pop("c")
+        changes.setdefault("raw", None)
+    return dataclasses.replace(x, **changes)
+
+
+EMPTY = Items("Empty", None, T.NullType())
 
 
 @dataclass(frozen=True)
@@ -67,6 +81,7 @@ class Settings:
     on_error: str = "null"
     limit: int = 0
     resource_type: str = ""
+    null_elements: bool = True
     member_of: Callable[[str, Items], Column] | None = None
 
 
@@ -78,17 +93,17 @@ class SeveralTypes(NotCompilable):
         self.choices = choices
 
 
-def of(data: T.DataType, c: Column, name: str = "") -> Items:
-    """A column by its Spark type.  Arrays lose null elements; inner arrays are flattened."""
+def of(data: T.DataType, c: Column, name: str = "", nulls: bool = True) -> Items:
+    """A column by its Spark type.  Arrays lose null elements (unless nulls says that there are none); inner arrays are flattened."""
     if isinstance(data, T.ArrayType):
         inner = data.elementType
         if isinstance(inner, T.ArrayType):
-            return of(inner, F.flatten(F.filter(F.coalesce(c, F.array().cast(data)), lambda x: x.isNotNull())), name)
-        one = of(inner, c, name)
+            return of(inner, F.flatten(F.filter(F.coalesce(c, F.array().cast(data)), lambda x: x.isNotNull())), name, nulls)
+        one, raw = of(inner, c, name, nulls), c
         c = F.coalesce(c, F.array().cast(data))
-        if data.containsNull:
+        if data.containsNull and (nulls or not isinstance(inner, T.StructType)):
             c = F.filter(c, lambda x: x.isNotNull())
-        return replace(one, c=c, many=True)
+        return replace(one, c=c, many=True, raw=raw)
     if isinstance(data, T.IntegralType):
         return Items("Integer", c, data, name=name)
     if isinstance(data, (T.DecimalType, T.FractionalType)):
@@ -263,19 +278,21 @@ class Compiler:
 
     def field(self, x: Items, name: str, document_type: str) -> Items:
         data = x.data[name].dataType
-        if x.many:
-            if isinstance(x.c, Column):
-                return of(T.ArrayType(data), x.c.getField(name), document_type)
-        return of(data, x.c.getField(name), document_type)
+        nulls = self.settings.null_elements
+        return of(T.ArrayType(data) if x.many else data, x.c.getField(name), document_type, nulls)
 
     def prune(self, x: Items) -> Items:
-        """An array of structs with the fields that the expression names, so that the scan reads no others."""
-        if not (x.many and isinstance(x.data, T.StructType) and self.used is not None):
+        """An array of structs with the fields that the expression names, so that the scan reads no others.
+
+        A null element would become a struct of nulls, so this needs null_elements=False.
+        """
+        if not (x.many and isinstance(x.data, T.StructType) and self.used is not None and x.raw is not None and not self.settings.null_elements):
             return x
         kept = [f for f in x.data.fields if f.name in self.used or any(f.name.startswith(u) for u in self.used)]
         if not kept or len(kept) == len(x.data.fields):
             return x
-        return replace(x, c=F.arrays_zip(*[x.c.getField(f.name).alias(f.name) for f in kept]), data=T.StructType(kept))
+        data = T.StructType(kept)
+        return replace(x, c=F.coalesce(F.arrays_zip(*[x.raw.getField(f.name).alias(f.name) for f in kept]), F.array().cast(T.ArrayType(data))), data=data)
 
     def _path(self, node: Node, scope: Scope) -> Items:
         step = node.parts[1]
@@ -760,7 +777,7 @@ def compile_tree(node: Node, root: Items, settings: Settings) -> Items:
 def compile_items(expression: str, data: T.DataType, c: Column, settings: Settings | None = None) -> Items:
     """The collection that expression gives on a column c of Spark type data."""
     settings = settings or Settings()
-    return compile_tree(parse(expression), of(data, c, settings.resource_type), settings)
+    return compile_tree(parse(expression), of(data, c, settings.resource_type, settings.null_elements), settings)
 
 
 __all__ = ["EXTENSION_VALUES", "FALSE", "TRUE", "Compiler", "Items", "Settings", "compile_items", "pattern"]

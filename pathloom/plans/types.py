@@ -72,6 +72,6 @@ def matches(actual: str, wanted: str, model: Model | None = None) -> bool:
     elif (wanted == "Resource" and is_resource_name(actual)) or (wanted == "DomainResource" and is_resource_name(actual) and actual not in PLAIN_RESOURCES):
         return True
     for names in (STABLE,) if model else (STABLE, PROFILES):
-        if names.get(wanted.lower()) == actual or names.get(actual.lower()) == wanted:
+        if names.get(wanted.lower()) == actual or names.get(actual.lower(), "").lower() == wanted.lower():
             return True
     return False
