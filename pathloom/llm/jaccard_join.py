@@ -41,8 +41,8 @@ VERIFY = 8.0
 #: Estimated texts from which a prefix shingle is dealt to several tasks.
 SALT = 20_000
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
-#: Vertices that a task remembers so as not to send copies.
-SEEN = 200_000
+#: Vertices that a task remembers so as not to send copies; connected ones that it keeps before it sends them.
+SEEN, CONNECTED = 200_000, 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -198,18 +198,41 @@ def size_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
 
 
+class Sets:
+    """Disjoint sets of numbers; the least stands for its set."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        above, root = self.above, x
+        while (y := above.get(root, root)) != root:
+            root = y
+        while x != root:
+            above[x], x = root, above[x]
+        return root
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.above[max(x, y)] = min(x, y)
+
+
 def _meetings(usual: float):
-    """Postings sorted by key, salt, n and v to (a, b, hot): each vertex of a shared key with the first one of about its size.
+    """Postings sorted by key, salt, n and v to (a, b, hot): vertices of a shared key, of about one size, each with the least of those that it is connected to in this task.
 
     A run of vertices by size is cut where the next is too large for any pair across; what no set has in
-    its prefix for sets that aren't smaller connects nothing.  For salted keys (hot) each first vertex is
-    also given with a number of the key and size class.
+    its prefix for sets that aren't smaller connects nothing.  For salted keys (hot) the first vertex of
+    each run is given with a number of the key and size class.
     """
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
 
+    def rows(a: list, b: list, hot: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot))], schema=arrow)
+
     def run(batches):
         key = salt = first = None
-        size, small, waiting = 0, False, np.zeros(0, np.int64)
+        size, small, waiting, sets, hot = 0, False, [], Sets(), []
         for b in batches:
             keys, salts, n, v, s = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(keys):
@@ -220,23 +243,28 @@ def _meetings(usual: float):
             ends = np.concatenate([starts[1:], [len(keys)]])
             busy = (ends - starts > 1) | (salts[starts] > 0) | ~new[starts]
             busy[-1] = True  # may go on in the next batch
-            out = []
             for a, z in zip(starts[busy].tolist(), ends[busy].tolist(), strict=True):
                 if new[a]:
-                    key, salt, first, small, waiting = keys[a], salts[a], v[a], False, waiting[:0]
+                    key, salt, first, small, waiting = keys[a], salts[a], int(v[a]), False, []
                     if salt:
                         class_ = (int(salt) - 1) // int(shares(keys[a : a + 1].view(np.uint64), usual)[0])
-                        out.append((wh.mix(keys[a : a + 1].view(np.uint64) + np.uint64(class_)).view(np.int64), first, True))
-                others = np.unique(v[a:z])
-                waiting = np.concatenate([waiting, others[others != first]])
+                        hot.append((int(wh.mix(keys[a : a + 1].view(np.uint64) + np.uint64(class_)).view(np.int64)[0]), first))
+                waiting += v[a:z].tolist()
                 small = small or bool(s[a:z].any())
-                if small and len(waiting):
-                    out.append((waiting, first, False))
-                    waiting = waiting[:0]
+                if small:
+                    for x in waiting:
+                        if x != first:
+                            sets.join(x, first)
+                    waiting = []
             size = n[-1]
-            if out:
-                lengths = [len(x) for x, _, _ in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _, _ in out]), pa.int64()), pa.array(np.repeat(np.array([f for _, f, _ in out], np.int64), lengths)), pa.array(np.repeat(np.array([h for _, _, h in out], bool), lengths))], schema=arrow)
+            if hot:
+                yield rows([x for x, _ in hot], [y for _, y in hot], True)
+                hot = []
+            if len(sets.above) > CONNECTED:
+                yield rows(list(sets.above), [sets.find(x) for x in sets.above], False)
+                sets = Sets()
+        if sets.above:
+            yield rows(list(sets.above), [sets.find(x) for x in sets.above], False)
 
     return run
 
