@@ -68,8 +68,13 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", "lang", "source", "n_chars")
 
 
+def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), F.col("value").cast("decimal(15,2)").alias("value"))
+
+
+EVENTS = "d AS (SELECT event_id AS key, ts, event_type AS type, CAST(value AS DECIMAL(15,2)) AS value FROM events)"
 TEXTS = "d AS (SELECT doc_id AS key, text, lang, source, n_chars FROM documents)"
-SOURCES = {"order": (order_documents, ORDERS), "customer": (customer_documents, CUSTOMERS), "part": (part_documents, PARTS), "text": (text_documents, TEXTS)}
+SOURCES = {"order": (order_documents, ORDERS), "customer": (customer_documents, CUSTOMERS), "part": (part_documents, PARTS), "text": (text_documents, TEXTS), "event": (event_documents, EVENTS)}
 
 
 @dataclass(frozen=True)
@@ -125,6 +130,9 @@ PLAN = {
     "fn_converts": Query("part", {"int_": ("brand.substring(6).convertsToInteger()", "b", "true"), "not_int": ("name.convertsToInteger()", "b", "false"), "dec": ("price.convertsToDecimal()", "b", "true"), "bool_": ("name.convertsToBoolean()", "b", "lower(name) IN ('true','t','yes','y','1','1.0','false','f','no','n','0','0.0')"), "str": ("price.convertsToString()", "b", "true"), "date_": ("name.convertsToDate()", "b", "true"), "datetime_": ("name.convertsToDateTime()", "b", "true"), "time_": ("name.convertsToTime()", "b", "true"), "qty": ("size.convertsToQuantity()", "b", "true")}),
     "fn_temporal": Query("order", {"year_": ("date.year()", "i", "year(date)"), "month_": ("date.month()", "i", "month(date)"), "day_": ("date.day()", "i", "day(date)"), "before": ("date < @1996-01-01", "b", "date < DATE '1996-01-01'"), "in_year": ("date > @1996", "b", "CASE WHEN year(date) <> 1996 THEN year(date) > 1996 END"), "same": ("date = @1996-01-02", "b", "date = DATE '1996-01-02'")}),
     "fn_date_arithmetic": Query("order", {"days": ("(date + 10 days).toString()", "s", "strftime(date + 10, '%Y-%m-%d')"), "weeks": ("(date - 2 weeks).toString()", "s", "strftime(date - 14, '%Y-%m-%d')"), "months": ("(date + 1 month).toString()", "s", "strftime(CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE) + CAST(day(date) - 1 AS INTEGER), '%Y-%m-%d')"), "years": ("(date + 1 year).toString()", "s", "strftime(CAST(date_trunc('month', date) + INTERVAL 12 MONTH AS DATE) + CAST(day(date) - 1 AS INTEGER), '%Y-%m-%d')")}),
+    "fn_datetime": Query("event", {"hour_": ("ts.hour()", "i", "hour(ts)"), "minute_": ("ts.minute()", "i", "minute(ts)"), "second_": ("ts.second()", "i", "second(ts)"), "milli": ("ts.millisecond()", "i", "millisecond(ts) % 1000"), "year_": ("ts.year()", "i", "year(ts)"), "late": ("ts > @2024-01-15T12:00:00.000Z", "b", "ts > TIMESTAMP '2024-01-15 12:00:00'"), "shifted": ("(ts + 36 hours).day()", "i", "day(ts + INTERVAL 36 HOUR)"), "months": ("(ts + 2 months).month()", "i", "month(date_trunc('month', ts) + INTERVAL 2 MONTH + to_days(CAST(day(ts) - 1 AS INTEGER)))"), "day_": ("ts.toDate() = @2024-01-15", "b", "CAST(ts AS DATE) = DATE '2024-01-15'")}),
+    "fn_clock": Query("part", {"now_": ("now() > @2020-01-01T00:00:00.000Z", "b", "true"), "today_": ("today() > @2020-01-01", "b", "true"), "time_": ("timeOfDay().exists()", "b", "true"), "noon": ("@T12:30:15.minute()", "i", "30")}),
+    "fn_to_temporal": Query("part", {"date_": ("'2024-02-30'.toDate().day()", "i", "30"), "none": ("name.toDate()", "s", "NULL"), "datetime_": ("name.toDateTime()", "s", "name"), "time_": ("name.toTime()", "s", "name")}),
     "fn_boundaries": Query("order", {"low": ("date.toString().substring(0, 7).toDate().lowBoundary().toString()", "s", "strftime(date_trunc('month', date), '%Y-%m-%d')"), "high": ("date.toString().substring(0, 7).toDate().highBoundary().toString()", "s", "strftime(last_day(date), '%Y-%m-%d')"), "amount_low": ("amount.lowBoundary()", "d", "amount - 0.005"), "amount_high": ("amount.highBoundary()", "d", "amount + 0.005"), "whole": ("key.lowBoundary()", "i", "key")}),
     "fn_quantity": Query("part", {"same": ("size.toQuantity('mg') = 0.011 'g'", "b", "size = 11"), "more": ("size.toQuantity('kg') > 25000 'g'", "b", "size > 25"), "apart": ("size.toQuantity('kg') = 1 'm'", "b", "false"), "like": ("size.toQuantity('MG') ~ 11 'mg'", "b", "size = 11"), "sum_": ("(size.toQuantity('mg') + 5 'mg') = 16 'mg'", "b", "size = 11"), "calendar": ("1 year = 12 months", "b", "false")}),
     "fn_extension": Query("customer", {"value": ("extension('http://example.org/segment').valueString", "s", "segment"), "has": ("hasExtension('http://example.org/nation')", "b", "true"), "has_not": ("hasExtension('http://example.org/none')", "b", "false"), "got": ("getExtensionValue('http://example.org/nation')", "s", "CAST(nationkey AS VARCHAR)")}),
@@ -139,6 +147,25 @@ def events_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpret(table(spark, sf_dir, "events").select("event_id", "props"), "(k + 1) | descendants().count()", "props").select("event_id", F.col("result")[0].cast("bigint").alias("k1"), F.element_at("result", -1).cast("bigint").alias("n"))
 
 
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """children() and descendants() of JSON text."""
+    nested = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"a":'), F.col("props"), F.lit(',"b":[1,null,"x"],"c":{"d":{"e":true}}}')).alias("resource"))
+    out = interpret(interpret(nested, "children().count()", to="c"), "descendants().count()", to="d")
+    return out.select("event_id", F.col("c")[0].cast("bigint").alias("n_children"), F.col("d")[0].cast("bigint").alias("n_descendants"))
+
+
+def conforms_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = part_documents(spark, sf_dir)
+    path = compile_path("conformsTo('http://example.org/small')", df.schema, profiles={"http://example.org/small": ["size < 20", "name.exists()"]})
+    return df.select("key", path.column().alias("conforms"))
+
+
+def value_set_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
+    path = compile_path("segment.memberOf('http://example.org/vs')", df.schema, member_of=references.literal_member_of({"http://example.org/vs": ["MACHINERY", "BUILDING"]}))
+    return df.select("key", path.column().alias("member"))
+
+
 def row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path as the filter of a table; its comparisons are pushed to the scan."""
     return where(table(spark, sf_dir, "lineitem"), "l_quantity >= 45 and l_returnflag = 'R'").select("l_orderkey", "l_partkey", "l_linenumber")
@@ -164,6 +191,9 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OTHER: dict[str, tuple[Callable, str]] = {
     "src_json_dynamic": (events_dynamic, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS k1, 1::BIGINT AS n FROM events"),
+    "fn_tree": (tree, "SELECT event_id, 4::BIGINT AS n_children, 7::BIGINT AS n_descendants FROM events"),
+    "fn_conforms_to": (conforms_to, "SELECT p_partkey AS key, p_size < 20 AS conforms FROM part"),
+    "fn_member_of_literal": (value_set_literal, "SELECT c_custkey AS key, c_mktsegment IN ('MACHINERY', 'BUILDING') AS member FROM customer"),
     "row_filter": (row_filter, "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'"),
     "fn_resolve": (resolve_join, "SELECT o_orderkey, c_name AS name, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey"),
     "fn_member_of": (member_of_join, "SELECT c_custkey, c_mktsegment LIKE '%A%' AS member FROM customer"),
