@@ -288,7 +288,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     return pages
 
 
-def train(pages: list[str], steps: int = 700, l2: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: list[str], steps: int = 700, l2: float = 0.0001) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features and of the parent-child states, by likelihood ascent (Adam) on labelled pages."""
     trees = [Tree(p) for p in pages]
     forest = Forest(trees)
