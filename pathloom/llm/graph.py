@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import written
@@ -14,7 +14,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Least labels travel along edges and then jump along themselves, so the rounds grow with the
     logarithm of a component's length.  Each round is a written table.  Null ends are left out.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    # each vertex keeps one edge to its least neighbour, with which its other neighbours are tied instead
+    e = e.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    e = e.select("a", F.col("m").alias("b")).unionByName(e.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
     e = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
     while True:
