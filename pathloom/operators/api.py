@@ -8,19 +8,21 @@ no column form, go through the row interpreter in Arrow batches.
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.operators.interpreter import Options, evaluate_json
 from pathloom.plans.compiler import Items, Settings, array, compile_items
-from pathloom.plans.errors import NotCompilable, PathError
-from pathloom.plans.syntax import parse
+from pathloom.plans.errors import ExpressionTimeoutError, NotCompilable, PathError
+from pathloom.plans.syntax import Node, parse
 from pathloom.plans.types import Model
 from pathloom.plans.values import show
 
@@ -217,6 +219,49 @@ def where(df: DataFrame, expression: str, col: str | None = None, **compile_opti
     return df.filter(path.items.c if path.items.kind == "Boolean" and not path.items.many else path.to_boolean())
 
 
+def traced(df: DataFrame, expression: str, col: str | None = None, **compile_options) -> tuple[DataFrame, Observation]:
+    """df with an observation that counts, for each trace('name') of expression, the items that pass it.
+
+    The counts are there once an action on the DataFrame has run.
+    """
+    schema = df.schema if col is None else df.schema[col].dataType
+    counts = []
+
+    def visit(node: Node, base: str) -> None:
+        if node.kind == "path":
+            visit(node.parts[0], base)
+            step = node.parts[1]
+            if step.kind == "call" and step.value == "trace" and step.parts and step.parts[0].kind == "literal":
+                before = compile_path(node.parts[0].text, schema, col, **compile_options)
+                counts.append(F.sum(before.count()).alias(str(step.parts[0].value[1])))
+
+    visit(parse(expression), "")
+    observation = Observation("trace")
+    return df.observe(observation, F.count(F.lit(1)).alias("documents"), *counts), observation
+
+
+def within(spark, seconds: float, action: Callable[[], Any]) -> Any:
+    """The result of an action whose Spark jobs are cancelled, with an ExpressionTimeoutError, after so many seconds."""
+    group, over = f"path-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        over.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    spark.sparkContext.setJobGroup(group, "path expressions", interruptOnCancel=True)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if over.is_set():
+            raise ExpressionTimeoutError(f"the jobs took more than {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.setJobGroup("", "")
+
+
 def from_rows(rows: list[dict], spark) -> DataFrame:
     """Python documents as a DataFrame of JSON texts."""
     return spark.createDataFrame([(json.dumps(r),) for r in rows], "resource string")

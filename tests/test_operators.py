@@ -1,7 +1,11 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import references
-from pathloom.operators.api import compile_path, from_rows
+from pathloom.operators.api import compile_path, from_rows, traced, within
+from pathloom.plans.errors import ExpressionTimeoutError
 from pathloom.sources import readers
 from pathloom.streaming import streams
 
@@ -61,3 +65,21 @@ def test_windowed_count_drops_late_rows(spark, tmp_path):
     query = streams.windowed_count(stream, "t", "1 minute", "30 seconds").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r["count"] for r in spark.table("counts").collect()) == [1, 2]
+
+
+def test_trace_counts(spark):
+    df = spark.createDataFrame([(["a", "b"],), (["c"],), (None,)], "t array<string>")
+    seen, observation = traced(df, "t.trace('tags').where($this > 'a').trace('kept').count()")
+    seen.collect()
+    assert observation.get == {"documents": 3, "tags": 3, "kept": 2}
+
+
+def test_timeout(spark):
+    @F.udf("int")
+    def slow(x):
+        time.sleep(20)
+        return x
+
+    with pytest.raises(ExpressionTimeoutError):
+        within(spark, 1.0, lambda: spark.range(4).select(slow(F.col("id").cast("int"))).collect())
+    assert within(spark, 30, lambda: spark.range(4).count()) == 4
