@@ -190,14 +190,21 @@ def interpret(df: DataFrame, expression: str, col: str = "resource", to: str = "
     return (out.withColumn(errors_to, F.col("_path.error")) if errors_to else out).drop("_path")
 
 
-def evaluate(df: DataFrame, expression: str, col: str | None = "resource", to: str = "result", *, options: Options | None = None, **compile_options) -> DataFrame:
+def evaluate(df: DataFrame, expression: str, col: str | None = "resource", to: str = "result", *, schema: T.StructType | str | None = None, options: Options | None = None, **compile_options) -> DataFrame:
     """df with the collection that expression gives for each document.
 
-    col names the column of documents (None: the rows).  A struct compiles to a column; text is JSON and
-    goes through the row interpreter, as does a struct for which the expression has no column form.
+    col names the column of documents (None: the rows).  A struct compiles to a column.  JSON text is
+    parsed by schema, if one is given, and compiles too; without schema it goes through the row
+    interpreter, as does a struct for which the expression has no column form.
     """
     if col is not None and isinstance(df.schema[col].dataType, T.StringType):
-        return interpret(df, expression, col, to, options)
+        if schema is None:
+            return interpret(df, expression, col, to, options)
+        parsed = df.withColumn("_parsed", F.from_json(col, schema))
+        try:
+            return compile_path(expression, parsed.schema["_parsed"].dataType, "_parsed", **compile_options).apply(parsed, to).drop("_parsed")
+        except NotCompilable:
+            return interpret(df, expression, col, to, options)
     schema = df.schema if col is None else df.schema[col].dataType
     try:
         return compile_path(expression, schema, col, **compile_options).apply(df, to)

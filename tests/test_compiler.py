@@ -77,6 +77,9 @@ def test_fallback_and_json(spark):
     assert [r[0] for r in evaluate(df, "a").select("result").collect()] == [["1", "x"], [], []]
     out = interpret(df, "a + 1", errors_to="why").select("result", "why").collect()
     assert out[0]["result"] is None and out[0]["why"].startswith("SingletonError") and out[1]["result"] == []
+    parsed = evaluate(df.limit(1), "a.count()", schema="a array<string>")
+    assert parsed.columns == ["resource", "result"] and parsed.first()["result"] == 2
+    assert evaluate(df.limit(1), "descendants().count()", schema="a array<string>").first()["result"] == ["2"]
     typed = spark.createDataFrame([(1, "x")], "a long, b string")
     assert evaluate(typed, "a | b", None).first()["result"] == ["1", "x"]
 
