@@ -218,69 +218,89 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     text = lambda low, high: " ".join(word() for _ in range(r.randint(low, high)))
     links = lambda k: "".join(f'<li><a href="#">{text(1, 3)}</a></li>' for _ in range(k))
 
+    named = lambda k: r.choice(NAMES[k])
+    comment = lambda: f"<p>{text(3, 50)}</p>"
+
+    def block() -> str:
+        x = r.random()
+        if x < 0.6:
+            return f"<p>{text(1, r.choice((2, 6, 40, 120)))}.</p>"
+        if x < 0.68:
+            return f"<h2>{text(1, 6)}</h2>"
+        if x < 0.75:
+            return "<ul>" + "".join(f"<li>{text(2, 20)}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
+        if x < 0.8:
+            return f"<blockquote><p>{text(5, 40)}</p></blockquote>"
+        if x < 0.84:
+            return f"<pre>{text(3, 20)}</pre>"
+        if x < 0.88:
+            return "<table>" + "".join(f"<tr><td>{text(1, 4)}</td><td>{text(1, 4)}</td></tr>" for _ in range(3)) + "</table>"
+        if x < 0.92:
+            return f"<p><a href='#'>{text(2, 8)}</a> {text(5, 40)}</p>"
+        if x < 0.95:
+            return f"<figure><figcaption>{text(3, 12)}</figcaption></figure>"
+        return text(4, 30)
+
     def body() -> str:
-        out = [f"<h1>{text(1, 10)}</h1>"] if r.random() < 0.8 else []
-        for _ in range(r.randint(1, 9)):
-            x = r.random()
-            if x < 0.6:
-                out.append(f"<p>{text(1, r.choice((2, 6, 40, 120)))}.</p>")
-            elif x < 0.68:
-                out.append(f"<h2>{text(1, 6)}</h2>")
-            elif x < 0.75:
-                out.append("<ul>" + "".join(f"<li>{text(2, 20)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
-            elif x < 0.8:
-                out.append(f"<blockquote><p>{text(5, 40)}</p></blockquote>")
-            elif x < 0.84:
-                out.append(f"<pre>{text(3, 20)}</pre>")
-            elif x < 0.88:
-                out.append("<table>" + "".join(f"<tr><td>{text(1, 4)}</td><td>{text(1, 4)}</td></tr>" for _ in range(3)) + "</table>")
-            elif x < 0.92:
-                out.append(f"<p><a href='#'>{text(2, 8)}</a> {text(5, 40)}</p>")
-            elif x < 0.96:
-                out.append(f"<div class='section'><h3>{text(1, 5)}</h3><p>{text(5, 60)}</p></div>")
-            else:
-                out.append(f"<figure><figcaption>{text(3, 12)}</figcaption></figure>")
+        out = [f"<h1>{text(1, 10)}</h1>"] if r.random() < 0.6 else []
+        for _ in range(r.choice((1, 1, 2, 3, 5, 8))):
+            out.append(block())
+            if r.random() < 0.12:
+                tag = r.choice(("section", "div", "div", f"div class='{word()}'"))
+                out.append(f"<{tag}>{''.join(block() for _ in range(r.randint(1, 3)))}</{tag.split()[0]}>")
         return "".join(out)
 
     def junk() -> str:
-        def named(k: int) -> str:
-            return r.choice(NAMES[k])
-
         long = f"<p>{text(3, 60)}</p>"
-        kind = r.choice(range(10))
-        inner = [
-            f"{text(1, 40)}",
-            f"<ul>{links(r.randint(1, 8))}</ul>",
-            f"<a href='#'>{text(1, 3)}</a>" + r.choice(("", long, f"<ul>{links(3)}</ul>")),
-            f"© {text(1, 12)}" + r.choice(("", long)),
-            f"<h3>{text(1, 4)}</h3>" + r.choice((f"<ul>{links(4)}</ul>", long)),
-            f"<h3>{text(1, 3)}</h3>" + "".join(f"<div class='{named(5)}'><p>{text(3, 50)}</p></div>" for _ in range(r.randint(1, 4))),
-            f"{text(4, 30)} <button>{text(1, 2)}</button>",
-            f"<p>{text(3, 20)}</p><form><label>{text(1, 2)}</label><input><button>{text(1, 2)}</button></form>",
-            f"{text(1, 6)}",
-            f"{text(2, 20)}",
-        ][min(kind, 9)]
-        tag = r.choice({1: ["nav", "nav", "div", "ul"], 2: ["header", "div"], 3: ["footer", "footer", "div"], 4: ["aside", "aside", "div", "section"], 5: ["section", "div"], 7: ["form", "div", "section"]}.get(kind, ["div", "div", "section", "aside"]))
-        if kind == 9:  # an element of telling tag without names
-            tag = r.choice(("nav", "aside", "footer", "header", "form"))
-            return f"<{tag} data-y='0'>{r.choice((inner, long, f'<ul>{links(3)}</ul>'))}</{tag}>"
-        bare = tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.5
-        name = "" if bare else r.choice((f" class='{named(kind)}'", f" id='{named(kind)}'", f" class='{named(kind)}-{word()}'", f" class='{word()} {named(kind)}'"))
+        kind = r.choice((0, 0, 1, 2, 3, 4, 5, 5, 6, 6, 7, 8, 9, 9))
+        if kind == 0:
+            tag, inner = r.choice(("div", "div", "aside", "section", "p")), r.choice((text(1, 40), long, f"<a href='#'>{text(2, 9)}</a>", f"<h3>{text(1, 5)}</h3>{long}"))
+        elif kind == 1:
+            tag, inner = r.choice(("nav", "nav", "div", "ul")), r.choice((f"<ul>{links(r.randint(1, 8))}</ul>", " | ".join(f"<a href='#'>{text(1, 2)}</a>" for _ in range(r.randint(2, 6))), text(1, 8)))
+        elif kind == 2:
+            tag, inner = r.choice(("header", "header", "div")), r.choice(("", f"<h1>{text(1, 4)}</h1>", f"<h1><a href='#'>{text(1, 4)}</a></h1>", f"<h2>{text(1, 5)}</h2>")) + r.choice((text(1, 6), long, f"<nav><ul>{links(4)}</ul></nav>"))
+        elif kind == 3:
+            tag, inner = r.choice(("footer", "footer", "div")), f"© {text(1, 12)}" + r.choice(("", long, f"<h3>{text(1, 3)}</h3><ul>{links(3)}</ul>"))
+        elif kind == 4:
+            tag, inner = r.choice(("aside", "aside", "div", "section")), r.choice(("", f"<h3>{text(1, 4)}</h3>")) + r.choice((f"<ul>{links(4)}</ul>", long, long + long))
+        elif kind == 5:
+            one = r.choice(("<div class='comment'>{}</div>", "<li>{}</li>", "<article class='comment'>{}</article>", "{}", "<div class='comment-body'>{}</div>"))
+            many = "".join(one.format(comment()) for _ in range(r.randint(1, 5)))
+            tag, inner = r.choice(("section", "div", "div", "aside")), r.choice(("", f"<h3>{text(1, 3)}</h3>")) + (f"<ol>{many}</ol>" if "<li>" in many else many)
+        elif kind == 6:
+            tag, inner = r.choice(("div", "div", "section", "p", "aside")), r.choice((text(4, 30), long, f"{text(4, 30)} <button>{text(1, 2)}</button>"))
+        elif kind == 7:
+            tag, inner = r.choice(("form", "form", "div", "section")), r.choice(("", f"<p>{text(3, 20)}</p>", f"<h3>{text(1, 4)}</h3>")) + f"<label>{text(1, 2)}</label><input><button>{text(1, 2)}</button>"
+        elif kind == 8:
+            tag, inner = r.choice(("div", "div", "ul", "p")), r.choice((text(1, 6), f"<a href='#'>{text(1, 2)}</a> <a href='#'>{text(1, 2)}</a>"))
+        else:  # an element of telling tag without names, or of telling role
+            tag, inner = r.choice(("nav", "aside", "footer", "header", "form")), r.choice((text(1, 20), long, f"<ul>{links(3)}</ul>", f"<h2>{text(1, 4)}</h2>{long}"))
+            if r.random() < 0.2:
+                return f"<div role='{r.choice(('navigation', 'banner', 'contentinfo', 'complementary', 'search'))}' data-y='0'>{inner}</div>"
+            return f"<{tag} data-y='0'>{inner}</{tag}>"
+        if tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.4:
+            name = ""
+        else:
+            name = r.choice((f" class='{named(kind)}'", f" id='{named(kind)}'", f" class='{named(kind)}-{word()}'", f" class='{word()} {named(kind)}'"))
         if tag == "ul":
             inner = links(4)
+        if tag == "p":
+            inner = text(2, 30)
         return f"<{tag}{name} data-y='0'>{inner}</{tag}>"
 
     pages = []
     for _ in range(n):
-        holder = r.choice(("article", "article", "main", "div class='content'", "div id='content'", "div class='post'", "div class='article-body'", "section class='entry'", "div class='story'", "div id='main'"))
+        holder = r.choice(("article", "article", "article", "main", "main", "div class='content'", "div id='content'", "div class='post'", "div class='article-body'", "section class='entry'", "div class='story'", "div id='main'", "article class='post'"))
         parts = [body()]
-        if r.random() < 0.5:
-            parts.insert(r.randint(0, 1), junk())
-        if r.random() < 0.3:
-            parts = [body(), junk(), body()]
+        for _ in range(r.choice((0, 0, 1, 2, 3))):
+            parts.append(junk())
+            if r.random() < 0.6:
+                parts.append(block())
+        if r.random() < 0.2:
+            parts.insert(0, junk())
         content = f"<{holder} data-y='1'>{''.join(parts)}</{holder.split()[0]}>"
         for _ in range(r.choice((0, 0, 1, 2))):
-            wrap = r.choice(("div", "div class='wrap'", "div id='page'", "main", "div class='container'"))
+            wrap = r.choice(("div", "div class='wrap'", "div id='page'", "div class='container'", "section"))
             sides = [junk() for _ in range(r.choice((0, 1, 2)))]
             content = f"<{wrap}>{''.join(sides[:1])}{content}{''.join(sides[1:])}</{wrap.split()[0]}>"
         before, after = "".join(junk() for _ in range(r.randint(0, 4))), "".join(junk() for _ in range(r.randint(0, 4)))
