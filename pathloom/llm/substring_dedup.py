@@ -38,7 +38,7 @@ from pathloom.llm.common import arrow_schema, by_text, partitions, written
 #: Words of an anchor.
 ANCHOR = 8
 #: Distinct regions of one anchor, or windows of an anchor with more, that share a shard.
-SHARD = 2000
+SHARD = 500
 #: Regions that are gathered into one automaton, as far as whole anchors allow.
 GATHER = 500
 
@@ -221,9 +221,11 @@ def covered(data: np.ndarray, offsets: np.ndarray, window: int, keys: np.ndarray
     full = np.isin(own, np.delete(keys, partly))
     np.add.at(gone, first[full], 1)
     np.add.at(gone, (first + n)[full] + window - 1, -1)
-    for k in partly:
-        for y in np.flatnonzero(own == keys[k]).tolist():
-            start = first[y] + np.unique(windows[k])
+    if partly:
+        order = np.argsort(own, kind="stable")
+        low, high = (np.searchsorted(own[order], keys[partly], side) for side in ("left", "right"))
+        for k, a, z in zip(partly, low.tolist(), high.tolist(), strict=True):
+            start = (first[order[a:z], None] + np.unique(windows[k])).ravel()
             np.add.at(gone, start, 1)
             np.add.at(gone, start + window, -1)
     return np.cumsum(gone)[:-1] > 0
@@ -268,7 +270,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, text_col: str = "text", k
     Nulls: a null text is empty (0 words).  Columns named like internal ones (_text, _t, _u) may be in docs.
     """
     texts, found = spans(docs, window, text_col)
-    marks = found.groupBy("_t", "_u").agg(F.collect_list(F.struct("anchor", "content", "windows")).alias("marks"))
+    marks = found.groupBy("_t", "_u").agg(F.collect_set(F.struct("anchor", "content", "windows")).alias("marks"))
     keyed = by_text(docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_source")), *[f"_k{i}" for i in range(len(keep))], text_col="_source")
     joined = keyed.join(marks, ["_t", "_u"], "left").select(*[F.col(f"_k{i}") for i in range(len(keep))], "_text", "marks")
     from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -284,7 +286,7 @@ class SpanRemover:
     The references are read to the driver, so they must be few: more than ``limit`` words raises ValueError.
     """
 
-    def __init__(self, references: DataFrame, window: int = 35, text_col: str = "text", shard_words: int = 200_000, limit: int = 5_000_000) -> None:
+    def __init__(self, references: DataFrame, window: int = 35, text_col: str = "text", shard_words: int = 100_000, limit: int = 500_000) -> None:
         self.window, shards, size, total = window, [SuffixAutomaton()], 0, 0
         for r in references.select(text_col).toLocalIterator():
             words = (r[0] or "").encode().split()
