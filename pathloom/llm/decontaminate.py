@@ -173,8 +173,10 @@ class Index:
         at, terms = pairs // len(self.terms), pairs % len(self.terms)
         bound = np.zeros((int(halves.sum()), self.part_max.shape[1]), np.float32)
         edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-        if len(edges):
-            bound[at[edges]] = np.add.reduceat(self.part_max[terms], edges, axis=0)
+        for low in range(0, len(edges), 1024):  # the gathered maxima stay small in long texts
+            some = edges[low : low + 1024]
+            end = edges[low + 1024] if low + 1024 < len(edges) else len(at)
+            bound[at[some]] = np.add.reduceat(self.part_max[terms[some[0] : end]], some - some[0], axis=0)
         last = np.zeros(len(bound), bool)
         last[base + halves - 1] = True
         joined = bound.copy()
@@ -202,20 +204,32 @@ class Index:
                         yield int(row[first[o]]), self.ids[item], score * SHARE, *shares
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id") -> list[Index]:
-    """The index shards.  benchmark has id_col and either question and answer, or text."""
+def indexes(benchmark: DataFrame, id_col: str = "item_id"):
+    """The index shards, one after another.  benchmark has id_col and either question and answer, or text.
+
+    The items are read twice, first for the counts; the driver holds the counts and one shard.
+    """
     if {"question", "answer"} <= set(benchmark.columns):
-        rows = [(r[0], r[1] or "", r[2] or "") for r in benchmark.select(id_col, "question", "answer").orderBy(id_col, "question", "answer").toLocalIterator()]
+        items = benchmark.select(id_col, "question", "answer").orderBy(id_col, "question", "answer")
+        split = lambda r: (r[0], r[1] or "", r[2] or "")
     else:
-        rows = [(r[0], *question_and_answer(r[1] or "")) for r in benchmark.select(id_col, "text").orderBy(id_col, "text").toLocalIterator()]
+        items = benchmark.select(id_col, "text").orderBy(id_col, "text")
+        split = lambda r: (r[0], *question_and_answer(r[1] or ""))
     df: dict[int, int] = {}
-    total = 0
-    for _, q, a in rows:
+    total = n = 0
+    for _, q, a in map(split, items.toLocalIterator()):
         h = np.concatenate([word_hashes(q), word_hashes(a)])
-        total += len(h)
+        total, n = total + len(h), n + 1
         for t in np.unique(h).tolist():
             df[t] = df.get(t, 0) + 1
-    return [Index(rows[k : k + SHARD_ITEMS], df, len(rows), total / max(len(rows), 1)) for k in range(0, len(rows), SHARD_ITEMS)]
+    shard: list[tuple] = []
+    for item in map(split, items.toLocalIterator()):
+        shard.append(item)
+        if len(shard) == SHARD_ITEMS:
+            yield Index(shard, df, n, total / n)
+            shard = []
+    if shard:
+        yield Index(shard, df, n, total / n)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
