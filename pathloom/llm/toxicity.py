@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pathloom.llm.common import arrow_schema
+from pathloom.llm.common import arrow_schema, written
 
 #: Labelled rows that train the model, at most.
 SAMPLE = 20_000
@@ -95,8 +95,8 @@ class Rows:
         return Rows(self.row, self.column, self.width, np.concatenate([self.dense[:, :-1], values[:, None], self.dense[:, -1:]], 1))
 
 
-def logistic(x: Rows, y: np.ndarray, steps: int = 600, shrink: float = 0.3, l2: float = 1e-5) -> np.ndarray:
-    """Weights by accelerated proximal gradient with an L1 term of shrink in all; the last column, constant, isn't shrunk."""
+def logistic(x: Rows, y: np.ndarray, start: np.ndarray | None = None, steps: int = 600, shrink: float = 0.3, l2: float = 1e-5) -> np.ndarray:
+    """Weights by accelerated proximal gradient, from start, with an L1 term of shrink in all; the last column, constant, isn't shrunk."""
     n, size = len(y), x.width + x.dense.shape[1]
     if n == 0 or y.min() == y.max():
         w = np.zeros(size)
@@ -108,13 +108,13 @@ def logistic(x: Rows, y: np.ndarray, steps: int = 600, shrink: float = 0.3, l2:
         norm = float(np.linalg.norm(v))
         v /= norm
     step = 0.9 / (0.25 * norm / n + l2)
-    w = z = np.zeros(size)
+    w = z = np.zeros(size) if start is None else start
     t = 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x.times(z), -30, 30)))
         new = z - step * (x.transposed_times(p - y) / n + l2 * z)
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * shrink / n, 0)
-        if np.abs(new - w).max() < 1e-4:
+        if np.abs(new - w).max() < 1e-3:
             return new
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
         z = new + (t - 1) / t_new * (new - w)
@@ -132,7 +132,7 @@ def train_chain(x: Rows, ys: list[np.ndarray], folds: np.ndarray) -> list[np.nda
             odds = np.zeros(len(y))
             for f in range(FOLDS):
                 others = known & (folds != f)
-                odds[folds == f] = x.take(folds == f).times(logistic(x.take(others), y[others]))
+                odds[folds == f] = x.take(folds == f).times(logistic(x.take(others), y[others], weights[-1], 100))
             x = x.with_column(np.clip(odds, -4, 4))
     return weights
 
@@ -157,8 +157,6 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col:
                 texts = part.column("_text").to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([list(words(t)) for t in texts], arrow.field(0).type), pa.array([figures(t) for t in texts], arrow.field(1).type), part.column("_fold"), *[part.column(c) for c in columns]], schema=arrow)
 
-    from pathloom.llm.common import written
-
     rows = written(rows.mapInArrow(featurise, schema))
     total = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns]).first()
     if not total["n"]:
@@ -207,6 +205,6 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
-    """The columns in keep, p_low_quality, p_toxic and toxic (1 from the threshold on, else 0) of every row."""
+    """The columns in keep, p_low_quality, p_toxic and toxic (whether p_toxic reaches the threshold) of every row."""
     chain = fit(docs, labels, CATEGORIES)
-    return score(docs, chain, keep).withColumn("toxic", (F.col("p_toxic") >= threshold).cast("int"))
+    return score(docs, chain, keep).withColumn("toxic", F.col("p_toxic") >= threshold)
