@@ -473,13 +473,21 @@ class Compiler:
     def unit_of(self, x: Items) -> str | None:
         return x.name.removeprefix("unit:") if x.name.startswith("unit:") else None
 
-    def normal(self, x: Items) -> tuple[Column, Column]:
-        """Value (double) and unit in the canonical unit."""
+    def normal(self, x: Items, beside: Items | None = None) -> tuple[Column, Column]:
+        """Value (double) and unit in the canonical unit.
+
+        If the unit beside it is known, only units of that dimension matter.
+        """
         unit, value = x.c.getField("unit"), x.c.getField("value").cast("double")
         known = self.unit_of(x)
         if known is not None:
             return value * F.lit(units.factor(known)), F.lit(units.canonical(known))
         table = {**{u.lower(): r for u, r in reversed(units.UNITS.items())}, **units.UNITS}
+        other = self.unit_of(beside) if beside is not None else None
+        if other is not None:
+            table = {u: r for u, r in table.items() if r[0] == units.canonical(other)}
+        if not table:
+            return value, unit
         factors = F.create_map(*[F.lit(v) for u, r in table.items() for v in (u, r[1])])
         canon = F.create_map(*[F.lit(v) for u, r in table.items() for v in (u, r[0])])
         pick = lambda m, d: F.coalesce(F.try_element_at(m, unit), F.try_element_at(m, F.lower(unit)), d)
@@ -489,7 +497,7 @@ class Compiler:
         """test on the values if the units are equal or one is empty, else on the normal values; apart where those units differ."""
         u, v = (F.coalesce(x.c.getField("unit"), F.lit("")) for x in (a, b))
         x, y = ((q.c.getField("value").cast("double") if real else q.c.getField("value")) for q in (a, b))
-        (p, s), (q, t) = self.normal(a), self.normal(b)
+        (p, s), (q, t) = self.normal(a, b), self.normal(b, a)
         plain = (F.lower(u) == F.lower(v)) if real else (u == v)
         known = F.when(plain | (u == "") | (v == ""), test(x, y)).when(s == t, test(p, q)).otherwise(apart)
         return F.when(a.c.isNotNull() & b.c.isNotNull(), known)

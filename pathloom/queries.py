@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.operators import references
 from pathloom.operators.api import compile_path, interpret, where
 from pathloom.operators.documents import nest
+from pathloom.plans.compiler import names
+from pathloom.plans.syntax import parse
 
 TYPES = {"b": "boolean", "i": "bigint", "s": "string", "d": "double"}
 
@@ -24,16 +26,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Functions whose result depends on the order of children, so on all the fields that they are ordered by.
+ORDERED = frozenset("first last tail skip take single aggregate join".split())
+
+
+def child_fields(expressions: list[str]) -> set[str] | None:
+    """The child fields that expressions name, or None if they need all of them in order."""
+    used: set[str] = set()
+    for e in expressions:
+        tree = parse(e)
+        fields, calls = names(tree)
+        if calls & ORDERED or "[" in e or "$index" in e:
+            return None
+        used |= fields
+    return used
+
+
+def kept(fields: dict[str, Column], used: set[str] | None) -> list[Column]:
+    """The first field, by which children are ordered, and the used ones; the scan reads no others."""
+    return [f.alias(n) for k, (n, f) in enumerate(fields.items()) if used is None or k == 0 or n in used]
+
+
+def order_documents(spark: SparkSession, sf_dir: str, used: set[str] | None = None) -> DataFrame:
     c = F.col
     orders = table(spark, sf_dir, "orders").select(
         c("o_orderkey").alias("key"), c("o_orderstatus").alias("status"), c("o_totalprice").cast("decimal(15,2)").alias("amount"), c("o_orderdate").cast("date").alias("date"), c("o_orderpriority").alias("priority"), F.struct(F.concat(F.lit("Customer/"), c("o_custkey").cast("string")).alias("reference")).alias("customer")
     )
-    lines = [
-        c("l_linenumber").cast("bigint").alias("n"), c("l_partkey").alias("partkey"), c("l_suppkey").alias("suppkey"), c("l_quantity").cast("bigint").alias("quantity"), c("l_extendedprice").cast("decimal(15,2)").alias("price"),
-        c("l_discount").cast("decimal(4,2)").alias("discount"), c("l_returnflag").alias("returnflag"), c("l_linestatus").alias("linestatus"), c("l_shipdate").cast("date").alias("shipdate"),
-    ]
-    return nest(orders, table(spark, sf_dir, "lineitem"), "key", "l_orderkey", lines, "lines")
+    lines = {
+        "n": c("l_linenumber").cast("bigint"), "partkey": c("l_partkey"), "suppkey": c("l_suppkey"), "quantity": c("l_quantity").cast("bigint"), "price": c("l_extendedprice").cast("decimal(15,2)"), "discount": c("l_discount").cast("decimal(4,2)"),
+        "returnflag": c("l_returnflag"), "linestatus": c("l_linestatus"), "shipdate": c("l_shipdate").cast("date"),
+    }
+    return nest(orders, table(spark, sf_dir, "lineitem"), "key", "l_orderkey", kept(lines, used), "lines")
 
 
 ORDERS = """d AS (SELECT o_orderkey AS key, o_orderstatus AS status, CAST(o_totalprice AS DECIMAL(15,2)) AS amount, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS priority, o_custkey AS custkey, coalesce(l.lines, []) AS lines
@@ -41,15 +64,15 @@ FROM orders LEFT JOIN (SELECT okey, list({'n': n, 'partkey': partkey, 'suppkey':
 FROM (SELECT l_orderkey AS okey, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS partkey, l_suppkey AS suppkey, CAST(l_quantity AS BIGINT) AS quantity, CAST(l_extendedprice AS DECIMAL(15,2)) AS price, CAST(l_discount AS DECIMAL(4,2)) AS discount, l_returnflag AS returnflag, l_linestatus AS linestatus, CAST(l_shipdate AS DATE) AS shipdate FROM lineitem) GROUP BY okey) l ON o_orderkey = l.okey)"""
 
 
-def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_documents(spark: SparkSession, sf_dir: str, used: set[str] | None = None) -> DataFrame:
     c = F.col
     customers = table(spark, sf_dir, "customer").select(
         c("c_custkey").alias("key"), c("c_name").alias("name"), c("c_mktsegment").alias("segment"), c("c_acctbal").cast("decimal(15,2)").alias("balance"),
         F.when(c("c_custkey") % 3 == 0, F.struct(c("c_acctbal").cast("decimal(15,2)").alias("value"), F.lit("mg").alias("unit"))).alias("valueQuantity"), F.when(c("c_custkey") % 3 == 1, c("c_name")).alias("valueString"),
         F.array(F.struct(F.lit("http://example.org/segment").alias("url"), c("c_mktsegment").alias("valueString")), F.struct(F.lit("http://example.org/nation").alias("url"), c("c_nationkey").cast("string").alias("valueString"))).alias("extension"),
     )
-    orders = [c("o_orderkey").alias("key"), c("o_orderstatus").alias("status"), c("o_totalprice").cast("decimal(15,2)").alias("amount"), c("o_orderdate").cast("date").alias("date"), c("o_orderpriority").alias("priority")]
-    return nest(customers, table(spark, sf_dir, "orders"), "key", "o_custkey", orders, "orders")
+    orders = {"key": c("o_orderkey"), "status": c("o_orderstatus"), "amount": c("o_totalprice").cast("decimal(15,2)"), "date": c("o_orderdate").cast("date"), "priority": c("o_orderpriority")}
+    return nest(customers, table(spark, sf_dir, "orders"), "key", "o_custkey", kept(orders, used), "orders")
 
 
 CUSTOMERS = """d AS (SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, CAST(c_acctbal AS DECIMAL(15,2)) AS balance, c_nationkey AS nationkey, coalesce(o.orders, []) AS orders
@@ -83,7 +106,8 @@ class Query:
     columns: dict[str, tuple[str, str, str]]  # name: expression, type, SQL
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = SOURCES[self.source][0](spark, sf_dir)
+        used = child_fields([e for e, _, _ in self.columns.values()])
+        df = SOURCES[self.source][0](spark, sf_dir, **({"used": used} if self.source in ("order", "customer") else {}))
         return df.select("key", *[compile_path(e, df.schema).first().cast(TYPES[t]).alias(n) for n, (e, t, _) in self.columns.items()])
 
     def sql(self) -> str:
@@ -184,7 +208,7 @@ def member_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row-level aggregation over values that paths compute."""
-    df = order_documents(spark, sf_dir)
+    df = order_documents(spark, sf_dir, {"returnflag", "price"})
     returned = compile_path("lines.where(returnflag = 'R').price.sum()", df.schema).column()
     return df.groupBy("status").agg(F.count("*").alias("n"), F.sum(returned).cast("double").alias("returned"))
 
