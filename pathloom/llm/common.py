@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir).
+    """A new path in the folder that all executors share (spark.checkpoint.dir, else the context's checkpoint folder).
 
-    Only where that setting is absent, as in local tests, a temporary folder stands in.
+    Only where neither is set, as in local tests, a temporary folder stands in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -43,10 +43,6 @@ def by_text(docs: DataFrame, *more: str, text_col: str = "text") -> DataFrame:
     return docs.select(*more, text.alias("_text"), F.xxhash64(text).alias("_t"), F.hash(text).alias("_u"))
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
-
-
 def arrow_schema(df_schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
