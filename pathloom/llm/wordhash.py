@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once, and bytes of the texts handled together.
-PIECE = 2 << 20
-CHUNK = 4 << 20
+PIECE = 1 << 20
+CHUNK = 2 << 20
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
