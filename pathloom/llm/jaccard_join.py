@@ -84,9 +84,9 @@ def frequency(keys: np.ndarray) -> np.ndarray:
     return np.exp2((keys >> np.uint64(54)).astype(float) / 16) - 1
 
 
-def shares(keys: np.ndarray, usual: float) -> np.ndarray:
-    """To how many tasks the texts with each ordered shingle are dealt."""
-    return np.ceil(np.maximum(frequency(keys) - usual, 1.0) / SALT).astype(np.int64)
+def shares(keys: np.ndarray, usual: float, most: int) -> np.ndarray:
+    """To how many tasks the texts with each ordered shingle are dealt, by at most so many texts."""
+    return np.ceil(np.maximum(frequency(keys) - usual, 1.0) / most).astype(np.int64)
 
 
 def prefix(s: np.ndarray, ranks: np.ndarray, usual: float) -> tuple[np.ndarray, int, int]:
@@ -183,7 +183,7 @@ def _postings(ranks, usual: float):
                 if not keys:
                     continue
                 k, v, n, few = np.concatenate(keys), np.repeat(np.array(vertices, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths), np.concatenate(small)
-                parts = shares(k, usual)
+                parts = shares(k, usual, SALT)
                 many = parts > 1
                 salt = np.where(many, 1 + size_class(n) * parts + v % parts, 0)
                 again = np.flatnonzero(many)
@@ -222,17 +222,23 @@ def _meetings(usual: float):
     """Postings sorted by key, salt, n and v to (a, b, hot): vertices of a shared key, of about one size, each with the least of those that it is connected to in this task.
 
     A run of vertices by size is cut where the next is too large for any pair across; what no set has in
-    its prefix for sets that aren't smaller connects nothing.  For salted keys (hot) the first vertex of
-    each run is given with a number of the key and size class.
+    its prefix for sets that aren't smaller connects nothing.  For salted keys (hot) that is decided over
+    all tasks: the first vertex of each run is given with a number of the key and size class and whether
+    the run has such a set; if it hasn't, so are its other vertices.
     """
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_()), ("small", pa.bool_())])
 
-    def rows(a: list, b: list, hot: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot))], schema=arrow)
+    def rows(a: list, b: list, hot: bool, small: list | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot)), pa.array(small or [True] * len(a), pa.bool_())], schema=arrow)
 
     def run(batches):
         key = salt = first = None
-        size, small, waiting, sets, hot = 0, False, [], Sets(), []
+        size, small, waiting, sets, hot, class_ = 0, False, [], Sets(), [], 0
+
+        def close() -> None:
+            if salt:
+                hot.extend((class_, x, small) for x in dict.fromkeys([first, *waiting]))
+
         for b in batches:
             keys, salts, n, v, s = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(keys):
@@ -245,10 +251,11 @@ def _meetings(usual: float):
             busy[-1] = True  # may go on in the next batch
             for a, z in zip(starts[busy].tolist(), ends[busy].tolist(), strict=True):
                 if new[a]:
+                    close()
                     key, salt, first, small, waiting = keys[a], salts[a], int(v[a]), False, []
                     if salt:
-                        class_ = (int(salt) - 1) // int(shares(keys[a : a + 1].view(np.uint64), usual)[0])
-                        hot.append((int(wh.mix(keys[a : a + 1].view(np.uint64) + np.uint64(class_)).view(np.int64)[0]), first))
+                        number = (int(salt) - 1) // int(shares(keys[a : a + 1].view(np.uint64), usual, SALT)[0])
+                        class_ = int(wh.mix(keys[a : a + 1].view(np.uint64) + np.uint64(number)).view(np.int64)[0])
                 waiting += v[a:z].tolist()
                 small = small or bool(s[a:z].any())
                 if small:
@@ -258,11 +265,14 @@ def _meetings(usual: float):
                     waiting = []
             size = n[-1]
             if hot:
-                yield rows([x for x, _ in hot], [y for _, y in hot], True)
-                hot = []
+                yield rows([x for x, _, _ in hot], [y for _, y, _ in hot], True, [z for _, _, z in hot])
+                hot.clear()
             if len(sets.above) > CONNECTED:
                 yield rows(list(sets.above), [sets.find(x) for x in sets.above], False)
                 sets = Sets()
+        close()
+        if hot:
+            yield rows([x for x, _, _ in hot], [y for _, y, _ in hot], True, [z for _, _, z in hot])
         if sets.above:
             yield rows(list(sets.above), [sets.find(x) for x in sets.above], False)
 
@@ -368,9 +378,9 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     cells, usual = count_cells(docs)
     ranks = spark.sparkContext.broadcast(cells)
     postings = docs.select("_text").mapInArrow(_postings(ranks, usual), "key long, salt int, n int, v long, small boolean")
-    met = written(postings.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "n", "v").mapInArrow(_meetings(usual), "a long, b long, hot boolean").distinct())
+    met = written(postings.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "n", "v").mapInArrow(_meetings(usual), "a long, b long, hot boolean, small boolean").distinct())
     hot = met.filter("hot")
-    across = hot.join(hot.groupBy("a").agg(F.min("b").alias("least")), "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    across = hot.join(hot.groupBy("a").agg(F.min("b").alias("least"), F.max("small").alias("any")).filter("any"), "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     families = components(met.filter("NOT hot").select("a", "b").unionByName(across))
     sizes = families.join(described.filter("_v IS NOT NULL").groupBy(F.col("_v").alias("v")).agg(F.max("n_shingles").alias("n")), "v")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")

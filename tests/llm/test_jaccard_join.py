@@ -70,6 +70,16 @@ def test_against_brute_force(make, monkeypatch, seed, settings_):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+def test_star_around_one_text_of_a_salted_key(make, monkeypatch):
+    """Only the bare text has the common shingles in its prefix for sets that aren't smaller; the others are dealt to other parts too."""
+    monkeypatch.setattr(jj, "SALT", 3)
+    template = [f"t{k}" for k in range(104)]
+    rows = [(0, " ".join(template))] + [(i, " ".join(template + [f"own{i}x{k}" for k in range(24)])) for i in range(1, 31)]
+    got = jj.jaccard_components(make(rows)).collect()
+    assert {r.component_id for r in got} == {0}
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
 HASHES = st.integers(0, 2**54 - 1).map(lambda x: x << 10)
 
 
