@@ -7,10 +7,10 @@ Each text takes the l (1 to ``MOST``) of least estimated cost: what its prefix's
 to meet, and what must then be verified.  Pairs need as many common prefix shingles as the smaller l
 asks for before their whole sets are compared.
 
-Pairs are not written out.  Prefix shingles are dealt by value; texts of similar size with a common one
-form a family, and families, in blocks of bounded size, are joined inside a task: pairs that are connected already are
-skipped, and only a spanning set of verified links leaves.  Families of several blocks have their
-oldest text in every block; texts that aren't connected to it yet then meet all blocks.
+Prefix shingles are dealt by value; texts of similar size with a common one form a family.  Families are
+joined in blocks of bounded size, each pair of blocks in one task.  Every candidate pair is verified, once;
+pairs are not written out: each text's number of links leaves, and a spanning set of the links, of which
+the components are made.
 
 Equal sets (copies) are one vertex throughout.  Null and empty texts have no shingle and no link; texts
 of fewer than ``SHINGLE`` words are one shingle.  Repeated rows and ids are joined like other copies.
@@ -280,74 +280,85 @@ def _meetings(usual: float):
 
 
 class Block:
-    """Texts of a family, joined among themselves as far as they aren't connected."""
+    """Texts of one block of a family, or of two, joined among themselves."""
 
     def __init__(self, ranks: np.ndarray, usual: float) -> None:
         self.ranks, self.usual = ranks, usual
         self.members: dict[int, tuple] = {}
 
-    def add(self, v: int, text: str, component: int, probe: bool) -> None:
+    def add(self, v: int, text: str, copies: int, side: int) -> None:
         if v in self.members:
             return
         raw = np.frombuffer((text or "").encode(), np.uint8)
         for _, s in shingle_sets(raw, np.array([0, len(raw)])):
-            self.members[v] = (s, *prefix(s, self.ranks, self.usual), component, probe)
+            self.members[v] = (s, *prefix(s, self.ranks, self.usual), copies, side)
 
-    def links(self, probes_only: bool) -> list[tuple[int, int]]:
-        """Verified links that connect what is similar here; with probes_only, of pairs with a probe."""
+    def links(self, across: bool) -> tuple[list[tuple[int, int]], dict[int, int]]:
+        """Links that connect what is similar here, and of each text the number of rows that are similar to it; with across, of pairs of different blocks."""
         order = sorted(self.members, key=lambda v: (len(self.members[v][0]), v))
-        sets = [self.members[v][0] for v in order]
-        size = np.array([len(s) for s in sets])
-        l = np.array([self.members[v][2] for v in order])
-        _, label = np.unique(np.array([self.members[v][4] for v in order]), return_inverse=True)
-        probe = np.array([self.members[v][5] for v in order])
-        index: dict[int, list[int]] = {}
-        out = []
-        for y, v in enumerate(order):
-            _, keys, _, n_small, _, _ = self.members[v]
-            met = [index[k] for k in keys.tolist() if k in index]
+        if not order:
+            return [], {}
+        sets, prefixes, l, n_small, copies, side = zip(*(self.members[v] for v in order), strict=True)
+        size, l, copies, side = (np.array(x, np.int64) for x in ([len(s) for s in sets], l, copies, side))
+        shingles, sets = numbered(sets)
+        keys, prefixes = numbered(prefixes)
+        # texts by prefix shingle: room for all, filled up to the present text
+        room = np.bincount(np.concatenate([k[:m] for k, m in zip(prefixes, n_small, strict=True)]), minlength=keys)
+        start = np.cumsum(room) - room
+        end, posted = start.copy(), np.zeros(int(room.sum()), np.int64)
+        label, degree, mark, out = np.arange(len(order)), np.zeros(len(order), np.int64), np.zeros(shingles, bool), []
+        for y, k in enumerate(prefixes):
+            met = [posted[a:z] for a, z in zip(start[k].tolist(), end[k].tolist(), strict=True) if a < z]
             if met:
-                counts = np.bincount(np.concatenate([np.array(m) for m in met]), minlength=y)
-                able = (counts > 0) & (counts >= np.minimum(l[: len(counts)], l[y])) & (100 * size[: len(counts)] >= PERCENT * size[y])
-                if probes_only and not probe[y]:
-                    able &= probe[: len(counts)]
+                counts = np.bincount(np.concatenate(met), minlength=y)
+                able = (counts > 0) & (counts >= np.minimum(l[:y], l[y])) & (100 * size[:y] >= PERCENT * size[y])
+                if across:
+                    able &= side[:y] != side[y]
                 found = np.flatnonzero(able)
-                for x in found[np.argsort(-counts[found], kind="stable")].tolist():
-                    if label[x] != label[y] and self.similar(sets[x], sets[y]):
-                        out.append((order[x], v))
-                        label[label == label[x]] = label[y]
-            for k in keys[:n_small].tolist():
-                index.setdefault(k, []).append(y)
-        return out
-
-    @staticmethod
-    def similar(a: np.ndarray, b: np.ndarray) -> bool:
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        both = int((b[at] == a).sum())
-        return 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-
-def _join(ranks, usual: float, probes_only: bool):
-    """Texts sorted by family and block to verified links (a, b)."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+                if len(found):
+                    mark[sets[y]] = True
+                    both = np.add.reduceat(mark[np.concatenate([sets[x] for x in found.tolist()])], np.cumsum(size[found]) - size[found], dtype=np.int64)
+                    mark[sets[y]] = False
+                    found = found[100 * both >= PERCENT * (size[found] + size[y] - both)]
+                    degree[found] += copies[y]
+                    degree[y] += copies[found].sum()
+                    labels, one = np.unique(label[found], return_index=True)
+                    out += [(order[x], order[y]) for x in found[one].tolist()]
+                    label[np.isin(label, labels)] = y
+            k = k[: n_small[y]]
+            posted[end[k]] = y
+            end[k] += 1
+        return out, {order[x]: int(degree[x]) for x in np.flatnonzero(degree).tolist()}
+
+
+def numbered(parts: tuple[np.ndarray, ...]) -> tuple[int, list[np.ndarray]]:
+    """How many distinct values the parts have, and the parts with each value as a number below that."""
+    values, at = np.unique(np.concatenate(parts), return_inverse=True)
+    return len(values), np.split(at, np.cumsum([len(x) for x in parts])[:-1])
+
+
+def _join(ranks, usual: float):
+    """Texts sorted by family and blocks p and q to verified links (a, b, null) and to (a, null, rows that a is linked to)."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         at, block = None, None
 
         def done():
-            links = block.links(probes_only)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], schema=arrow)
+            links, degree = block.links(at[1] != at[2])
+            none, less = [None] * len(links), [None] * len(degree)
+            return pa.RecordBatch.from_arrays([pa.array([*(x for x, _ in links), *degree], pa.int64()), pa.array([*(y for _, y in links), *less], pa.int64()), pa.array([*none, *degree.values()], pa.int64())], schema=arrow)
 
         for b in batches:
             for low in range(0, b.num_rows, 500):
                 part = b.slice(low, 500)
-                for family, number, v, component, probe, text in zip(*(part.column(i) for i in range(6)), strict=True):
-                    here = family.as_py(), number.as_py()
+                for family, p, q, v, own, copies, text in zip(*(part.column(i) for i in range(7)), strict=True):
+                    here = family.as_py(), p.as_py(), q.as_py()
                     if here != at:
                         if block:
                             yield done()
                         at, block = here, Block(ranks.value, usual)
-                    block.add(v.as_py(), text.as_py(), component.as_py(), probe.as_py())
+                    block.add(v.as_py(), text.as_py(), copies.as_py(), own.as_py())
         if block:
             yield done()
 
@@ -373,7 +384,10 @@ def _texts(batches):
 
 
 def links(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """Verified links (a, b) between vertices, enough to connect all similar sets.  docs has _text, described _v and n_shingles."""
+    """Verified links (a, b, null) between vertices, enough to connect all similar sets, and (a, null, n): a is linked to n rows of other vertices, in parts to be summed.
+
+    docs has _text, described _v and n_shingles.
+    """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     cells, usual = count_cells(docs)
     ranks = spark.sparkContext.broadcast(cells)
@@ -382,43 +396,40 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     hot = met.filter("hot")
     across = hot.join(hot.groupBy("a").agg(F.min("b").alias("least"), F.max("small").alias("any")).filter("any"), "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     families = components(met.filter("NOT hot").select("a", "b").unionByName(across))
-    sizes = families.join(described.filter("_v IS NOT NULL").groupBy(F.col("_v").alias("v")).agg(F.max("n_shingles").alias("n")), "v")
+    sizes = families.join(described.filter("_v IS NOT NULL").groupBy(F.col("_v").alias("v")).agg(F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "v")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    families = families.join(sizes.groupBy("label").agg(blocks.alias("blocks")), "label").select("v", F.col("label").alias("family"), "blocks")
-    texts = written(docs.select("_text").mapInArrow(_texts, "v long, text string").join(families, "v"))
-    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    layout = ("family", "block", "v", "component", "probe", "text")
-    first = texts.withColumn("block", F.explode(F.when(F.col("v") == F.col("family"), every).otherwise(F.array(own)))).withColumn("component", F.col("v")).withColumn("probe", F.lit(False)).select(*layout)
-    found = first.repartition(n, "family", "block").sortWithinPartitions("family", "block").mapInArrow(_join(ranks, usual, False), "a long, b long")
-    if families.filter("blocks > 1").isEmpty():
-        return found
-    found = written(found)
-    labels = components(found)
-    several = texts.filter("blocks > 1").join(labels.withColumnRenamed("label", "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    main = labels.select(F.col("v").alias("family"), F.col("label").alias("main"))
-    several = several.join(main, "family", "left").withColumn("probe", F.col("component") != F.coalesce("main", "family"))
-    second = several.withColumn("block", F.explode(F.when(F.col("probe"), every).otherwise(F.array(own)))).select(*layout)
-    return found.unionByName(second.repartition(n, "family", "block").sortWithinPartitions("family", "block").mapInArrow(_join(ranks, usual, True), "a long, b long"))
+    families = sizes.join(sizes.groupBy("label").agg(blocks.alias("blocks")), "label").select("v", F.col("label").alias("family"), "blocks", "copies")
+    texts = docs.select("_text").mapInArrow(_texts, "v long, text string").join(families, "v")
+    texts = texts.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    laid = texts.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "v", "own", "copies", "text")
+    return written(laid.repartition(n, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_join(ranks, usual), "a long, b long, n long"))
 
 
-def jaccard_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
     """The columns in keep, n_shingles and component_id (least id reachable by links, its own included) of every row.
 
     A row without shingles has its own id as component_id; null ids count for nothing in the least id.
+    with_links adds n_links: the number of other rows that are similar to the row, copies included.
     """
     kinds = {f.name: f.dataType for f in docs.schema}
     source = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     names = [f"_k{i}" for i in range(len(keep))] + ["_id"]
     schema = StructType([StructField(x, kinds[c]) for x, c in zip(names, [*keep, id_col], strict=True)] + [StructField("n_shingles", LongType()), StructField("_v", LongType())])
     described = written(source.mapInArrow(_describe(len(names), arrow_schema(schema)), schema))
-    labels = components(links(source, described))
+    found = links(source, described)
+    labels = components(found)
     placed = described.join(labels.withColumnRenamed("v", "_v"), "_v", "left").withColumn("label", F.coalesce("label", "_v"))
+    columns = [*names, "n_shingles", "component_id"]
+    if with_links:
+        columns.append("n_links")
+        copies = described.filter("_v IS NOT NULL").groupBy("_v").agg((F.count("*") - 1).alias("n"))
+        others = found.filter("n IS NOT NULL").select(F.col("a").alias("_v"), "n")
+        placed = placed.join(copies.unionByName(others).groupBy("_v").agg(F.sum("n").alias("n_links")), "_v", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     least = placed.filter("label IS NOT NULL").groupBy("label").agg(F.min("_id").alias("component_id"))
     alone = placed.filter("label IS NULL").withColumn("component_id", F.col("_id"))
     done = placed.filter("label IS NOT NULL").join(least, "label")
-    columns = [*names, "n_shingles", "component_id"]
-    return done.select(*columns).unionByName(alone.select(*columns)).select(*[F.col(x).alias(c) for x, c in zip(names, keep, strict=False)], "n_shingles", "component_id")
+    return done.select(*columns).unionByName(alone.select(*columns)).select(*[F.col(x).alias(c) for x, c in zip(names, keep, strict=False)], *columns[len(names) :])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

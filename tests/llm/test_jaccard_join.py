@@ -80,6 +80,19 @@ def test_star_around_one_text_of_a_salted_key(make, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("settings_", [{}, {"BLOCK_TEXTS": 3, "SALT": 2}, {"BLOCK_SHINGLES": 150, "CONNECTED": 4, "SEEN": 3}])
+def test_number_of_links(make, monkeypatch, settings_):
+    """All links count, also those between texts that others connect already, and copies."""
+    for k, v in settings_.items():
+        monkeypatch.setattr(jj, k, v)
+    rows = corpus(7) + [(900, "a b c d e f g h i j k l m n o p"), (901, "a b c d e f g h i j k l m n o p q"), (902, "a b c d e f g h i j k l m n o p q"), (903, "a b c d e f g h i j k l m n o p q r")]
+    sets = [shingles(t) for _, t in rows]
+    similar = lambda a, b: bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+    want = Counter((i, sum(similar(s, o) for o in sets) - bool(s)) for (i, _), s in zip(rows, sets, strict=True))
+    assert want[900, 3] and max(n for _, n in want) > 3
+    assert Counter((r.doc_id, r.n_links) for r in jj.jaccard_components(make(rows), with_links=True).collect()) == want
+
+
 HASHES = st.integers(0, 2**54 - 1).map(lambda x: x << 10)
 
 
