@@ -406,11 +406,12 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     return written(laid.repartition(n, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_join(ranks, usual), "a long, b long, n long"))
 
 
-def jaccard_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", with_links: bool = False, with_class: bool = False) -> DataFrame:
     """The columns in keep, n_shingles and component_id (least id reachable by links, its own included) of every row.
 
     A row without shingles has its own id as component_id; null ids count for nothing in the least id.
     with_links adds n_links: the number of other rows that are similar to the row, copies included.
+    with_class adds class_id, which is unique to a component also where ids are null or repeated (null without shingles).
     """
     kinds = {f.name: f.dataType for f in docs.schema}
     source = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -426,6 +427,9 @@ def jaccard_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_
         copies = described.filter("_v IS NOT NULL").groupBy("_v").agg((F.count("*") - 1).alias("n"))
         others = found.filter("n IS NOT NULL").select(F.col("a").alias("_v"), "n")
         placed = placed.join(copies.unionByName(others).groupBy("_v").agg(F.sum("n").alias("n_links")), "_v", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    if with_class:
+        columns.append("class_id")
+        placed = placed.withColumn("class_id", F.col("label"))
     least = placed.filter("label IS NOT NULL").groupBy("label").agg(F.min("_id").alias("component_id"))
     alone = placed.filter("label IS NULL").withColumn("component_id", F.col("_id"))
     done = placed.filter("label IS NOT NULL").join(least, "label")
@@ -436,9 +440,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one row of each component: that of the least id (null last), then least text; rows without shingles all stay.  The columns are those of docs."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_body"))
     packed = packed.withColumn("_t", F.xxhash64("_body")).withColumn("_u", F.hash("_body"))
-    placed = jaccard_components(packed.withColumnRenamed("_doc", "doc_id").withColumnRenamed("_body", "text"), keep=("doc_id", "_t", "_u"))
+    placed = jaccard_components(packed.withColumnRenamed("_doc", "doc_id").withColumnRenamed("_body", "text"), keep=("doc_id", "_t", "_u"), with_class=True)
     linked = placed.filter("n_shingles > 0")
-    chosen = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_t", "_u")).alias("one")).select("one.doc_id", "one._t", "one._u")
+    chosen = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_t", "_u")).alias("one")).select("one.doc_id", "one._t", "one._u")
     one = packed.join(chosen.withColumnRenamed("doc_id", "_chosen"), ["_t", "_u"]).filter(F.col("_doc").eqNullSafe(F.col("_chosen")))
     # repeated rows that agree in id and text: the first of them by all their values
     empty = packed.filter(F.regexp_replace("_body", "[\\x20\\x09-\\x0D]+", "") == "")

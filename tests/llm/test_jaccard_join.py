@@ -130,6 +130,13 @@ def test_one_of_each_group_stays(make):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([*groups, *empty])
 
 
+def test_components_without_ids_of_their_own_stay_apart(make):
+    """Unrelated texts with null ids, or with one id, are groups of their own."""
+    rows = [(None, "one text of its own words"), (None, "quite another text that stands alone"), (None, "quite another text that stands alone"), (7, "the seventh says this and that"), (7, "nobody wrote any such line before"), (8, "nobody wrote any such line before")]
+    kept = jj.keep_one(make(rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([rows[0], rows[1], rows[3], rows[4]])
+
+
 def test_components(spark):
     r = random.Random(0)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5), (None, 3)]
