@@ -3,7 +3,8 @@
 Base kinds are ``assign``, ``access`` and ``hex``; ``owned`` is the kind that the method adds.  Values
 are hashed, and for each hash the distinct repositories and owners are counted over the whole corpus.
 A value that ``WIDE`` owners or more share is a widely copied example; one of fewer owners that looks
-random is owner-specific and counts as live.  Further random-looking tokens are reported (``owned``)
+random, or that is assigned and isn't a known placeholder, is owner-specific and counts as live.  Short
+values can't look random: few characters have few bits whatever their source.  Further random-looking tokens are reported (``owned``)
 only if they are owner-specific.
 
 Null texts are empty; a null repository or owner counts as one unknown one.  Repeated rows give
@@ -27,6 +28,8 @@ from pathloom.llm.common import arrow_schema, by_text, written
 WIDE = 3
 #: Bits a character from which a value looks random.
 ENTROPY = 3.0
+#: Words that make up placeholders of assigned values.
+PLACEHOLDERS = frozenset("api apikey change changeme default dummy example field hidden here insert key me my none null passwd password placeholder redacted removed required sample secret string test the todo token undefined unknown your".split())
 KINDS = ("assign", "access", "hex", "owned")
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -42,6 +45,16 @@ def entropy(s: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in (s.count(c) for c in set(s))) if n else 0.0
 
 
+def placeholder(value: str) -> bool:
+    """One repeated character, or nothing but PLACEHOLDERS and separators."""
+    return len(set(value)) == 1 or all(w in PLACEHOLDERS for w in re.split(r"[+/_.=-]+", value.lower()) if w)
+
+
+def secretive(kind: int, value: str) -> bool:
+    """Whether a value counts as live if it is owner-specific."""
+    return entropy(value) >= ENTROPY or (KINDS[kind] == "assign" and not placeholder(value))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     """(kind, start, end, value start, value end) of the base kinds, by start, then kind."""
     out = []
@@ -86,7 +99,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...], repo: Column, owner: Column, te
                     for k in range(3):
                         counts[k].append(sum(x[0] == k for x in base))
                     digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{z}" for k, a, z, _, _ in base).encode()).hexdigest())
-                    found.append([dict(kind=k, start=a, end=z, value_start=v, value_end=w, hash=_hash(text[v:w]), random=entropy(text[v:w]) >= ENTROPY) for k, a, z, v, w in base + other_spans(text, base)])
+                    found.append([dict(kind=k, start=a, end=z, value_start=v, value_end=w, hash=_hash(text[v:w]), random=secretive(k, text[v:w])) for k, a, z, v, w in base + other_spans(text, base)])
                 columns = [part.column(c) for c in names] + [pa.array(c, pa.int64()) for c in counts] + [pa.array(digests, pa.string()), pa.array(found, arrow.field("_found").type)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 

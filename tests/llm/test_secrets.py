@@ -50,6 +50,19 @@ def test_redaction(make):
     assert texts == sorted([f"key {SHARED}"] * 5 + ['token = "[SECRET]" end'] * 2 + ["", "clean text"])
 
 
+def test_short_assigned_values_are_live(make):
+    """Values too short for many bits a character are live and masked if owner-specific; placeholders and examples stay."""
+    secret = ["Tr0ub4dor", "a1b2a1c3", "hunterhunter", "77a7a7a7", "password1"]
+    rows = [(i, f"password = {v} end", "s1") for i, v in enumerate(secret)]
+    stay = [(10 + i, f"password = {v} end", "s1") for i, v in enumerate(("changeme", "xxxxxxxx", "password", "test_test"))]
+    stay += [(20 + i, "token: aabbaabb end", f"s{i}") for i in range(3)]
+    assert all(sc.entropy(v) < sc.ENTROPY for v in secret)
+    got = {r.doc_id: r.n_live for r in sc.find_secrets(make(rows + stay)).collect()}
+    assert got == {i: 1 for i, *_ in rows} | {i: 0 for i, *_ in stay}
+    texts = {r.doc_id: r.text for r in sc.redact(make(rows + stay)).collect()}
+    assert texts == {i: "password = [SECRET] end" for i, *_ in rows} | {i: t for i, t, _ in stay}
+
+
 def test_query(spark, sf):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op7_secrets(spark, sf).collect()
