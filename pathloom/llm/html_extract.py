@@ -33,7 +33,9 @@ _NAME = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Elements whose insides show no text.
-SILENT = frozenset("script style noscript template iframe object svg math head title textarea select datalist canvas audio video map".split())
+SILENT = frozenset("script style template iframe svg head title textarea select datalist canvas map".split())
+#: What can stand in a head; any other opening tag ends it.  Elements of it whose insides are no tags of the page.
+HEAD, RAW = frozenset("head html base basefont bgsound link meta noscript script style template title".split()), frozenset("noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption form fieldset legend address details summary dialog hgroup menu search center button label".split())
 #: Elements that an opening tag ends, if they are open above it.
@@ -96,7 +98,7 @@ class Tree:
         stack: list[tuple[str, int]] = [("", 0)]
         parts: list[str] = []
         links = linked = at = 0
-        silent, depth = "", 0
+        silent, depth, raw = "", 0, ""
 
         def flush() -> None:
             nonlocal linked
@@ -123,13 +125,17 @@ class Tree:
                     depth += -1 if closing else 1
                     if not depth or (closing and tag in ("script", "style", "textarea", "title")):
                         silent = ""
-                elif silent == "head" and tag == "body":
+                elif silent == "head" and not closing and (tag == "body" or (not raw and tag not in HEAD)):
                     silent = ""
-                if silent or tag != "body":
+                elif silent == "head" and raw:
+                    raw = "" if closing and tag == raw else raw
+                elif silent == "head" and not closing and tag in RAW and not (m[3] or m[6] or "").endswith("/"):
+                    raw = tag
+                if silent or closing or tag in HEAD:
                     continue
             if tag in SILENT:
                 if not closing and not (m[3] or m[6] or "").endswith("/"):
-                    silent, depth = tag, 1
+                    silent, depth, raw = tag, 1, ""
                 continue
             if tag == "a":
                 links = 0 if closing else 1

@@ -74,3 +74,12 @@ def test_query(spark, sf):
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<br>|</?b>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_text_of_math_fallbacks_and_an_unclosed_head():
+    from pathloom.llm.html_extract import Tree
+
+    text = lambda html: " ".join(t for _, t in Tree(html).leaves)
+    assert text("<body><p>So <math><mi>x</mi></math> <object><param name=a>seen</object> <noscript>by</noscript> <audio>all</audio> <video>here</video></p></body>").split() == "So x seen by all here".split()
+    assert text("<head><title>no</title><script>'<div>'</script><meta name=a><p>Yes<p>indeed") == "Yes indeed"
+    assert text("<head><title>no</title></head><body>Yes</body>") == text("<head><title>no<body>Yes") == "Yes"
