@@ -2,20 +2,25 @@
 
 A page is read into a tree of block elements whose leaves are text blocks.  Every node is content or
 not; a node's own potential comes from its tag, the words of its class and id, its role and, for
-leaves, its length and links; parent-child potentials connect neighbours.  Sum-product messages go
+leaves, its length and links, and that of the root from whether any element is named as the article's;
+parent-child potentials connect neighbours.  Sum-product messages go
 upward and downward, and a text block is kept if its content marginal is at least one half.
 
 The weights are trained on labelled pages by maximum likelihood, whose gradient comes from the same
 messages.  ``labelled_pages`` makes such pages: layouts of many kinds in which ``data-y`` marks content.
 
 Head, script, style and other elements that show no text are dropped while reading.  Inside a block
-white space becomes one space; blocks are joined by a line feed.  Null pages are empty.
+white space becomes one space; blocks are joined by a line feed.
+
+Null pages are empty, with an empty text; repeated rows give repeated results; an empty table gives
+none.  Other columns don't matter, whatever their names; a page of any length is read in linear time.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from html import unescape
 
@@ -27,16 +32,24 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pathloom.llm.common import arrow_schema
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[!?/]?[a-zA-Z!?/][^<>]*\Z""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|data-y|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A whole tag; quotes count only after an equals sign.  Nothing in it backtracks.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>""")
+#: What stands for a tag once one has run to the page's end unclosed.
+_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)>?")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?--!?>)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\Z""")
 _NAME = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Elements whose insides show no text.
-SILENT = frozenset("script style template iframe svg head title textarea select datalist canvas map".split())
-#: What can stand in a head; any other opening tag ends it.  Elements of it whose insides are no tags of the page.
-HEAD, RAW = frozenset("head html base basefont bgsound link meta noscript script style template title".split()), frozenset("noscript script style template title".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SILENT = frozenset("script style template iframe svg head title textarea select datalist noembed noframes".split())
+#: Those of them whose insides are characters, not tags, up to their own end tag; it is their last one in the second set if there is no end tag.
+RAW = frozenset("script style iframe title textarea noembed noframes".split())
+RUNS_ON = frozenset(["script", "style"])
+_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+#: What can stand in a head; any other opening tag ends it.
+HEAD = frozenset("head html base basefont bgsound link meta noscript script style template title".split())
 BLOCKS = frozenset("html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption form fieldset legend address details summary dialog hgroup menu search center button label".split())
 #: Elements that an opening tag ends, if they are open above it.
 CLOSES = {t: frozenset(["p"]) for t in BLOCKS - {"button", "label"}} | {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
@@ -60,8 +73,16 @@ _TAG_OF = {t: k for k, group in enumerate(TAGS) for t in group}
 _NAME_OF = {w: k for k, group in enumerate(NAMES) for w in group}
 _LEAF = len(TAGS) + len(NAMES) + 3
 LENGTHS = (20, 60, 150, 400)
-#: Bias, tags, names, other tag, role, hidden, then leaves: is one, lengths, link share.
-FEATURES = 1 + _LEAF + 1 + len(LENGTHS) + 1 + 3
+#: Bias, tags, names, other tag, role, hidden, then leaves: is one, lengths, link share; last, of the root: no element holds the article by its tag or names alone.
+FEATURES = 1 + _LEAF + 1 + len(LENGTHS) + 1 + 3 + 1
+_HOLDERS = frozenset(k for k in range(len(TAGS)) if TAGS[k][0] in ("article", "main")) | {len(TAGS) + len(NAMES) - 1}
+_OTHERS = frozenset(range(len(TAGS), len(TAGS) + len(NAMES) - 1)) | frozenset(range(len(TAGS) + len(NAMES) + 1, _LEAF)) | frozenset(k for k in range(len(TAGS)) if TAGS[k][0] in ("nav", "header", "footer", "aside", "form"))
+
+
+def holds(features: tuple[int, ...]) -> bool:
+    """Whether an element's tag or names say that it is the article's, and nothing else."""
+    kinds = {f - 1 for f in features}
+    return not kinds.isdisjoint(_HOLDERS) and kinds.isdisjoint(_OTHERS)
 
 
 @lru_cache(maxsize=20_000)
@@ -88,17 +109,60 @@ def leaf_features(text: str, linked: int) -> tuple[int, ...]:
     return (0, start, start + 1 + sum(n >= x for x in LENGTHS), start + 2 + len(LENGTHS) + (0 if share < 0.1 else 1 if share < 0.6 else 2))
 
 
+def tokens(html: str):
+    """(start, end, tag, closing, attributes) of every tag, comment (tag empty) and raw element's insides (tag empty), in linear time.
+
+    As in browsers, insides of raw elements reach to their own end tag, whatever stands in them, and
+    quotes count only around attribute values; a quote that isn't closed is part of a name.  Once a tag
+    runs to the page's end unclosed, tags end at the next < or >, so that none is scanned twice.
+    """
+    at, trusted, unclosed, size = 0, True, set(), len(html)
+    more_ends = more_comments = True
+    while (at := html.find("<", at)) >= 0:
+        mark = html[at + 1 : at + 2]
+        if mark in ("!", "?") or (mark == "/" and not html[at + 2 : at + 3].isalpha()):
+            if html.startswith("<!--", at) and more_comments:
+                m = _COMMENT.match(html, at)
+                more_comments = m is not None
+                end = m.end() if m else size
+            else:
+                end = html.find(">", at) + 1 if more_ends else 0
+                more_ends = end > 0
+            if end:
+                yield at, end, "", False, ""
+            at = end or at + 1
+            continue
+        m = _TAG.match(html, at) if trusted else _BARE.match(html, at)
+        if m is None and trusted and mark.isascii() and (mark.isalpha() or mark == "/"):
+            trusted, m = False, _BARE.match(html, at)
+        if m is None:
+            at += 1
+            continue
+        tag, closing, attributes = m[2].lower(), bool(m[1]), m[3]
+        yield at, m.end(), tag, closing, attributes
+        at = m.end()
+        if tag in RAW and not closing and not _CLOSED.search(attributes) and tag not in unclosed:
+            end = _END[tag].search(html, at)
+            if end is None:
+                unclosed.add(tag)
+            if end or tag in RUNS_ON:
+                stop = end.start() if end else size
+                yield at, stop, "", False, ""
+                at = stop
+
+
 class Tree:
     """Nodes in page order (a parent before its children): parents, features, labels; leaves: node and text."""
 
     __slots__ = ("parent", "features", "label", "leaves")
 
     def __init__(self, html: str) -> None:
-        self.parent, self.features, self.label, self.leaves = [-1], [(0,)], ["0"], []
+        self.parent, self.features, self.label, self.leaves = [-1], [(0,)], [None], []
         stack: list[tuple[str, int]] = [("", 0)]
+        places: dict[str, list[int]] = {}  # where in the stack a tag is open
         parts: list[str] = []
         links = linked = at = 0
-        silent, depth, raw = "", 0, ""
+        silent, depth, foreign = "", 0, False
 
         def flush() -> None:
             nonlocal linked
@@ -110,32 +174,38 @@ class Tree:
                     self.leaves.append((len(self.parent) - 1, text))
             linked = 0
 
-        for m in _TOKEN.finditer(html):
-            if m.start() > at and not silent:
-                parts.append(html[at : m.start()])
+        def cut(k: int) -> None:
+            for name, _ in stack[k:]:
+                places[name].pop()
+            del stack[k:]
+
+        for start, end, tag, closing, attributes in tokens(html):
+            if start > at and not silent:
+                parts.append(html[at:start])
                 if links:
-                    linked += m.start() - at
-            at = m.end()
-            tag = m[2] or m[5]
+                    linked += start - at
+            at = end
             if not tag:
                 continue
-            tag, closing = tag.lower(), bool(m[1] or m[4])
             if silent:
                 if tag == silent:
                     depth += -1 if closing else 1
-                    if not depth or (closing and tag in ("script", "style", "textarea", "title")):
+                    if not depth:
                         silent = ""
-                elif silent == "head" and not closing and (tag == "body" or (not raw and tag not in HEAD)):
-                    silent = ""
-                elif silent == "head" and raw:
-                    raw = "" if closing and tag == raw else raw
-                elif silent == "head" and not closing and tag in RAW and not (m[3] or m[6] or "").endswith("/"):
-                    raw = tag
-                if silent or closing or tag in HEAD:
                     continue
+                if silent == "svg":
+                    foreign = foreign or tag == "foreignobject"
+                    if closing or foreign or tag not in BLOCKS:
+                        continue
+                elif silent == "head":
+                    if closing or tag in HEAD or tag in SILENT:
+                        continue
+                elif silent == "template" or closing or tag not in BLOCKS:
+                    continue
+                silent = ""  # an element that can't stand in there: the silent one was left open
             if tag in SILENT:
-                if not closing and not (m[3] or m[6] or "").endswith("/"):
-                    silent, depth, raw = tag, 1, ""
+                if not closing and not _CLOSED.search(attributes) and (tag not in RAW or html.startswith("</", at)):
+                    silent, depth, foreign = tag, 1, False
                 continue
             if tag == "a":
                 links = 0 if closing else 1
@@ -145,31 +215,35 @@ class Tree:
                 continue
             flush()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        links = 0
-                        break
+                if places.get(tag):
+                    cut(places[tag][-1])
+                    links = 0
                 continue
-            ends, scope = CLOSES.get(tag, ()), SCOPES.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in scope or (stack[k][0] not in ends and tag not in SCOPES):
-                    break
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    if tag not in SCOPES:
-                        break
-            features, label = element_features(tag, m[3] or m[6] or "")
+            if tag in SCOPES:
+                border = max((places[t][-1] for t in SCOPES[tag] if places.get(t)), default=0)
+                open_ = [places[t][i] for t in CLOSES[tag] if places.get(t) and (i := bisect_right(places[t], border)) < len(places[t])]
+                if open_:
+                    cut(min(open_))
+            elif stack[-1][0] in CLOSES.get(tag, ()):
+                cut(len(stack) - 1)
+            features, label = element_features(tag, attributes) if len(attributes) < 500 else element_features.__wrapped__(tag, attributes)
             self._add(stack[-1][1], features, label)
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, len(self.parent) - 1))
         if not silent:
             parts.append(html[at:])
         flush()
+        held = any(map(holds, set(self.features)))
+        self.features[0] = (0,) if held else (0, FEATURES - 1)
+        self.label[0] = "0" if held else "1"
+        for k in range(1, len(self.parent)):
+            if self.label[k] is None:
+                self.label[k] = self.label[self.parent[k]]
 
     def _add(self, parent: int, features: tuple[int, ...], label: str | None) -> None:
         self.parent.append(parent)
         self.features.append(features)
-        self.label.append(self.label[parent] if label is None else label)
+        self.label.append(label)
 
 
 class Forest:
@@ -217,7 +291,7 @@ class Forest:
         return p, both
 
 
-def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
     """Pages of many layouts; data-y="1" opens content and data-y="0" what isn't content."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randint(1, 9)))
@@ -310,7 +384,15 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
             sides = [junk() for _ in range(r.choice((0, 1, 2)))]
             content = f"<{wrap}>{''.join(sides[:1])}{content}{''.join(sides[1:])}</{wrap.split()[0]}>"
         before, after = "".join(junk() for _ in range(r.randint(0, 4))), "".join(junk() for _ in range(r.randint(0, 4)))
-        pages.append(f"<html><body>{before}{content}{after}</body></html>")
+        x = r.random()
+        if x < 0.2:  # nothing holds the article but the page
+            pages.append(f"<html><body data-y='1'>{before}{''.join(parts)}{after}</body></html>")
+        elif x < 0.28:
+            pages.append(f"<html><body>{before}<div data-y='1'>{''.join(parts)}</div>{after}</body></html>")
+        elif x < 0.36:
+            pages.append("<html><body data-y='1'>" * r.randint(0, 1) + "".join(f"<p data-y='1'>{text(1, 60)}</p>" for _ in range(r.randint(1, 4))))
+        else:
+            pages.append(f"<html><body>{before}{content}{after}</body></html>")
     return pages
 
 
