@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def kept(keep: tuple[str, ...], made: list[str]) -> tuple[str, ...]:
+    """keep without the names in made: a kept column gives way to a result of its name, in any case of letters."""
+    taken = {m.lower() for m in made}
+    return tuple(c for c in keep if c.lower() not in taken)
+
+
+def packed(df: DataFrame) -> Column:
+    """The whole row as one struct, so that no column of it can meet another of its name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def by_text(docs: DataFrame, *more: str, text_col: str = "text") -> DataFrame:
     """The text (null: empty) as _text with a 96-bit key (_t, _u) of it, and the columns in more.
 

@@ -2,13 +2,16 @@
 
 Categories are predicted in a fixed order.  Each category has a linear (logistic) model over words
 and beginnings of words, some figures of the text, and the probabilities of the earlier categories.  While training,
-those probabilities are out of fold: folds go by text, so copies never stand on both sides.
+those probabilities are out of fold: a fold's model, its vocabulary included, is made from the other
+folds alone.  Folds go by text, so copies never stand on both sides.
 
-The model is fitted on at most ``SAMPLE`` labelled rows (those of least hash of doc_id); its
-vocabulary counts are made by Spark over these rows.  All documents are scored, whole texts.
+The model is fitted on at most ``SAMPLE`` labelled ids (those of least hash), one text for each; its
+vocabulary counts are made by Spark over these texts.  All documents are scored, whole texts.
 
 Null texts are empty; rows without label, and labels that are null in a category, don't train it; a
-category without both values in the sample gets its rate (0 without labels) as probability.
+category without both values in the sample gets its rate (0 without labels) as probability.  An id with
+several labels has the greatest, one with several texts trains with that of least hash.  Repeated rows
+are scored alike; an empty table gives no rows; a kept column named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pathloom.llm.common import arrow_schema, written
+from pathloom.llm.common import arrow_schema, kept, written
 
 #: Labelled rows that train the model, at most.
 SAMPLE = 20_000
@@ -53,7 +56,7 @@ def figures(text: str) -> list[float]:
 
 @dataclass
 class Chain:
-    """vocabulary: word to column; weights: one vector for each category (words, figures, earlier log-odds, 1)."""
+    """vocabulary: word to column; weights: one vector for each category (words, figures, earlier probabilities, 1)."""
 
     categories: list[str]
     vocabulary: dict[str, int]
@@ -65,12 +68,10 @@ class Chain:
 
     def score(self, text: str) -> list[float]:
         present, numbers = self.features(text)
-        n, out, odds = len(self.vocabulary), [], []
+        n, out = len(self.vocabulary), []
         for w in self.weights:
-            z = float(w[present].sum()) + float(np.dot(w[n : n + FIGURES], numbers)) + sum(map(float.__mul__, odds, w[n + FIGURES : -1].tolist())) + float(w[-1])
-            z = max(-30.0, min(30.0, z))
-            out.append(1 / (1 + math.exp(-z)))
-            odds.append(max(-4.0, min(4.0, z)))
+            z = float(w[present].sum()) + float(np.dot(w[n : n + FIGURES], numbers)) + sum(map(float.__mul__, out, w[n + FIGURES : -1].tolist())) + float(w[-1])
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
         return out
 
 
@@ -91,62 +92,109 @@ class Rows:
         kept = mask[self.row]
         return Rows(number[self.row[kept]], self.column[kept], self.width, self.dense[mask])
 
+    def only(self, columns: np.ndarray) -> Rows:
+        """The same rows with just some of the columns that are 1."""
+        kept = columns[self.column]
+        return Rows(self.row[kept], self.column[kept], self.width, self.dense)
+
     def with_column(self, values: np.ndarray) -> Rows:
         return Rows(self.row, self.column, self.width, np.concatenate([self.dense[:, :-1], values[:, None], self.dense[:, -1:]], 1))
 
 
-def logistic(x: Rows, y: np.ndarray, start: np.ndarray | None = None, steps: int = 600, shrink: float = 0.3, l2: float = 1e-5) -> np.ndarray:
-    """Weights by accelerated proximal gradient, from start, with an L1 term of shrink in all; the last column, constant, isn't shrunk."""
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def logistic(x: Rows, y: np.ndarray, steps: int = 600, shrink: float = 0.3, l2: float = 1e-5, tolerance: float = 1e-4) -> np.ndarray:
+    """Weights by accelerated proximal gradient, from zero, with an L1 term of shrink in all; the last column, constant, isn't shrunk."""
     n, size = len(y), x.width + x.dense.shape[1]
     if n == 0 or y.min() == y.max():
         w = np.zeros(size)
         w[-1] = 30 if n and y[0] else -30
         return w
+    # each weight is measured in units of its column's size, so that rare words move as fast as frequent ones
+    scale = 1 / np.sqrt((np.concatenate([np.bincount(x.column, minlength=x.width), (x.dense**2).sum(0)]) + 1) / n)
     v = np.ones(size)
     for _ in range(20):  # the largest eigenvalue, for the step
-        v = x.transposed_times(x.times(v))
+        v = scale * x.transposed_times(x.times(scale * v))
         norm = float(np.linalg.norm(v))
         v /= norm
-    step = 0.9 / (0.25 * norm / n + l2)
-    w = z = np.zeros(size) if start is None else start
+    step = 0.9 * scale**2 / (0.25 * norm / n + l2 * float(scale.max()) ** 2)
+    w = z = np.zeros(size)
     t = 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x.times(z), -30, 30)))
-        new = z - step * (x.transposed_times(p - y) / n + l2 * z)
-        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * shrink / n, 0)
-        if np.abs(new - w).max() < 1e-3:
+        new = z - step * (x.transposed_times(sigmoid(x.times(z)) - y) / n + l2 * z)
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step[:-1] * shrink / n, 0)
+        if (np.abs(new - w) / scale).max() < tolerance:
             return new
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        z = new + (t - 1) / t_new * (new - w)
+        back = float(((z - new) / scale**2) @ (new - w)) > 0  # the momentum has gone too far
+        t_new = 1.0 if back else t_new
+        z = new if back else new + (t - 1) / t_new * (new - w)
         w, t = new, t_new
     return w
 
 
-def train_chain(x: Rows, ys: list[np.ndarray], folds: np.ndarray) -> list[np.ndarray]:
-    """Weights of each category; ys holds 0, 1 or nan.  Earlier categories enter as out-of-fold log-odds."""
+def out_of_fold(x: Rows, y: np.ndarray, folds: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """The probability of each row by a model fitted, from zero, on the other folds; the model without a fold uses that fold's columns."""
+    known, p = ~np.isnan(y), np.zeros(len(y))
+    for f in range(FOLDS):
+        others = known & (folds != f)
+        p[folds == f] = sigmoid(x.take(folds == f).times(logistic(x.only(columns[f]).take(others), y[others])))
+    return p
+
+
+def train_chain(x: Rows, ys: list[np.ndarray], folds: np.ndarray, columns: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Weights of each category; ys holds 0, 1 or nan.  Earlier categories enter as out-of-fold probabilities.
+
+    columns: which word columns the models without each fold, and last the one of all rows, may use.
+    """
     weights = []
+    columns = columns or [np.ones(x.width, bool)] * (FOLDS + 1)
     for k, y in enumerate(ys):
         known = ~np.isnan(y)
-        weights.append(logistic(x.take(known), y[known]))
+        weights.append(logistic(x.only(columns[FOLDS]).take(known), y[known]))
         if k + 1 < len(ys):
-            odds = np.zeros(len(y))
-            for f in range(FOLDS):
-                others = known & (folds != f)
-                odds[folds == f] = x.take(folds == f).times(logistic(x.take(others), y[others], weights[-1], 100))
-            x = x.with_column(np.clip(odds, -4, 4))
+            x = x.with_column(out_of_fold(x, y, folds, columns))
     return weights
 
 
+def vocabularies(rows: DataFrame, columns: list[str]) -> list[list[str]]:
+    """The words of the model without each fold, and last of the one of all rows: for each category those whose counts tell most.
+
+    rows has _words, _fold and the categories' columns; WORDS words for each category and model reach the driver.
+    """
+    totals = {r["_fold"]: r for r in rows.groupBy("_fold").agg(*[f(c).alias(f"{f.__name__}{c}") for c in columns for f in (F.count, F.sum)]).collect()}
+    counts = rows.select(F.explode("_words").alias("w"), "_fold", *columns)
+    sums, choices = [], []
+    for f in range(FOLDS + 1):
+        for k, c in enumerate(columns):
+            mine = F.when(F.col("_fold") != f, F.col(c))  # no row is of fold FOLDS
+            sums += [F.count(mine).alias(f"n{f}_{k}"), F.sum(mine).alias(f"s{f}_{k}")]
+            some = [r for g, r in totals.items() if g != f]
+            known, ones = sum(r[f"count{c}"] for r in some), sum(r[f"sum{c}"] or 0.0 for r in some)
+            rate = ones / known if known else 0.0
+            n = F.col(f"n{f}_{k}")
+            z = F.abs(F.col(f"s{f}_{k}") - n * rate) / F.sqrt(n * F.lit(max(rate * (1 - rate), 1e-9)))
+            choices.append(F.struct(F.lit(f).alias("f"), F.lit(k).alias("k"), n.alias("n"), z.alias("z")))
+    stated = counts.groupBy("w").agg(*sums).select("w", F.inline(F.array(*choices))).filter(F.col("n") >= LEAST)
+    order = Window.partitionBy("f", "k").orderBy(F.col("z").desc(), "w")
+    out: list[dict] = [{} for _ in range(FOLDS + 1)]
+    for r in stated.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= WORDS).orderBy("f", "k", "at").select("f", "w").collect():
+        out[r["f"]][r["w"]] = None
+    return [list(o) for o in out]
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
     """categories: name to SQL expression over labels (1, 0 or null), in chain order."""
-    spark = docs.sparkSession
     names = list(categories)
     y = [F.max(F.expr(e).cast("double")).alias(f"_y{k}") for k, e in enumerate(categories.values())]
     chosen = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*y)
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(chosen), "_id").withColumn("_fold", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int"))
     columns = [f"_y{k}" for k in range(len(names))]
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id", *columns).agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text")).withColumn("_fold", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int"))
     schema = StructType.fromDDL("_words array<string>, _figures array<double>, _fold int, " + ", ".join(f"{c} double" for c in columns))
     arrow = arrow_schema(schema)
 
@@ -158,33 +206,32 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col:
                 yield pa.RecordBatch.from_arrays([pa.array([list(words(t)) for t in texts], arrow.field(0).type), pa.array([figures(t) for t in texts], arrow.field(1).type), part.column("_fold"), *[part.column(c) for c in columns]], schema=arrow)
 
     rows = written(rows.mapInArrow(featurise, schema))
-    total = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns]).first()
-    if not total["n"]:
+    if rows.isEmpty():
         return Chain(names, {}, [np.concatenate([np.zeros(FIGURES + k), [-30.0]]).astype(np.float32) for k in range(len(names))])
-    counts = rows.select(F.explode("_words").alias("w"), *columns).groupBy("w").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns]).filter(F.col("n") >= LEAST)
-    vocabulary: dict[str, int] = {}
-    for c in columns:
-        rate = total[c] or 0.0
-        z = F.abs(F.col(c) - F.col("n") * rate) / F.sqrt(F.col("n") * F.lit(max(rate * (1 - rate), 1e-9)))
-        for r in counts.filter(F.col(c).isNotNull()).orderBy(z.desc(), "w").limit(WORDS).select("w").collect():
-            vocabulary.setdefault(r["w"], len(vocabulary))
-    known = spark.sparkContext.broadcast(vocabulary)
-
-    @F.udf("array<int>")
-    def columns_of(found):
-        v = known.value
-        return sorted(v[w] for w in found if w in v)
-
-    data = list(rows.select(columns_of("_words").alias("c"), "_figures", "_fold", *columns).orderBy(*columns, "_fold", F.col("_figures").cast("string")).toLocalIterator())
+    chosen_words = vocabularies(rows, columns)
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in reversed(chosen_words) for w in ws))}
+    designed = StructType.fromDDL("c array<int>, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[1:]))
+    designed_arrow = arrow_schema(designed)
+
+    def number(batches):
+        for b in batches:
+            found = [sorted(vocabulary[w] for w in ws if w in vocabulary) for ws in b.column("_words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, designed_arrow.field(0).type), *[b.column(f.name) for f in schema.fields[1:]]], schema=designed_arrow)
+
+    data = list(rows.mapInArrow(number, designed).orderBy(*columns, "_fold", F.col("_figures").cast("string"), F.col("c").cast("string")).toLocalIterator())
     row = np.repeat(np.arange(len(data)), [len(r["c"]) for r in data])
     column = np.array([c for r in data for c in r["c"]], np.int64)
     x = Rows(row, column, len(vocabulary), np.array([[*r["_figures"], 1.0] for r in data]))
     ys = [np.array([np.nan if r[c] is None else r[c] for r in data]) for c in columns]
-    return Chain(names, vocabulary, train_chain(x, ys, np.array([r["_fold"] for r in data])))
+    allowed = [np.isin(np.arange(len(vocabulary)), [vocabulary[w] for w in ws]) for ws in chosen_words]
+    weights = train_chain(x, ys, np.array([r["_fold"] for r in data]), allowed)
+    n = len(chosen_words[FOLDS])  # the words of the whole model are the first
+    return Chain(names, {w: i for w, i in vocabulary.items() if i < n}, [np.concatenate([w[:n], w[len(vocabulary) :]]) for w in weights])
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns in keep and p_<category> of every row.  Null text: that of an empty text."""
+    keep = kept(keep, [f"p_{c}" for c in chain.categories])
     kinds = {f.name: f.dataType for f in docs.schema}
     schema = StructType([StructField(c, kinds[c]) for c in keep] + [StructField(f"p_{c}", DoubleType()) for c in chain.categories])
     arrow, n = arrow_schema(schema), len(keep)
@@ -207,4 +254,4 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """The columns in keep, p_low_quality, p_toxic and toxic (whether p_toxic reaches the threshold) of every row."""
     chain = fit(docs, labels, CATEGORIES)
-    return score(docs, chain, keep).withColumn("toxic", F.col("p_toxic") >= threshold)
+    return score(docs, chain, kept(keep, ["toxic"])).withColumn("toxic", F.col("p_toxic") >= threshold)

@@ -63,3 +63,73 @@ def test_query(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     found = [(labels[r.doc_id], r.toxic) for r in op5_toxicity(spark, sf).collect() if r.doc_id in labels]
     assert sum(a == b for a, b in found) >= 0.99 * len(found)
+
+
+def test_out_of_fold_probabilities_know_nothing_of_their_fold():
+    """Random labels can't be foretold; without folds 200 columns would fit them."""
+    rng = np.random.default_rng(4)
+    n, width = 1000, 200
+    row, column = np.nonzero(rng.random((n, width)) < 0.1)
+    x = tx.Rows(row, column, width, np.ones((n, 1)))
+    y = (rng.random(n) < 0.5).astype(float)
+    earlier = tx.out_of_fold(x, y, np.arange(n) % tx.FOLDS, [np.ones(width, bool)] * tx.FOLDS)
+    assert abs(np.corrcoef(earlier, y)[0, 1]) < 0.1
+    assert np.corrcoef(tx.sigmoid(x.times(tx.logistic(x, y))), y)[0, 1] > 0.4
+
+
+def plain_logistic(x, y, shrink=0.3, l2=1e-5):
+    """The same minimum by many plain proximal steps on a dense matrix."""
+    w, n = np.zeros(x.shape[1]), len(y)
+    if y.min() == y.max():
+        w[-1] = 30 if y[0] else -30
+        return w
+    step = 1 / (np.linalg.norm(x, 2) ** 2 / (4 * n) + l2)
+    z, t = w, 1.0
+    for _ in range(8000):
+        new = z - step * (x.T @ (1 / (1 + np.exp(-np.clip(x @ z, -30, 30))) - y) / n + l2 * z)
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * shrink / n, 0)
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+    return w
+
+
+def test_chain_against_a_plain_one(spark, make):
+    rows, labels = corpus(150, 5)
+    fold = {r._id: r.f for r in make(rows).selectExpr("doc_id AS _id", f"CAST(pmod(xxhash64(text), {tx.FOLDS}) AS INT) AS f").collect()}
+    texts, folds = [t for _, t in rows], np.array([fold[i] for i, _ in rows])
+    ys = [np.array([1.0 - q for _, q, _ in labels]), np.array([float(t) for _, _, t in labels])]
+    sets = [tx.words(t) for t in texts]
+
+    def vocabulary(mask):
+        out = {}
+        for y in ys:
+            rate, z = y[mask].mean(), []
+            for w in sorted(set().union(*(s for s, m in zip(sets, mask, strict=True) if m))):
+                has = np.array([w in s for s in sets]) & mask
+                if has.sum() >= tx.LEAST:
+                    z.append((-abs(y[has].sum() - has.sum() * rate) / np.sqrt(has.sum() * max(rate * (1 - rate), 1e-9)), w))
+            out.update(dict.fromkeys(w for _, w in sorted(z)[: tx.WORDS]))
+        return list(out)
+
+    def design(words, earlier):
+        return np.array([[*(float(w in s) for w in words), *tx.figures(t), *e, 1.0] for s, t, e in zip(sets, texts, earlier, strict=True)])
+
+    oof = np.zeros(len(rows))
+    for f in range(tx.FOLDS):
+        x = design(vocabulary(folds != f), [()] * len(rows))
+        oof[folds == f] = 1 / (1 + np.exp(-(x @ plain_logistic(x[folds != f], ys[0][folds != f]))[folds == f]))
+    words = vocabulary(np.ones(len(rows), bool))
+    x = design(words, [()] * len(rows))
+    p0 = 1 / (1 + np.exp(-x @ plain_logistic(x, ys[0])))
+    p1 = 1 / (1 + np.exp(-design(words, p0[:, None]) @ plain_logistic(design(words, oof[:, None]), ys[1])))
+    chain = tx.fit(make(rows), spark.createDataFrame(labels, LABELS), tx.CATEGORIES)
+    got = np.array([chain.score(t) for t in texts])
+    assert set(words) == set(chain.vocabulary)
+    assert np.abs(got - np.stack([p0, p1], 1)).max() < 0.05
+
+
+def test_kept_columns_give_way_to_results(spark, make):
+    rows, labels = corpus(60, 2)
+    docs = make(rows).selectExpr("*", "0.5D AS p_toxic", "1 AS TOXIC")
+    out = tx.toxicity(docs, spark.createDataFrame(labels, LABELS), keep=("doc_id", "p_toxic", "TOXIC"))
+    assert out.columns == ["doc_id", "p_low_quality", "p_toxic", "toxic"] and out.count() == 60
