@@ -1,10 +1,11 @@
 """Benchmark decontamination: BM25 with block-max WAND over test items, then overlap verification.
 
-The test items are the indexed documents; every passage of every training text is a query.  Passages
-are windows of ``PASSAGE`` words (more if the longest item has over half as many) at steps of half of it, so
-every item stands whole in some passage.  Words are lower-cased (A-Z) runs of bytes other
-than ASCII white space and punctuation; a word's weight in an item is its BM25 impact, divided by the item's threshold
-(``SHARE`` of the score that the item gets as its own query), so an item is retrieved at 1 or more.
+The test items are the indexed documents; every passage of every training text is a query.  An item's
+passages have ``PASSAGE`` words, doubled until the item has at most half as many, at steps of half of
+that; so every item stands whole in some passage, and its own length alone decides how long they are.
+Words are lower-cased (A-Z) runs of bytes other than ASCII white space and punctuation; a word's weight
+in an item is its BM25 impact, divided by the item's threshold (``SHARE`` of the score that the item gets
+as its own query), so an item is retrieved at 1 or more.
 A passage can't retrieve items of a range in which its words' largest impacts sum to less than 1; for the
 other ranges the posting lists are walked with block-max WAND, which retrieves every item at 1 or more.
 
@@ -12,12 +13,20 @@ A retrieved item is verified on the passage: shares of the 3-word runs of its qu
 that stand in the passage must reach ``OVERLAP`` and ``ANSWER``.  Items with a single text column are
 split before their last sentence (or in the middle): question, then answer.
 
-The index is broadcast in shards of ``SHARD_ITEMS`` items; document frequencies and mean lengths are of
-all items, and every shard meets every document.  Null texts and items are empty and match nothing.
+Spark counts the terms and builds the index in shards of about ``SHARD_ITEMS`` items of one passage
+length; document frequencies and mean lengths are of all items, and every shard meets every document, so
+shards don't change results.  The shards are broadcast together, up to ``BROADCAST`` bytes for a pass
+over the documents; a larger index takes more passes, one after another.
+
+Null texts and items are empty and match nothing; an empty benchmark or empty documents give no rows;
+repeated documents are reported each, equal items with different ids all; a kept column named like a
+result gives way to it.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
 from bisect import bisect_left
 
@@ -28,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from pathloom.llm import wordhash as wh
-from pathloom.llm.common import arrow_schema
+from pathloom.llm.common import arrow_schema, kept, partitions, written
 
 PASSAGE = 128
 K1, B = 1.2, 0.75
@@ -37,6 +46,10 @@ OVERLAP, ANSWER = 0.5, 0.5
 #: Postings of a block; ranges of items whose largest impacts are looked at first.
 BLOCK, PARTS = 8, 100
 SHARD_ITEMS = 5_000
+#: Bytes of index that are broadcast for one pass over the documents (one shard at least).
+BROADCAST = 64 << 20
+#: Parts that the items of a frequent term are dealt to when terms meet their counts.
+SALTS = 16
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -59,6 +72,17 @@ def runs(h: np.ndarray, size: int = 3) -> np.ndarray:
     return np.unique(wh.grams(h, min(size, len(h)))) if len(h) else np.zeros(0, np.uint64)
 
 
+def length_class(n: int) -> int:
+    """How often PASSAGE is doubled for an item of n words."""
+    return max(0, (2 * n - 1) // PASSAGE).bit_length()
+
+
+def scored(n: int, terms: np.ndarray, tf: np.ndarray, df: np.ndarray, n_items: int, mean: float) -> tuple[float, np.ndarray]:
+    """An item's BM25 score as its own query, and the impact of each of its terms; n: its words."""
+    impact = np.log1p((n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / max(mean, 1e-9)))
+    return math.fsum(impact), impact
+
+
 class Index:
     """Posting lists with normalised impacts.
 
@@ -66,21 +90,29 @@ class Index:
     term's largest impact in each of a few ranges of items, ``block_max`` in each block of a posting list.
     """
 
-    def __init__(self, items: list[tuple], df: dict[int, int], n_items: int, mean: float) -> None:
-        made, self.passage = [], PASSAGE
+    def __init__(self, items: list[tuple], df: dict[int, int], n_items: int, mean: float, passage: int = PASSAGE) -> None:
+        """items: (id, question, answer)."""
+        made = []
         for id_, question, answer in items:
             q, a = word_hashes(question), word_hashes(answer)
-            every = np.concatenate([q, a])
-            self.passage = max(self.passage, 2 * len(every))
-            terms, tf = np.unique(every, return_counts=True)
-            frequency = np.array([df[t] for t in terms.tolist()], float)
-            impact = np.log1p((n_items - frequency + 0.5) / (frequency + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(every) / max(mean, 1e-9)))
-            made.append((float(impact.sum()), len(made), id_, terms, impact, runs(q), runs(a)))
-        made = sorted(m for m in made if len(m[3]))
-        self.ids, self.question, self.answer = [m[2] for m in made], [m[5] for m in made], [m[6] for m in made]
+            terms, tf = np.unique(np.concatenate([q, a]), return_counts=True)
+            made.append((*scored(len(q) + len(a), terms, tf, np.array([df[t] for t in terms.tolist()], float), n_items, mean), id_, terms, runs(q), runs(a)))
+        self._lay(made, passage)
+
+    @classmethod
+    def of(cls, made: list[tuple], passage: int) -> Index:
+        """made: (own score, impacts, id, terms, runs of the question, runs of the answer) of each item."""
+        index = cls.__new__(cls)
+        index._lay(made, passage)
+        return index
+
+    def _lay(self, made: list[tuple], passage: int) -> None:
+        made = sorted((m for m in made if len(m[3])), key=lambda m: m[0])
+        self.passage = passage
+        self.ids, self.question, self.answer = [m[2] for m in made], [m[4] for m in made], [m[5] for m in made]
         term = np.concatenate([m[3] for m in made]) if made else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(made)), [len(m[3]) for m in made])
-        impact = np.concatenate([m[4] / (SHARE * m[0]) for m in made]) if made else np.zeros(0)
+        impact = np.concatenate([m[1] / (SHARE * m[0]) for m in made]) if made else np.zeros(0)
         order = np.lexsort((item, term))
         term, self.item, self.impact = term[order], item[order], impact[order]
         self.terms, self.start = np.unique(term, return_index=True)
@@ -149,7 +181,7 @@ class Index:
                 for x in near:
                     advance(x, max(limit, doc + 1))
             elif lists[0][0][lists[0][4]] == doc:
-                score = sum(x[1][x[4]] for x in near)
+                score = math.fsum(x[1][x[4]] for x in near)
                 if score >= 1 - 1e-9:
                     found.append((doc, score))
                 for x in near:
@@ -204,64 +236,117 @@ class Index:
                         yield int(row[first[o]]), self.ids[item], score * SHARE, *shares
 
 
+def _described(item_type, split: bool):
+    """Items (id, question, answer or text) to their id, passage class, words, terms with counts, and runs."""
+    schema = StructType([StructField("id", item_type), *StructType.fromDDL("class int, n int, terms array<struct<term:bigint,tf:int>>, question array<bigint>, answer array<bigint>").fields])
+    arrow = arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                texts = question_and_answer(row[1] or "") if split else (row[1] or "", row[2] or "")
+                q, a = map(word_hashes, texts)
+                terms, tf = np.unique(np.concatenate([q, a]), return_counts=True)
+                n = len(q) + len(a)
+                out.append((length_class(n), n, [{"term": t, "tf": k} for t, k in zip(terms.view(np.int64).tolist(), tf.tolist(), strict=True)], runs(q).view(np.int64), runs(a).view(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), *[pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), list(arrow)[1:], strict=True)]], schema=arrow)
+
+    return schema, run
+
+
+def _build(n_items: int, mean: float):
+    """Items sorted by class and shard to the pickled index of each shard."""
+    arrow = pa.schema([("class", pa.int32()), ("shard", pa.int32()), ("index", pa.binary())])
+
+    def run(batches):
+        at, made = None, []
+
+        def done():
+            index = pickle.dumps(Index.of(made, PASSAGE << at[0]), 5)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([index], pa.binary())], schema=arrow)
+
+        for b in batches:
+            for c, shard, id_, n, postings, q, a in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if at != (c, shard):
+                    if made:
+                        yield done()
+                    at, made = (c, shard), []
+                term, tf, df = (np.array([p[k] for p in postings], t) for k, t in (("term", np.int64), ("tf", np.int64), ("df", float)))
+                order = np.argsort(term.view(np.uint64))
+                terms = term.view(np.uint64)[order]
+                made.append((*scored(n, terms, tf[order], df[order], n_items, mean), id_, terms, np.array(q, np.int64).view(np.uint64), np.array(a, np.int64).view(np.uint64)))
+        if made:
+            yield done()
+
+    return run
+
+
 def indexes(benchmark: DataFrame, id_col: str = "item_id"):
-    """The index shards, one after another.  benchmark has id_col and either question and answer, or text.
+    """Lists of index shards, each list of at most BROADCAST bytes or one shard.
 
-    The items are read twice, first for the counts; the driver holds the counts and one shard.
+    benchmark has id_col and either question and answer, or text.  The driver holds one list at a time.
     """
-    if {"question", "answer"} <= set(benchmark.columns):
-        items = benchmark.select(id_col, "question", "answer").orderBy(id_col, "question", "answer")
-        split = lambda r: (r[0], r[1] or "", r[2] or "")
-    else:
-        items = benchmark.select(id_col, "text").orderBy(id_col, "text")
-        split = lambda r: (r[0], *question_and_answer(r[1] or ""))
-    df: dict[int, int] = {}
-    total = n = 0
-    for _, q, a in map(split, items.toLocalIterator()):
-        h = np.concatenate([word_hashes(q), word_hashes(a)])
-        total, n = total + len(h), n + 1
-        for t in np.unique(h).tolist():
-            df[t] = df.get(t, 0) + 1
-    shard: list[tuple] = []
-    for item in map(split, items.toLocalIterator()):
-        shard.append(item)
-        if len(shard) == SHARD_ITEMS:
-            yield Index(shard, df, n, total / n)
-            shard = []
-    if shard:
-        yield Index(shard, df, n, total / n)
+    spark = benchmark.sparkSession
+    split = not {"question", "answer"} <= set(benchmark.columns)
+    schema, describe = _described(benchmark.schema[id_col].dataType, split)
+    items = benchmark.select(F.col(id_col).alias("id"), *(["text"] if split else ["question", "answer"])).mapInArrow(describe, schema)
+    items = written(items.withColumn("key", F.monotonically_increasing_id()))
+    total = items.agg(F.count("*").alias("n"), F.sum("n").alias("words")).first()
+    if not total["words"]:
+        return
+    sizes = {r["class"]: r["count"] for r in items.filter("n > 0").groupBy("class").count().collect()}
+    shards = F.element_at(F.create_map(*[F.lit(x) for c, k in sizes.items() for x in (c, -(-k // SHARD_ITEMS))]), F.col("class"))
+    items = items.filter("n > 0").withColumn("shard", F.pmod(F.xxhash64("key"), shards).cast("int"))
+    terms = items.select("key", F.inline("terms")).withColumn("salt", F.pmod("key", F.lit(SALTS)))
+    df = terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    postings = terms.join(df, ["term", "salt"]).groupBy("key").agg(F.collect_list(F.struct("term", "tf", "df")).alias("postings"))
+    made = items.select("key", "class", "shard", "id", "n", "question", "answer").join(postings, "key").select("class", "shard", "id", "n", "postings", "question", "answer")
+    made = made.repartition(partitions(spark), "class", "shard").sortWithinPartitions("class", "shard").mapInArrow(_build(total["n"], total["words"] / total["n"]), "class int, shard int, index binary")
+    held, size = [], 0
+    for r in written(made).orderBy("class", "shard").toLocalIterator():
+        if held and size + len(r["index"]) > BROADCAST:
+            yield held
+            held, size = [], 0
+        held.append(pickle.loads(r["index"]))
+        size += len(r["index"])
+    if held:
+        yield held
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """A row for each row of docs and test item that it holds: the columns in keep, item_id, score (share of the item's own BM25 score, of the best passage), question_overlap, answer_overlap.
-
-    Equal items with different ids are all reported.  An empty benchmark gives no rows.
-    """
+    """A row for each row of docs and test item that it holds: the columns in keep, item_id, score (share of the item's own BM25 score, of the best passage), question_overlap, answer_overlap."""
     spark = docs.sparkSession
     kinds = {f.name: f.dataType for f in docs.schema}
+    keep = kept(keep, ["item_id", "score", "question_overlap", "answer_overlap"])
     schema = StructType([StructField(c, kinds[c]) for c in keep] + [StructField("item_id", benchmark.schema["item_id"].dataType)]).add("score", "double").add("question_overlap", "double").add("answer_overlap", "double")
     arrow, n = arrow_schema(schema), len(keep)
     source = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
-    out = None
-    for shard in indexes(benchmark):
-        index = spark.sparkContext.broadcast(shard)
+    before = out = None
+    for shards in indexes(benchmark):
+        index = spark.sparkContext.broadcast(shards)
 
         def run(batches, index=index):
             for b in batches:
-                for low, data, offsets in wh.chunks(b.column("_text")):
+                for low, data, offsets in wh.chunks(b.column(n)):
                     h, row, _ = wh.words(data, offsets, lower=True, plain=True)
                     best: dict[tuple, tuple] = {}
-                    for r, item, *figures in index.value.passages(h, row):
-                        if (r, item) not in best or best[r, item] < tuple(figures):
-                            best[r, item] = tuple(figures)
+                    for shard in index.value:
+                        for r, item, *figures in shard.passages(h, row):
+                            if (r, item) not in best or best[r, item] < tuple(figures):
+                                best[r, item] = tuple(figures)
                     if best:
                         at = pa.array([low + r for r, _ in best])
                         columns = [b.column(i).take(at) for i in range(n)] + [pa.array([i for _, i in best], arrow.field(n).type)]
                         columns += [pa.array([f[k] for f in best.values()], pa.float64()) for k in range(3)]
                         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+        if before is not None:  # a further pass: the one before is done and its shards are let go
+            out = written(out)
+            before.destroy()
         part = source.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+        out, before = (part if out is None else out.unionByName(part)), index
     return spark.createDataFrame([], schema) if out is None else out
 
 
@@ -270,9 +355,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
 
     One pass marks texts; a marked row is dropped where it stands, so there is no join.
     """
-    for shard in indexes(benchmark):
-        held = _holds(docs.sparkSession.sparkContext.broadcast(shard))
-        docs = docs.filter(~held(F.coalesce(F.col(text_col), F.lit(""))))
+    before = None
+    for shards in indexes(benchmark):
+        if before is not None:
+            docs = written(docs)
+            before.destroy()
+        before = docs.sparkSession.sparkContext.broadcast(shards)
+        docs = docs.filter(~_holds(before)(F.coalesce(F.col(text_col), F.lit(""))))
     return docs
 
 
@@ -284,8 +373,9 @@ def _holds(index):
         marks = np.zeros(len(texts), bool)
         for low, data, offsets in wh.chunks(pa.array(texts, pa.string())):
             h, row, _ = wh.words(data, offsets, lower=True, plain=True)
-            for r, *_ in index.value.passages(h, row):
-                marks[low + r] = True
+            for shard in index.value:
+                for r, *_ in shard.passages(h, row):
+                    marks[low + r] = True
         return pd.Series(marks)
 
     return held

@@ -81,3 +81,83 @@ def test_query(spark, sf):
     docs = {r.doc_id: " " + " ".join(words(r.text)) + " " for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r.item_id: " " + " ".join(words(r.text)) + " " for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     assert {(r.doc_id, r.item_id) for r in op9_decontaminate(spark, sf).collect()} >= {(i, k) for i, t in docs.items() for k, x in items.items() if x in t}
+
+
+def brute(docs, items):
+    """(doc, item): best (score, question share, answer share) of each verified pair, by plain BM25 of every passage and item."""
+    split = {i: tuple(words(x) for x in dc.question_and_answer(t or "")) for i, t in items}
+    lengths = {i: len(q) + len(a) for i, (q, a) in split.items()}
+    mean, df = sum(lengths.values()) / len(split), {}
+    for q, a in split.values():
+        for w in set(q + a):
+            df[w] = df.get(w, 0) + 1
+
+    def impact(i, w):
+        n, tf = len(split), (split[i][0] + split[i][1]).count(w)
+        return np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (dc.K1 + 1) / (tf + dc.K1 * (1 - dc.B + dc.B * lengths[i] / mean))
+
+    impacts = {i: {w: impact(i, w) for w in set(q + a)} for i, (q, a) in split.items() if q + a}
+    grams = lambda ws, n: {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+    out = {}
+    for d, text in docs:
+        ws = words(text)
+        for i, own in impacts.items():
+            half = 64
+            while half < lengths[i]:
+                half *= 2
+            for start in range(0, max(1, -(-len(ws) // half) - 1) * half, half):
+                passage = ws[start : start + 2 * half]
+                score = sum(own[w] for w in set(passage) & own.keys()) / sum(own.values())
+                if score >= dc.SHARE - 1e-9:
+                    shares = []
+                    for part in split[i]:
+                        g = grams(part, min(3, len(part))) if part else set()
+                        shares.append(len(g & grams(passage, min(3, len(part)))) / len(g) if g else 1.0)
+                    if shares[0] >= dc.OVERLAP and shares[1] >= dc.ANSWER:
+                        out[d, i] = max(out.get((d, i), (0, 0, 0)), (score, *shares))
+    return out
+
+
+def same(found, expected):
+    assert {(r.doc_id, r.item_id) for r in found} == set(expected)
+    for r in found:
+        assert np.allclose((r.score, r.question_overlap, r.answer_overlap), expected[r.doc_id, r.item_id])
+
+
+def test_query_against_plain_bm25(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    same(op9_decontaminate(spark, sf).collect(), brute(docs, items))
+
+
+@pytest.mark.parametrize("shard", [1, 2, 5000])
+def test_results_do_not_depend_on_shards(spark, make, monkeypatch, shard):
+    """Short items, one of 400 words, and texts that hold parts of them; with shards of one item also in several passes."""
+    monkeypatch.setattr(dc, "SHARD_ITEMS", shard)
+    if shard == 1:
+        monkeypatch.setattr(dc, "BROADCAST", 1)
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefg") for _ in range(r.randint(2, 4))) for _ in range(60)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(some(n)) + ". " + " ".join(some(4))) for k, n in enumerate((8, 12, 70, 400, 30))]
+    texts = []
+    for i in range(30):
+        parts = items[i % 5][1].split()
+        held = parts[r.randint(0, len(parts) // 3) :]
+        gap = some(r.choice((0, 40, 100)))
+        cut = r.randint(0, len(held))
+        texts.append((i, " ".join([*some(r.randint(0, 300)), *held[:cut], *gap, *held[cut:], *some(50)])))
+    expected = brute(texts, items)
+    assert 5 < len(expected) < 30
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    same(dc.contaminated(make(texts), benchmark).collect(), expected)
+    assert {x.doc_id for x in dc.decontaminate(make(texts), benchmark).collect()} == set(range(30)) - {d for d, _ in expected}
+
+
+def test_kept_columns_give_way_to_results(spark, make):
+    item = "what do you call the thing that is here. it is a word."
+    docs = make([(1, item)]).selectExpr("*", "7 AS score", "8 AS item_id", "9 AS n", "1 AS _k0")
+    found = dc.contaminated(docs, spark.createDataFrame([(5, item)], "item_id long, text string"), keep=("doc_id", "score", "item_id", "n", "_k0"))
+    assert found.columns == ["doc_id", "n", "_k0", "item_id", "score", "question_overlap", "answer_overlap"]
+    assert [(r.doc_id, r.n, r.item_id) for r in found.collect()] == [(1, 9, 5)]
+    assert dc.decontaminate(docs, spark.createDataFrame([(5, "other words in here. and so on")], "item_id long, text string")).columns == docs.columns
