@@ -5,13 +5,17 @@ escaped and kept, image, audio and document parts become placeholders (``<|image
 once for each token the attachment expands to, and are recorded as attachment references.
 
 Template of a turn: ``<|im_start|>ROLE\\nCONTENT<|im_end|>\\n``.  Inside roles and texts ``&`` is
-written ``&amp;`` and ``<|`` is written ``&lt;|`` (in roles a line feed is ``&#10;`` too), so a text
-can't forge control strings and everything reads back exactly.
+written ``&amp;`` and ``<|`` is written ``&lt;|`` (in roles a line feed is ``&#10;`` too).  A ``|`` that
+begins a part after the first is written ``&#124;``, so that it can't meet a ``<`` before it.  So neither
+a text nor a row of texts can forge control strings, and ``read_parts`` gives texts and placeholders back
+exactly, adjacent texts as one.
 
 The loss mask is a list of spans (turn, start, length) in characters of the turn's block, so that
 reading a mask takes time in proportion to the conversation, however long.
 
-Null conv_id: one conversation of its own.  Null role or text: empty.  Turns stand by turn (null
+Null conv_id: one conversation of its own.  Null role or text: empty.  Parts of unknown type (or none)
+have no placeholder and are recorded apart; null parts are nothing.  An empty table gives no
+rows; other columns don't matter, whatever their names.  Turns stand by turn (null
 first), then role, then text, so ties and repeated rows have a fixed order and are kept.
 """
 
@@ -30,7 +34,7 @@ def escape(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
+    return F.replace(F.replace(F.replace(c, F.lit("&lt;|"), F.lit("<|")), F.lit("&#124;"), F.lit("|")), F.lit("&amp;"), F.lit("&"))
 
 
 def escape_role(c: Column) -> Column:
@@ -49,37 +53,49 @@ def text_part(text: Column) -> Column:
 def flatten_parts(parts: Column) -> Column:
     """The content string: parts in order, texts escaped, attachments as placeholders, one for each of their tokens (at least one).
 
-    Null lists and parts of unknown type: nothing.
+    Null lists: nothing; parts of unknown type: no placeholder.
     """
 
-    def visit(p: Column) -> Column:
+    def visit(p: Column, at: Column) -> Column:
         holder = F.concat(F.lit("<|"), p["type"], F.lit("|>"))
+        text = escape(p["text"])
+        text = F.when((at > 0) & text.startswith("|"), F.concat(F.lit("&#124;"), F.substring(text, F.lit(2), F.char_length(text)))).otherwise(text)
         return (
-            F.when(p["type"] == "text", F.coalesce(escape(p["text"]), F.lit("")))
-            .when(p["type"].isin(*KINDS), F.repeat(holder, F.greatest(F.coalesce(p["tokens"], F.lit(1)), F.lit(1))))
+            F.when(p["type"] == "text", F.coalesce(text, F.lit("")))
+            .when(p["type"].isin(*KINDS), F.repeat(holder, expanded(p)))
             .otherwise(F.lit(""))
         )
 
     return F.coalesce(F.array_join(F.transform(parts, visit), ""), F.lit(""))
 
 
+def expanded(p: Column) -> Column:
+    """The number of tokens that an attachment's placeholder takes: its own, one at least."""
+    return F.greatest(F.coalesce(p["tokens"], F.lit(1)), F.lit(1))
+
+
 def attachments(parts: Column) -> Column:
     """The attachment parts in order: type, ref and expanded tokens."""
     kept = F.filter(parts, lambda p: p["type"].isin(*KINDS))
-    return F.coalesce(F.transform(kept, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), F.greatest(F.coalesce(p["tokens"], F.lit(1)), F.lit(1)).alias("tokens"))), F.array().cast("array<struct<type:string,ref:string,tokens:int>>"))
+    return F.coalesce(F.transform(kept, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens"))), F.array().cast("array<struct<type:string,ref:string,tokens:int>>"))
+
+
+def unknown_parts(parts: Column) -> Column:
+    """The parts in order, as they are, that are neither text nor an attachment of known kind; null parts are none."""
+    return F.coalesce(F.filter(parts, lambda p: p.isNotNull() & ~F.coalesce(p["type"].isin("text", *KINDS), F.lit(False))), F.array().cast(f"array<{PART}>"))
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "content", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_spans and attachments (with their turn and the order in it)."""
+    """One row per conversation: conv_id, formatted, loss_spans, attachments and unknown (parts of unknown type), with their turns."""
     role_c, body = F.coalesce(F.col(role), F.lit("")), flatten_parts(F.col(parts))
     head = F.concat(F.lit(START), escape_role(role_c), F.lit("\n"))
     block = F.concat(head, body, F.lit(END + "\n"))
     rows = turns.select(
-        F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), role_c.alias("_role"), block.alias("_block"), F.char_length(head).alias("_start"), F.char_length(body).alias("_length"), attachments(F.col(parts)).alias("_files")
+        F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), role_c.alias("_role"), block.alias("_block"), F.char_length(head).alias("_start"), F.char_length(body).alias("_length"), attachments(F.col(parts)).alias("_files"), unknown_parts(F.col(parts)).alias("_odd")
     )
     order = Window.partitionBy("_conv").orderBy(F.col("_turn").asc_nulls_first(), "_role", "_block")
     rows = rows.withColumn("_n", F.row_number().over(order))
-    one = F.struct("_n", "_role", "_block", "_start", "_length", "_files")
+    one = F.struct("_n", "_role", "_block", "_start", "_length", "_files", "_odd")
     sorted_ = rows.groupBy("_conv").agg(F.array_sort(F.collect_list(one)).alias("_t"))
     t = F.col("_t")
     return sorted_.select(
@@ -87,6 +103,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         F.array_join(t["_block"], "").alias("formatted"),
         F.transform(F.filter(t, lambda x: x["_role"].isin(*loss_roles)), lambda x: F.struct((x["_n"] - 1).alias("turn"), x["_start"].alias("start"), x["_length"].alias("length"))).alias("loss_spans"),
         F.flatten(F.transform(t, lambda x: F.transform(x["_files"], lambda a: F.struct((x["_n"] - 1).alias("turn"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))))).alias("attachments"),
+        F.flatten(F.transform(t, lambda x: F.transform(x["_odd"], lambda a: F.struct((x["_n"] - 1).alias("turn"), a["type"].alias("type"), a["text"].alias("text"), a["ref"].alias("ref"))))).alias("unknown"),
     )
 
 
@@ -107,6 +124,27 @@ def read_turns(blocks_: Column) -> Column:
     return F.transform(blocks_, one)
 
 
+def read_parts(block: Column) -> Column:
+    """The content of one block as parts: type and, for texts, text; adjacent texts are one, empty ones are left out.
+
+    In a block ``<|`` stands only where a placeholder or the final control string begins.
+    """
+    at = F.instr(block, "\n")
+    content = F.substring(block, at + F.lit(1), F.char_length(block) - at - F.lit(len(END) + 1))
+    pieces = F.split(content, r"<\|", -1)
+
+    def part(kind: Column, text: Column) -> Column:
+        return F.struct(kind.alias("type"), text.alias("text"))
+
+    def piece(x: Column, k: Column) -> Column:
+        kind = F.substring_index(x, "|>", 1)
+        rest = F.when(k == 0, x).otherwise(F.substring(x, F.char_length(kind) + F.lit(3), F.char_length(x)))
+        text = F.when(rest != "", F.array(part(F.lit("text"), unescape(rest)))).otherwise(F.array().cast("array<struct<type:string,text:string>>"))
+        return F.when(k == 0, text).otherwise(F.concat(F.array(part(kind, F.lit(None).cast("string"))), text))
+
+    return F.flatten(F.transform(pieces, piece))
+
+
 def read_loss(blocks_: Column, loss_spans: Column) -> Column:
     """All text under the mask, unescaped, in order."""
     return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substring(F.element_at(blocks_, s["turn"] + F.lit(1)), s["start"] - F.lit(len(START) - 1), s["length"]))), "")
