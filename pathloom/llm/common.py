@@ -4,29 +4,101 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key of more than one row in HOT, and of more than LEAST_HOT rows, is joined by broadcast.
+HOT, LEAST_HOT = 1000, 1000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir, else the context's checkpoint folder).
 
-    Only where neither is set, as in local tests, a temporary folder stands in.
+    Where neither is set, a local session, as in tests, gets a temporary folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/pathloom-{uuid.uuid4().hex}"
 
 
+_made: list[list[str]] = []
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as a Parquet table in the shared folder."""
+    """df, computed once and kept as a Parquet table in the shared folder, until discard() or the end of the application."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    for made in _made:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.held = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made; nothing may read them any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.held)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, where = _files(spark, path)
+    files.delete(where, True)
+    files.cancelDeleteOnExit(where)
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables written inside are deleted at the end, but for those taken out of the list that it gives."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def hot_keys(counted: DataFrame, key: str, n: str = "n") -> DataFrame | None:
+    """The keys of counted (a row for each, n: how many rows elsewhere have it) that very many rows have, at most HOT; None if there are none."""
+    counted = written(counted)
+    limit = max(LEAST_HOT, (counted.agg(F.sum(n)).first()[0] or 0) // HOT)
+    hot = counted.filter(F.col(n) > limit).select(key)
+    hot.held = counted.held
+    if hot.isEmpty():
+        discard(hot)
+        return None
+    return hot
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """left joined with right, a written table with a row for each key and how many rows of left (n) have it.
+
+    Keys that very many rows have are few, and are joined by broadcast, so that no task gathers one.
+    """
+    limit = max(LEAST_HOT, (right.agg(F.sum(n)).first()[0] or 0) // HOT)
+    hot = right.filter(F.col(n) > limit)
+    if hot.isEmpty():
+        return left.join(right, key)
+    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    rest = marked.filter("_hot IS NULL").select(*left.columns).join(right.filter(F.col(n) <= limit), key)
+    return marked.filter("_hot").drop("_hot").unionByName(rest)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import written
+from pathloom.llm.common import discard, hot_keys, join_counted, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, label) for every vertex on an edge; label is the least vertex of its component.
 
     Least labels travel along edges and then jump along themselves, so the rounds grow with the
-    logarithm of a component's length.  Each round is a written table.  Null ends are left out.
+    logarithm of a component's length.  Each round is a written table; those of earlier rounds are
+    deleted.  Vertices of very many edges, and labels of very many vertices, are few and are joined by
+    broadcast, so no task gathers them.  Null ends are left out; an empty table gives no rows.
     """
-    e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    e = written(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     # each vertex keeps one edge to its least neighbour, with which its other neighbours are tied instead
-    e = e.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    e = e.select("a", F.col("m").alias("b")).unionByName(e.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-    e = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
+    least = written(e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    others = join_counted(e, least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    both = least.select("a", F.col("m").alias("b")).unionByName(others)
+    tied = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    discard(e, least)
+    hubs = hot_keys(tied.groupBy("b").agg(F.count("*").alias("n")), "b")
+    labels = written(tied.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
     while True:
-        near = e.join(labels.withColumnsRenamed({"v": "b", "label": "near"}), "b").groupBy(F.col("a").alias("v")).agg(F.min("near").alias("near"))
-        told = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("told"))
+        far = labels.withColumnsRenamed({"v": "b", "label": "near"})
+        if hubs is None:
+            seen = tied.join(far, "b")
+        else:
+            marked = tied.join(F.broadcast(far.join(F.broadcast(hubs), "b")), "b", "left")
+            seen = marked.filter("near IS NOT NULL").unionByName(marked.filter("near IS NULL").drop("near").join(far, "b"))
+        near = seen.groupBy(F.col("a").alias("v")).agg(F.min("near").alias("near"))
+        told = written(labels.join(near, "v").select("v", "label", F.least("label", "near").alias("told")))
         jump = labels.select(F.col("v").alias("told"), F.col("label").alias("further"))
-        new = written(told.join(jump, "told").select("v", F.least("told", "further").alias("label"), F.col("label").alias("old")))
+        steps = written(told.groupBy("told").agg(F.count("*").alias("n")).join(jump, "told"))
+        new = written(join_counted(told, steps, "told").select("v", F.least("told", "further").alias("label"), F.col("label").alias("old")))
+        discard(labels, told, steps)
         if new.filter("label <> old").isEmpty():
+            discard(tied, *([] if hubs is None else [hubs]))
             return new.select("v", "label")
         labels = new.select("v", "label")
+        labels.held = new.held

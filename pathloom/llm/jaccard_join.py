@@ -1,19 +1,26 @@
 """Exact Jaccard self-join on word shingles with adaptive multi-match prefixes, and its components.
 
 Each text is the set of its distinct shingles of ``SHINGLE`` words (A-Z lower-cased).  All shingles have
-one global order: rare before frequent, by a count of all shingles of the corpus in ``CELLS`` cells.
+one global order: rare before frequent, by a count of all shingles of the corpus in ``CELLS`` cells, of
+which the mean, what chance puts into any cell, is taken off.
 If two sets are similar enough, their prefixes of n - alpha + l shingles share at least l of them.
 Each text takes the l (1 to ``MOST``) of least estimated cost: what its prefix's shingles are expected
 to meet, and what must then be verified.  Pairs need as many common prefix shingles as the smaller l
 asks for before their whole sets are compared.
 
-Prefix shingles are dealt by value; texts of similar size with a common one form a family.  Families are
-joined in blocks of bounded size, each pair of blocks in one task.  Every candidate pair is verified, once;
-pairs are not written out: each text's number of links leaves, and a spanning set of the links, of which
-the components are made.
-
-Equal sets (copies) are one vertex throughout.  Null and empty texts have no shingle and no link; texts
-of fewer than ``SHINGLE`` words are one shingle.  Repeated rows and ids are joined like other copies.
+Prefix shingles are dealt by value; texts of similar size with a common one form a family.  A family of
+bounded size is joined in one task.  In a larger one texts are dealt to blocks of bounded size, like
+texts to the same ones (by least hash), and a text is sent to a pair of blocks only if a prefix shingle,
+by the sizes of the texts that have it, lets it be similar to one of the other block.  So the cost
+goes with the candidates, not with the square of the family.  Within a pair of blocks a pair of texts needs as
+many common prefix shingles as the smaller l, then every such pair is verified, once; pairs are not
+written out: each text's number of links leaves, and a spanning set of the links, of which the
+components are made.
+
+Equal sets (copies) are one vertex throughout; sets that are not equal never are: where two have one
+64-bit hash, a second one tells them apart.  Null and empty texts have no shingle and no link; texts
+of fewer than ``SHINGLE`` words are one shingle.  Repeated rows and ids are joined like other copies.  An
+empty table gives no rows; a kept column named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pathloom.llm import wordhash as wh
-from pathloom.llm.common import arrow_schema, partitions, written
+from pathloom.llm.common import arrow_schema, discard, join_counted, kept, partitions, written
 from pathloom.llm.graph import components
 
 SHINGLE = 5
@@ -41,6 +48,8 @@ VERIFY = 8.0
 #: Estimated texts from which a prefix shingle is dealt to several tasks.
 SALT = 20_000
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Bits of a vertex's number (tests lower them, so that sets collide).
+VERTEX_BITS = 64
 #: Vertices that a task remembers so as not to send copies; connected ones that it keeps before it sends them.
 SEEN, CONNECTED = 200_000, 1_000_000
 
@@ -58,9 +67,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray):
         yield int(row[a]), s
 
 
-def vertex(s: np.ndarray) -> int:
-    """A number for a set of shingles."""
-    return int(wh.mix(np.array([wh.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+class Vertices:
+    """Numbers for sets of shingles; renamed holds those of the few sets whose first hash another set has too."""
+
+    def __init__(self, renamed: dict[tuple[int, int], int] | None = None) -> None:
+        self.bits, self.renamed = VERTEX_BITS, renamed or {}
+        self.shared = {v for v, _ in self.renamed}
+
+    def hashes(self, s: np.ndarray) -> tuple[int, int]:
+        """Two independent hashes of a set; the first is the vertex unless it is renamed."""
+        n, out = np.uint64(len(s)), []
+        for salt in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D):
+            out.append(int(wh.mix(np.array([wh.mix(s ^ np.uint64(salt)).sum() + n], np.uint64)).view(np.int64)[0]))
+        return out[0] >> (64 - self.bits), out[1]
+
+    def number(self, s: np.ndarray) -> int:
+        if not self.shared:
+            return int(wh.mix(np.array([wh.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) >> (64 - self.bits)
+        v, u = self.hashes(s)
+        return self.renamed.get((v, u), v) if v in self.shared else v
 
 
 def alpha(n: int) -> int:
@@ -80,25 +105,22 @@ def ordered(s: np.ndarray, ranks: np.ndarray, upto: int) -> np.ndarray:
 
 
 def frequency(keys: np.ndarray) -> np.ndarray:
-    """Estimated occurrences of ordered shingles."""
+    """Estimated occurrences of ordered shingles beyond those that chance puts into a cell."""
     return np.exp2((keys >> np.uint64(54)).astype(float) / 16) - 1
 
 
-def shares(keys: np.ndarray, usual: float, most: int) -> np.ndarray:
+def shares(keys: np.ndarray, most: int) -> np.ndarray:
     """To how many tasks the texts with each ordered shingle are dealt, by at most so many texts."""
-    return np.ceil(np.maximum(frequency(keys) - usual, 1.0) / most).astype(np.int64)
+    return np.ceil(np.maximum(frequency(keys), 1.0) / most).astype(np.int64)
 
 
-def prefix(s: np.ndarray, ranks: np.ndarray, usual: float) -> tuple[np.ndarray, int, int]:
-    """Ordered prefix, its l, and how many of it are in the prefix for sets that aren't smaller.
-
-    usual: mean occurrences of a cell, which are chance and cost nothing.
-    """
+def prefix(s: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Ordered prefix, its l, and how many of it are in the prefix for sets that aren't smaller."""
     n = len(s)
     least = alpha(n)
     most = min(MOST, least)
     keys = ordered(s, ranks, n - least + most)
-    meets = np.cumsum(np.maximum(frequency(keys) - usual, 0.0))
+    meets = np.cumsum(frequency(keys))
     l, cost = 1, np.inf
     for k in range(1, most + 1):
         c = meets[n - least + k - 1] * (1 + VERIFY / (k * k))
@@ -107,8 +129,8 @@ def prefix(s: np.ndarray, ranks: np.ndarray, usual: float) -> tuple[np.ndarray,
     return keys[: n - least + l], l, n - alpha_smaller(n) + l
 
 
-def count_cells(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """Ranks (16 steps an octave) of the cells' shingle counts over all texts, and the mean count of a cell."""
+def count_cells(docs: DataFrame) -> np.ndarray:
+    """Ranks (16 steps an octave) of the cells' shingle counts over all texts, less the mean count."""
     size = CELLS // SLICES
     schema = "slice int, cells binary"
     arrow = pa.schema([("slice", pa.int32()), ("cells", pa.binary())])
@@ -132,30 +154,46 @@ def count_cells(docs: DataFrame) -> tuple[np.ndarray, float]:
         for k, cells in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], schema=arrow)
 
-    ranks, total = np.zeros(CELLS, np.uint16), 0
+    counts = np.zeros(CELLS, np.uint64)
     for r in docs.select("_text").mapInArrow(count, schema).repartition(min(SLICES, partitions(docs.sparkSession)), "slice").mapInArrow(add, schema).collect():
-        cells = np.frombuffer(zlib.decompress(r["cells"]), np.uint64)
-        total += int(cells.sum())
-        ranks[r["slice"] * size : (r["slice"] + 1) * size] = np.round(16 * np.log2(1.0 + cells))
-    return ranks, total / CELLS
+        counts[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(zlib.decompress(r["cells"]), np.uint64)
+    return np.round(16 * np.log2(1.0 + np.maximum(counts - counts.mean(), 0.0))).astype(np.uint16)
 
 
-def _describe(keep: int, arrow: pa.Schema):
-    """Rows to kept columns, n_shingles and _v (null without shingles)."""
+def _describe(keep: int, arrow: pa.Schema, vertices: Vertices):
+    """Rows to kept columns, n_shingles, and of its set (null without shingles) _v, a second hash _u and the least hash _m of its shingles."""
 
     def run(batches):
         for b in batches:
-            sizes, vertices = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            sizes, found = np.zeros(b.num_rows, np.int64), np.zeros((3, b.num_rows), np.int64)
             for low, data, offsets in wh.chunks(b.column(keep)):
                 for r, s in shingle_sets(data, offsets):
-                    sizes[low + r], vertices[low + r] = len(s), vertex(s)
+                    v, u = vertices.hashes(s)
+                    sizes[low + r], found[:, low + r] = len(s), (v, u, int(s[0]) >> 1)
             columns = [b.column(i).cast(arrow.field(i).type) for i in range(keep)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes), pa.array(vertices, mask=sizes == 0)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes), *[pa.array(x, mask=sizes == 0) for x in found]], schema=arrow)
 
     return run
 
 
-def _postings(ranks, usual: float):
+def apart(described: DataFrame) -> tuple[DataFrame, DataFrame, Vertices]:
+    """described with a number _v of its own for each set; a row (v, n, copies, m) for each; how to number sets.
+
+    Sets with one first hash are counted; of some 10^11 different sets, a few hundred have a first hash in common.
+    """
+    sets = described.filter("_v IS NOT NULL").groupBy("_v").agg(F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min("_m").alias("m"), F.min("_u").alias("u"), (F.min("_u") < F.max("_u")).alias("mixed"))
+    sets = written(sets)
+    mixed = sets.filter("mixed").select("_v", F.col("u").alias("first"))
+    if mixed.isEmpty():
+        return described, sets.select(F.col("_v").alias("v"), "n", "copies", "m"), Vertices()
+    others = described.join(F.broadcast(mixed), "_v").filter("_u <> first").select("_v", "_u").distinct().withColumn("_new", F.xxhash64("_v", "_u"))
+    renamed = written(others)
+    described = described.join(F.broadcast(renamed), ["_v", "_u"], "left").withColumn("_v", F.coalesce("_new", "_v")).drop("_new")
+    sets = described.filter("_v IS NOT NULL").groupBy(F.col("_v").alias("v")).agg(F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min("_m").alias("m"))
+    return written(described), written(sets), Vertices({(r["_v"], r["_u"]): r["_new"] for r in renamed.toLocalIterator()})
+
+
+def _postings(ranks, vertices: Vertices):
     """Texts to (key, salt, n, v, small): a row for each prefix shingle of each vertex new to the task.
 
     Shingles of very many texts are dealt by size class (each text to its own and the next, so that
@@ -167,23 +205,23 @@ def _postings(ranks, usual: float):
         seen: set[int] = set()
         for b in batches:
             for _, data, offsets in wh.chunks(b.column(0)):
-                keys, vertices, sizes, small, lengths = [], [], [], [], []
+                keys, numbers, sizes, small, lengths = [], [], [], [], []
                 for _, s in shingle_sets(data, offsets):
-                    v = vertex(s)
+                    v = vertices.number(s)
                     if v in seen:
                         continue
                     if len(seen) < SEEN:
                         seen.add(v)
-                    k, _, n_small = prefix(s, ranks.value, usual)
+                    k, _, n_small = prefix(s, ranks.value)
                     keys.append(k)
-                    vertices.append(v)
+                    numbers.append(v)
                     sizes.append(len(s))
                     lengths.append(len(k))
                     small.append(np.arange(len(k)) < n_small)
                 if not keys:
                     continue
-                k, v, n, few = np.concatenate(keys), np.repeat(np.array(vertices, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths), np.concatenate(small)
-                parts = shares(k, usual, SALT)
+                k, v, n, few = np.concatenate(keys), np.repeat(np.array(numbers, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths), np.concatenate(small)
+                parts = shares(k, SALT)
                 many = parts > 1
                 salt = np.where(many, 1 + size_class(n) * parts + v % parts, 0)
                 again = np.flatnonzero(many)
@@ -218,7 +256,7 @@ class Sets:
             self.above[max(x, y)] = min(x, y)
 
 
-def _meetings(usual: float):
+def _meetings():
     """Postings sorted by key, salt, n and v to (a, b, hot): vertices of a shared key, of about one size, each with the least of those that it is connected to in this task.
 
     A run of vertices by size is cut where the next is too large for any pair across; what no set has in
@@ -254,7 +292,7 @@ def _meetings(usual: float):
                     close()
                     key, salt, first, small, waiting = keys[a], salts[a], int(v[a]), False, []
                     if salt:
-                        number = (int(salt) - 1) // int(shares(keys[a : a + 1].view(np.uint64), usual, SALT)[0])
+                        number = (int(salt) - 1) // int(shares(keys[a : a + 1].view(np.uint64), SALT)[0])
                         class_ = int(wh.mix(keys[a : a + 1].view(np.uint64) + np.uint64(number)).view(np.int64)[0])
                 waiting += v[a:z].tolist()
                 small = small or bool(s[a:z].any())
@@ -282,8 +320,8 @@ def _meetings(usual: float):
 class Block:
     """Texts of one block of a family, or of two, joined among themselves."""
 
-    def __init__(self, ranks: np.ndarray, usual: float) -> None:
-        self.ranks, self.usual = ranks, usual
+    def __init__(self, ranks: np.ndarray) -> None:
+        self.ranks = ranks
         self.members: dict[int, tuple] = {}
 
     def add(self, v: int, text: str, copies: int, side: int) -> None:
@@ -291,7 +329,7 @@ class Block:
             return
         raw = np.frombuffer((text or "").encode(), np.uint8)
         for _, s in shingle_sets(raw, np.array([0, len(raw)])):
-            self.members[v] = (s, *prefix(s, self.ranks, self.usual), copies, side)
+            self.members[v] = (s, *prefix(s, self.ranks), copies, side)
 
     def links(self, across: bool) -> tuple[list[tuple[int, int]], dict[int, int]]:
         """Links that connect what is similar here, and of each text the number of rows that are similar to it; with across, of pairs of different blocks."""
@@ -337,7 +375,7 @@ def numbered(parts: tuple[np.ndarray, ...]) -> tuple[int, list[np.ndarray]]:
     return len(values), np.split(at, np.cumsum([len(x) for x in parts])[:-1])
 
 
-def _join(ranks, usual: float):
+def _join(ranks):
     """Texts sorted by family and blocks p and q to verified links (a, b, null) and to (a, null, rows that a is linked to)."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -357,7 +395,7 @@ def _join(ranks, usual: float):
                     if here != at:
                         if block:
                             yield done()
-                        at, block = here, Block(ranks.value, usual)
+                        at, block = here, Block(ranks.value)
                     block.add(v.as_py(), text.as_py(), copies.as_py(), own.as_py())
         if block:
             yield done()
@@ -365,45 +403,99 @@ def _join(ranks, usual: float):
     return run
 
 
-def _texts(batches):
+def _texts(vertices: Vertices):
     """Texts to (v, text), once for each vertex new to the task."""
     arrow = pa.schema([("v", pa.int64()), ("text", pa.string())])
-    seen: set[int] = set()
-    for b in batches:
-        for low, data, offsets in wh.chunks(b.column(0)):
-            rows, vertices = [], []
-            for r, s in shingle_sets(data, offsets):
-                v = vertex(s)
-                if v not in seen:
-                    if len(seen) < SEEN:
-                        seen.add(v)
+
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            for low, data, offsets in wh.chunks(b.column(0)):
+                rows, numbers = [], []
+                for r, s in shingle_sets(data, offsets):
+                    v = vertices.number(s)
+                    if v not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(v)
+                        rows.append(low + r)
+                        numbers.append(v)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), b.column(0).take(pa.array(rows)).cast(pa.string())], schema=arrow)
+
+    return run
+
+
+def _block_postings(ranks, most: int):
+    """Texts of large families (family, block, v, text) to a row for each prefix shingle, with the number of tasks that its texts are dealt to."""
+    arrow = pa.schema([("family", pa.int64()), ("block", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("parts", pa.int64()), ("n", pa.int64()), ("small", pa.bool_())])
+
+    def run(batches):
+        for b in batches:
+            for low, data, offsets in wh.chunks(b.column(3)):
+                rows, keys, sizes, small = [], [], [], []
+                for r, s in shingle_sets(data, offsets):
+                    k, _, n_small = prefix(s, ranks.value)
                     rows.append(low + r)
-                    vertices.append(v)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(vertices, pa.int64()), b.column(0).take(pa.array(rows)).cast(pa.string())], schema=arrow)
+                    keys.append(k)
+                    sizes.append(len(s))
+                    small.append(np.arange(len(k)) < n_small)
+                if rows:
+                    lengths, k = [len(x) for x in keys], np.concatenate(keys)
+                    own = [b.column(i).take(pa.array(np.repeat(rows, lengths))) for i in range(3)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(k.view(np.int64)), pa.array(shares(k, most)), pa.array(np.repeat(sizes, lengths)), pa.array(np.concatenate(small))], schema=arrow)
 
+    return run
 
-def links(docs: DataFrame, described: DataFrame) -> DataFrame:
+
+def visits(postings: DataFrame) -> DataFrame:
+    """(family, p, q, v), once each: v must visit the blocks p and q, because it may be similar to a text of the one that it isn't in.
+
+    Of two similar texts that have a prefix shingle in common, the one that isn't larger has it in its
+    prefix for sets that aren't smaller.  The texts of a shingle are summed up by block before they meet,
+    and those of a frequent one are dealt to several tasks.
+    """
+    blocks = postings.groupBy("family", "key", "parts", "block").agg(
+        F.count("*").alias("texts"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.when(F.col("small"), F.col("n"))).alias("small_low"), F.max(F.when(F.col("small"), F.col("n"))).alias("small_high")
+    )
+    blocks = blocks.select("family", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("block").alias("other"), "texts", "low", "high", "small_low", "small_high")
+    met = postings.withColumn("part", F.pmod("v", "parts")).join(blocks, ["family", "key", "part"])
+    larger = F.col("small") & (F.col("high") >= F.col("n")) & (PERCENT * F.col("low") <= 100 * F.col("n"))
+    smaller = (F.col("small_low") <= F.col("n")) & (100 * F.col("small_high") >= PERCENT * F.col("n"))
+    met = met.filter((larger | F.coalesce(smaller, F.lit(False))) & ((F.col("block") != F.col("other")) | (F.col("texts") > 1)))
+    return met.select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "v").distinct()
+
+
+def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
     """Verified links (a, b, null) between vertices, enough to connect all similar sets, and (a, null, n): a is linked to n rows of other vertices, in parts to be summed.
 
-    docs has _text, described _v and n_shingles.
+    docs has _text, sets (v, n, copies, m) of every vertex.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    cells, usual = count_cells(docs)
-    ranks = spark.sparkContext.broadcast(cells)
-    postings = docs.select("_text").mapInArrow(_postings(ranks, usual), "key long, salt int, n int, v long, small boolean")
-    met = written(postings.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "n", "v").mapInArrow(_meetings(usual), "a long, b long, hot boolean, small boolean").distinct())
+    ranks = spark.sparkContext.broadcast(count_cells(docs))
+    postings = docs.select("_text").mapInArrow(_postings(ranks, vertices), "key long, salt int, n int, v long, small boolean")
+    met = written(postings.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "n", "v").mapInArrow(_meetings(), "a long, b long, hot boolean, small boolean").distinct())
     hot = met.filter("hot")
     across = hot.join(hot.groupBy("a").agg(F.min("b").alias("least"), F.max("small").alias("any")).filter("any"), "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     families = components(met.filter("NOT hot").select("a", "b").unionByName(across))
-    sizes = families.join(described.filter("_v IS NOT NULL").groupBy(F.col("_v").alias("v")).agg(F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "v")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    families = sizes.join(sizes.groupBy("label").agg(blocks.alias("blocks")), "label").select("v", F.col("label").alias("family"), "blocks", "copies")
-    texts = docs.select("_text").mapInArrow(_texts, "v long, text string").join(families, "v")
-    texts = texts.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    laid = texts.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "v", "own", "copies", "text")
-    return written(laid.repartition(n, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_join(ranks, usual), "a long, b long, n long"))
+    discard(met)
+    members = written(families.join(sets, "v").select("v", F.col("label").alias("family"), F.col("n").alias("size"), "copies", "m"))
+
+    # of a group of members: how many blocks of bounded size it needs
+    pieces = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("pieces")
+    families = written(members.groupBy("family").agg(F.count("*").alias("n"), pieces))
+    placed = join_counted(members, families, "family")
+    texts = docs.select("_text").mapInArrow(_texts(vertices), "v long, text string")
+    one = F.lit(0).cast("long")
+    laid = texts.join(placed.filter("pieces = 1"), "v").select("family", one.alias("p"), one.alias("q"), "v", one.alias("own"), "copies", "text")
+    if not families.filter("pieces > 1").isEmpty():
+        large = placed.filter("pieces > 1").withColumn("bucket", F.pmod(F.xxhash64("m"), F.col("pieces")))
+        large = written(large.select("family", "bucket", "v", "size", "copies", F.struct("family", "bucket").alias("place")))
+        buckets = written(large.groupBy("place").agg(F.count("*").alias("n"), pieces))
+        blocks = join_counted(large, buckets, "place").withColumn("block", F.col("bucket") * F.lit(1 << 20) + F.pmod(F.xxhash64("v"), F.col("pieces")))
+        homes = written(texts.join(blocks.select("v", "family", "block", "copies"), "v").dropDuplicates(["v"]))
+        found = visits(homes.select("family", "block", "v", "text").mapInArrow(_block_postings(ranks, SALT), "family long, block long, v long, key long, parts long, n long, small boolean"))
+        laid = laid.unionByName(found.drop("family").join(homes, "v").select("family", "p", "q", "v", F.col("block").alias("own"), "copies", "text"))
+    return written(laid.repartition(n, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_join(ranks), "a long, b long, n long"))
 
 
 def jaccard_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", with_links: bool = False, with_class: bool = False) -> DataFrame:
@@ -413,27 +505,31 @@ def jaccard_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_
     with_links adds n_links: the number of other rows that are similar to the row, copies included.
     with_class adds class_id, which is unique to a component also where ids are null or repeated (null without shingles).
     """
+    keep = kept(keep, ["n_shingles", "component_id", *["n_links"] * with_links, *["class_id"] * with_class])
     kinds = {f.name: f.dataType for f in docs.schema}
     source = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     names = [f"_k{i}" for i in range(len(keep))] + ["_id"]
-    schema = StructType([StructField(x, kinds[c]) for x, c in zip(names, [*keep, id_col], strict=True)] + [StructField("n_shingles", LongType()), StructField("_v", LongType())])
-    described = written(source.mapInArrow(_describe(len(names), arrow_schema(schema)), schema))
-    found = links(source, described)
+    schema = StructType([StructField(x, kinds[c]) for x, c in zip(names, [*keep, id_col], strict=True)] + [StructField("n_shingles", LongType()), *[StructField(c, LongType()) for c in ("_v", "_u", "_m")]])
+    described = written(source.mapInArrow(_describe(len(names), arrow_schema(schema), Vertices()), schema))
+    described, sets, vertices = apart(described)
+    found = links(source, sets, vertices)
     labels = components(found)
-    placed = described.join(labels.withColumnRenamed("v", "_v"), "_v", "left").withColumn("label", F.coalesce("label", "_v"))
+    # a row for each vertex: its component's label (its own where nothing is similar), and how many rows have it
+    own = sets.join(labels, "v", "left").select(F.col("v").alias("_v"), F.coalesce("label", "v").alias("label"), F.col("copies").alias("n"))
     columns = [*names, "n_shingles", "component_id"]
     if with_links:
         columns.append("n_links")
-        copies = described.filter("_v IS NOT NULL").groupBy("_v").agg((F.count("*") - 1).alias("n"))
-        others = found.filter("n IS NOT NULL").select(F.col("a").alias("_v"), "n")
-        placed = placed.join(copies.unionByName(others).groupBy("_v").agg(F.sum("n").alias("n_links")), "_v", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+        others = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("_v")).agg(F.sum("n").alias("others"))
+        own = own.join(others, "_v", "left").withColumn("n_links", F.col("n") - 1 + F.coalesce("others", F.lit(0)).cast("long"))
+    filled = join_counted(described.filter("_v IS NOT NULL"), written(own), "_v")
+    empty = described.filter("_v IS NULL").withColumn("label", F.lit(None).cast("long")).withColumn("component_id", F.col("_id")).withColumn("n_links", F.lit(0).cast("long"))
     if with_class:
         columns.append("class_id")
-        placed = placed.withColumn("class_id", F.col("label"))
-    least = placed.filter("label IS NOT NULL").groupBy("label").agg(F.min("_id").alias("component_id"))
-    alone = placed.filter("label IS NULL").withColumn("component_id", F.col("_id"))
-    done = placed.filter("label IS NOT NULL").join(least, "label")
-    return done.select(*columns).unionByName(alone.select(*columns)).select(*[F.col(x).alias(c) for x, c in zip(names, keep, strict=False)], *columns[len(names) :])
+        filled, empty = (x.withColumn("class_id", F.col("label")) for x in (filled, empty))
+    filled = written(filled)
+    least = written(filled.groupBy("label").agg(F.min("_id").alias("component_id"), F.count("*").alias("n")))
+    done = join_counted(filled.drop("n"), least, "label").select(*columns).unionByName(empty.select(*columns))
+    return done.select(*[F.col(x).alias(c) for x, c in zip(names, keep, strict=False)], *columns[len(names) :])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -443,7 +539,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = jaccard_components(packed.withColumnRenamed("_doc", "doc_id").withColumnRenamed("_body", "text"), keep=("doc_id", "_t", "_u"), with_class=True)
     linked = placed.filter("n_shingles > 0")
     chosen = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_t", "_u")).alias("one")).select("one.doc_id", "one._t", "one._u")
-    one = packed.join(chosen.withColumnRenamed("doc_id", "_chosen"), ["_t", "_u"]).filter(F.col("_doc").eqNullSafe(F.col("_chosen")))
+    chosen = chosen.select(F.col("doc_id").alias("_chosen"), F.col("_t").alias("_ct"), F.col("_u").alias("_cu"))
+    # copies of one text are spread by their ids
+    one = packed.join(chosen, (F.col("_t") == F.col("_ct")) & (F.col("_u") == F.col("_cu")) & F.col("_doc").eqNullSafe(F.col("_chosen")))
     # repeated rows that agree in id and text: the first of them by all their values
     empty = packed.filter(F.regexp_replace("_body", "[\\x20\\x09-\\x0D]+", "") == "")
     return one.groupBy("_doc", "_t", "_u").agg(F.min("_row").alias("_row")).select("_row.*").unionByName(empty.select("_row.*"))

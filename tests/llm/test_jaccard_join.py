@@ -106,7 +106,7 @@ def test_prefixes_of_similar_sets_share_enough(x, data):
         return
     ranks = np.random.default_rng(len(x)).integers(0, 200, jj.CELLS).astype(np.uint16)
     small, large = sorted((np.array(sorted(s), np.uint64) for s in (x, y)), key=len)
-    (a, l, n_small), (b, m, _) = jj.prefix(small, ranks, 0.0), jj.prefix(large, ranks, 0.0)
+    (a, l, n_small), (b, m, _) = jj.prefix(small, ranks), jj.prefix(large, ranks)
     assert len({*a[:n_small].tolist()} & {*b.tolist()}) >= min(l, m)
 
 
@@ -154,3 +154,48 @@ def test_components(spark):
     got = {x.v: x.label for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: find(v) for v in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def chain(n):
+    """Texts that share all their shingles with two others each and are similar to none: one family of unconnected texts."""
+    phrase = lambda k: " ".join(f"p{k}x{j}" for j in range(14))
+    return [(i, phrase(i) + " " + phrase(i + 1)) for i in range(n)]
+
+
+def test_a_large_family_costs_what_its_candidates_do(make, monkeypatch):
+    sent = []
+    plain = jj.visits
+    monkeypatch.setattr(jj, "visits", lambda p: sent.append(plain(p).cache()) or sent[-1])
+    monkeypatch.setattr(jj, "BLOCK_TEXTS", 16)
+    rows = chain(800) + [(1000, chain(1)[0][1] + " end")]
+    got = jj.jaccard_components(make(rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id != r.component_id} == {(1000, 0)}
+    assert 0 < sent[0].count() <= 4 * len(rows)  # of 50 blocks, each text is sent to those of its neighbours
+
+
+@pytest.mark.parametrize("bits", [3, 12])
+def test_sets_of_one_hash_stay_apart(make, monkeypatch, bits):
+    monkeypatch.setattr(jj, "VERTEX_BITS", bits)
+    rows = corpus(11)
+    got = jj.jaccard_components(make(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_frequent_labels_and_copies_are_joined_by_broadcast(make, monkeypatch):
+    """Copies of one text, a star and many near copies, with every key of more than two rows taken for a frequent one."""
+    from pathloom.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    template = [f"t{k}" for k in range(104)]
+    rows = corpus(8) + [(2000 + i, "the same words in every row here") for i in range(30)]
+    rows += [(3000, " ".join(template))] + [(3000 + i, " ".join(template + [f"own{i}x{k}" for k in range(24)])) for i in range(1, 31)]
+    got = jj.jaccard_components(make(rows), with_links=True).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert {r.n_links for r in got if 2000 <= r.doc_id < 3000} == {29} and {r.n_links for r in got if r.doc_id > 3000} == {1}
+
+
+def test_kept_columns_give_way_to_results(make):
+    docs = make(corpus(5, 2)).selectExpr("*", "1 AS component_id", "2 AS label", "3 AS n", "4 AS family")
+    out = jj.jaccard_components(docs, keep=("doc_id", "component_id", "label", "n", "family"))
+    assert out.columns == ["doc_id", "label", "n", "family", "n_shingles", "component_id"] and out.count() == docs.count()
+    assert jj.keep_one(docs).columns == docs.columns
