@@ -75,18 +75,6 @@ def passing(spark: SparkSession):
             _delete(spark, path)
 
 
-def hot_keys(counted: DataFrame, key: str, n: str = "n") -> DataFrame | None:
-    """The keys of counted (a row for each, n: how many rows elsewhere have it) that very many rows have, at most HOT; None if there are none."""
-    counted = written(counted)
-    limit = max(LEAST_HOT, (counted.agg(F.sum(n)).first()[0] or 0) // HOT)
-    hot = counted.filter(F.col(n) > limit).select(key)
-    hot.held = counted.held
-    if hot.isEmpty():
-        discard(hot)
-        return None
-    return hot
-
-
 def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
     """left joined with right, a written table with a row for each key and how many rows of left (n) have it.
 

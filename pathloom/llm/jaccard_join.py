@@ -483,18 +483,17 @@ def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
     # of a group of members: how many blocks of bounded size it needs
     pieces = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("pieces")
     families = written(members.groupBy("family").agg(F.count("*").alias("n"), pieces))
-    placed = join_counted(members, families, "family")
-    texts = docs.select("_text").mapInArrow(_texts(vertices), "v long, text string")
-    one = F.lit(0).cast("long")
-    laid = texts.join(placed.filter("pieces = 1"), "v").select("family", one.alias("p"), one.alias("q"), "v", one.alias("own"), "copies", "text")
+    placed = written(join_counted(members, families.withColumnRenamed("pieces", "buckets"), "family").withColumn("place", F.struct("family", F.pmod(F.xxhash64("m"), F.col("buckets")).alias("bucket"))).drop("n"))
+    places = written(placed.groupBy("place").agg(F.count("*").alias("n"), pieces))
+    blocks = join_counted(placed, places, "place").select("v", "family", "copies", "buckets", (F.col("place.bucket") * F.lit(1 << 20) + F.pmod(F.xxhash64("v"), F.col("pieces"))).alias("block"))
+    homes = written(docs.select("_text").mapInArrow(_texts(vertices), "v long, text string").join(blocks, "v"))
+    discard(members, placed, places)
+    whole = homes.filter("buckets = 1")
+    laid = whole.select("family", F.col("block").alias("p"), F.col("block").alias("q"), "v", F.col("block").alias("own"), "copies", "text")
     if not families.filter("pieces > 1").isEmpty():
-        large = placed.filter("pieces > 1").withColumn("bucket", F.pmod(F.xxhash64("m"), F.col("pieces")))
-        large = written(large.select("family", "bucket", "v", "size", "copies", F.struct("family", "bucket").alias("place")))
-        buckets = written(large.groupBy("place").agg(F.count("*").alias("n"), pieces))
-        blocks = join_counted(large, buckets, "place").withColumn("block", F.col("bucket") * F.lit(1 << 20) + F.pmod(F.xxhash64("v"), F.col("pieces")))
-        homes = written(texts.join(blocks.select("v", "family", "block", "copies"), "v").dropDuplicates(["v"]))
-        found = visits(homes.select("family", "block", "v", "text").mapInArrow(_block_postings(ranks, SALT), "family long, block long, v long, key long, parts long, n long, small boolean"))
-        laid = laid.unionByName(found.drop("family").join(homes, "v").select("family", "p", "q", "v", F.col("block").alias("own"), "copies", "text"))
+        large = homes.filter("buckets > 1")
+        found = visits(large.select("family", "block", "v", "text").mapInArrow(_block_postings(ranks, SALT), "family long, block long, v long, key long, parts long, n long, small boolean"))
+        laid = laid.unionByName(found.drop("family").join(large, "v").select("family", "p", "q", "v", F.col("block").alias("own"), "copies", "text"))
     return written(laid.repartition(n, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_join(ranks), "a long, b long, n long"))
 
 
