@@ -376,22 +376,22 @@ def numbered(parts: tuple[np.ndarray, ...]) -> tuple[int, list[np.ndarray]]:
 
 
 def _join(ranks):
-    """Texts sorted by family and blocks p and q to verified links (a, b, null) and to (a, null, rows that a is linked to)."""
+    """Texts sorted by blocks p and q to verified links (a, b, null) and to (a, null, rows that a is linked to)."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         at, block = None, None
 
         def done():
-            links, degree = block.links(at[1] != at[2])
+            links, degree = block.links(at[0] != at[1])
             none, less = [None] * len(links), [None] * len(degree)
             return pa.RecordBatch.from_arrays([pa.array([*(x for x, _ in links), *degree], pa.int64()), pa.array([*(y for _, y in links), *less], pa.int64()), pa.array([*none, *degree.values()], pa.int64())], schema=arrow)
 
         for b in batches:
             for low in range(0, b.num_rows, 500):
                 part = b.slice(low, 500)
-                for family, p, q, v, own, copies, text in zip(*(part.column(i) for i in range(7)), strict=True):
-                    here = family.as_py(), p.as_py(), q.as_py()
+                for p, q, v, own, copies, text in zip(*(part.column(i) for i in range(6)), strict=True):
+                    here = p.as_py(), q.as_py()
                     if here != at:
                         if block:
                             yield done()
@@ -426,12 +426,17 @@ def _texts(vertices: Vertices):
 
 
 def _block_postings(ranks, most: int):
-    """Texts of large families (family, block, v, text) to a row for each prefix shingle, with the number of tasks that its texts are dealt to."""
-    arrow = pa.schema([("family", pa.int64()), ("block", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("parts", pa.int64()), ("n", pa.int64()), ("small", pa.bool_())])
+    """Texts of large families (block, v, text) to a row for each prefix shingle: key, part, block, n, small, v.
+
+    A shingle of very many texts is dealt to several parts, each text to one; in the others it is
+    known, without v, by its block and size.
+    """
+    arrow = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("small", pa.bool_()), ("v", pa.int64())])
 
     def run(batches):
         for b in batches:
-            for low, data, offsets in wh.chunks(b.column(3)):
+            blocks, numbers = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for low, data, offsets in wh.chunks(b.column(2)):
                 rows, keys, sizes, small = [], [], [], []
                 for r, s in shingle_sets(data, offsets):
                     k, _, n_small = prefix(s, ranks.value)
@@ -439,30 +444,71 @@ def _block_postings(ranks, most: int):
                     keys.append(k)
                     sizes.append(len(s))
                     small.append(np.arange(len(k)) < n_small)
-                if rows:
-                    lengths, k = [len(x) for x in keys], np.concatenate(keys)
-                    own = [b.column(i).take(pa.array(np.repeat(rows, lengths))) for i in range(3)]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(k.view(np.int64)), pa.array(shares(k, most)), pa.array(np.repeat(sizes, lengths)), pa.array(np.concatenate(small))], schema=arrow)
+                if not rows:
+                    continue
+                lengths, k = [len(x) for x in keys], np.concatenate(keys)
+                at, n, few, parts = np.repeat(rows, lengths), np.repeat(sizes, lengths), np.concatenate(small), shares(k, most)
+                home = numbers[at] % parts
+                for step in range(int(parts.max())):
+                    some = np.flatnonzero(parts > step)
+                    v = pa.array(numbers[at[some]], mask=np.full(len(some), step > 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(k[some].view(np.int64)), pa.array((home[some] + step) % parts[some]), pa.array(blocks[at[some]]), pa.array(n[some]), pa.array(few[some]), v], schema=arrow)
 
     return run
 
 
+def _visits(batches):
+    """Rows of _block_postings sorted by key, part and block to (p, q, v): v must visit the blocks p and q."""
+    arrow = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("v", pa.int64())])
+
+    def meet(key, part, block, n, small, v, known):
+        """Of whole runs of one key and part: each row with v and each block of its run that may hold a similar text."""
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        at = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (block[1:] != block[:-1])]))
+        texts, other = np.diff(np.append(at, len(key))), block[at]
+        low, high = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)
+        small_low, small_high = np.minimum.reduceat(np.where(small, n, 1 << 62), at), np.maximum.reduceat(np.where(small, n, -1), at)
+        groups = np.bincount(run[at], minlength=len(first))
+        start = np.cumsum(groups) - groups
+        rows = np.flatnonzero(known & ((groups > 1) | (texts[start] > 1))[run])
+        for some in np.split(rows, np.searchsorted(np.cumsum(groups[run[rows]]), np.arange(1 << 20, int(groups[run[rows]].sum()), 1 << 20))):
+            many = groups[run[some]]
+            x = np.repeat(some, many)
+            g = np.repeat(start[run[some]] - (np.cumsum(many) - many), many) + np.arange(len(x))
+            larger = small[x] & (high[g] >= n[x]) & (PERCENT * low[g] <= 100 * n[x])
+            smaller = (small_low[g] <= n[x]) & (100 * small_high[g] >= PERCENT * n[x])
+            kept_ = np.flatnonzero((larger | smaller) & ((block[x] != other[g]) | (texts[g] > 1)))
+            a, b, who = block[x[kept_]], other[g[kept_]], v[x[kept_]]
+            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), who], 1), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)], schema=arrow)
+
+    rest = None
+    for b in batches:
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        columns += [b.column(5).fill_null(0).to_numpy(zero_copy_only=False), b.column(5).is_valid().to_numpy(zero_copy_only=False)]
+        columns = columns if rest is None else [np.concatenate(pair) for pair in zip(rest, columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        last = len(columns[0]) - int(np.argmax((columns[0][::-1] != columns[0][-1]) | (columns[1][::-1] != columns[1][-1])))
+        whole = (columns[0][0] != columns[0][-1]) or (columns[1][0] != columns[1][-1])
+        cut = last if whole else 0  # the last run may go on
+        if cut:
+            yield from meet(*(c[:cut] for c in columns))
+        rest = [c[cut:] for c in columns]
+    if rest is not None:
+        yield from meet(*rest)
+
+
 def visits(postings: DataFrame) -> DataFrame:
-    """(family, p, q, v), once each: v must visit the blocks p and q, because it may be similar to a text of the one that it isn't in.
+    """(p, q, v), once each: v must visit the blocks p and q, because it may be similar to a text of the one that it isn't in.
 
     Of two similar texts that have a prefix shingle in common, the one that isn't larger has it in its
-    prefix for sets that aren't smaller.  The texts of a shingle are summed up by block before they meet,
-    and those of a frequent one are dealt to several tasks.
+    prefix for sets that aren't smaller.  The texts of a shingle are summed up by block before they meet.
     """
-    blocks = postings.groupBy("family", "key", "parts", "block").agg(
-        F.count("*").alias("texts"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.when(F.col("small"), F.col("n"))).alias("small_low"), F.max(F.when(F.col("small"), F.col("n"))).alias("small_high")
-    )
-    blocks = blocks.select("family", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("block").alias("other"), "texts", "low", "high", "small_low", "small_high")
-    met = postings.withColumn("part", F.pmod("v", "parts")).join(blocks, ["family", "key", "part"])
-    larger = F.col("small") & (F.col("high") >= F.col("n")) & (PERCENT * F.col("low") <= 100 * F.col("n"))
-    smaller = (F.col("small_low") <= F.col("n")) & (100 * F.col("small_high") >= PERCENT * F.col("n"))
-    met = met.filter((larger | F.coalesce(smaller, F.lit(False))) & ((F.col("block") != F.col("other")) | (F.col("texts") > 1)))
-    return met.select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "v").distinct()
+    dealt = postings.repartition(partitions(postings.sparkSession), "key", "part").sortWithinPartitions("key", "part", "block")
+    return dealt.mapInArrow(_visits, "p long, q long, v long").distinct()
 
 
 def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
@@ -485,16 +531,17 @@ def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
     families = written(members.groupBy("family").agg(F.count("*").alias("n"), pieces))
     placed = written(join_counted(members, families.withColumnRenamed("pieces", "buckets"), "family").withColumn("place", F.struct("family", F.pmod(F.xxhash64("m"), F.col("buckets")).alias("bucket"))).drop("n"))
     places = written(placed.groupBy("place").agg(F.count("*").alias("n"), pieces))
-    blocks = join_counted(placed, places, "place").select("v", "family", "copies", "buckets", (F.col("place.bucket") * F.lit(1 << 20) + F.pmod(F.xxhash64("v"), F.col("pieces"))).alias("block"))
+    number = F.pmod(F.xxhash64("v"), F.col("pieces"))
+    blocks = join_counted(placed, places, "place").select("v", "copies", "buckets", F.when(F.col("buckets") == 1, F.col("place.family")).otherwise(F.xxhash64("place", number)).alias("block"))
     homes = written(docs.select("_text").mapInArrow(_texts(vertices), "v long, text string").join(blocks, "v"))
     discard(members, placed, places)
-    whole = homes.filter("buckets = 1")
-    laid = whole.select("family", F.col("block").alias("p"), F.col("block").alias("q"), "v", F.col("block").alias("own"), "copies", "text")
+    own = F.col("block").alias("own")
+    laid = homes.filter("buckets = 1").select(F.col("block").alias("p"), F.col("block").alias("q"), "v", own, "copies", "text")
     if not families.filter("pieces > 1").isEmpty():
         large = homes.filter("buckets > 1")
-        found = visits(large.select("family", "block", "v", "text").mapInArrow(_block_postings(ranks, SALT), "family long, block long, v long, key long, parts long, n long, small boolean"))
-        laid = laid.unionByName(found.drop("family").join(large, "v").select("family", "p", "q", "v", F.col("block").alias("own"), "copies", "text"))
-    return written(laid.repartition(n, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_join(ranks), "a long, b long, n long"))
+        found = visits(large.select("block", "v", "text").mapInArrow(_block_postings(ranks, SALT), "key long, part long, block long, n long, small boolean, v long"))
+        laid = laid.unionByName(found.join(large, "v").select("p", "q", "v", own, "copies", "text"))
+    return written(laid.repartition(n, "p", "q").sortWithinPartitions("p", "q").mapInArrow(_join(ranks), "a long, b long, n long"))
 
 
 def jaccard_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", with_links: bool = False, with_class: bool = False) -> DataFrame:
