@@ -111,7 +111,8 @@ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS lo
 CAST(sum(24 + length(r) + length(x)) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
     "op4_url_filter": f"""
 WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(?:www|m)\\.', '') || regexp_replace(path, '(?:\\.html)?/*$', '') END AS canon FROM u),
+q AS (SELECT *, list_sort([x for x in string_split(coalesce(regexp_extract(url, '://[^?#]*\\?([^#]*)', 1), ''), '&') if x <> '' AND NOT regexp_matches(x, '^(?:utm(?:_[a-z]+)?|fbclid|gclid|ref)(?:=|$)')]) AS params FROM u),
+c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(?:www|m)\\.', '') || regexp_replace(path, '(?:\\.html)?/*$', '') || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canon FROM q),
 rules(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
 hit AS (SELECT c.*, (SELECT {{'r': h || p, 'v': v}} FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule_hit,
 canon IS NOT NULL AND canon IN (SELECT canon FROM c WHERE contains(url, 'utm_source=') AND canon IS NOT NULL) AS listed FROM c)

@@ -54,3 +54,32 @@ def test_query_is_native_and_agrees_with_sql(spark, sf):
     result = duck.execute(SQL["op4_url_filter"])
     columns = [c[0] for c in result.description]
     assert sorted(map(str, result.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in df.collect())
+
+
+def test_parameters_tell_pages_apart_and_tracking_does_not(spark):
+    listed = spark.createDataFrame([("http://a.example/p?id=2&utm_source=x",), ("http://a.example/q.html/?b=2&a=1&ref=y#t",)], "url string")
+    urls = ["http://a.example/p?id=1", "https://www.a.example/p/?id=2&gclid=7", "http://a.example/p", "http://a.example/q?a=1&b=2", "http://a.example/q?a=1", "http://a.example/q?a=1&&b=2&utm_medium=z"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r.page_id for r in uf.judge(pages, listed, []).filter("verdict = 'block'").collect()} == {1, 3, 5}
+
+
+def test_long_urls_popular_urls_and_clashing_columns(spark, monkeypatch):
+    import time
+
+    long = ["http://h.example/" + "/" * 1_000_000 + "x", "http://h.example/p?" + "&" * 1_000_000, "http" + "://" * 300_000, "http://h.example/" + "a" * 1_000_000 + "/"]
+    rows = list(enumerate(long)) + [(9, "http://m.popular.example/p.html")] * 500 + [(10, None)] * 500
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'h' AS host", "'v' AS verdict", "1 AS _salt", "2 AS _key")
+    listed = spark.createDataFrame([("http://popular.example/p",), (long[3],)], "url string")
+    for limit in (1 << 17, 0):
+        monkeypatch.setattr(uf, "BROADCAST_BLOCKS", limit)
+        start = time.perf_counter()
+        out = uf.judge(pages, listed, [], keep=("page_id", "host", "verdict", "_salt", "_key"))
+        got = out.collect()
+        assert time.perf_counter() - start < 30
+        assert out.columns == ["page_id", "_salt", "_key", "host", "path", "rule", "verdict"] and len(got) == len(rows)
+        assert {r.page_id for r in got if r.verdict == "block"} == {3, 9} and sum(r.verdict == "block" for r in got) == 501
+
+
+def test_pages_are_read_once(spark, sf):
+    plan = op4_url_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("pages.parquet") == 1
