@@ -5,6 +5,9 @@ the stored samples come: polyphase resampling to ``RATE * UP / DOWN``, overlappe
 and segments of energy with hysteresis (a segment opens at ``OPEN_DB`` and closes below ``CLOSE_DB``).
 Features are cut to clips of ``CLIP`` frames and kept as Arrow fixed-shape tensors with time spans.
 Long payloads are computed in blocks of frames, whose results don't depend on the block.
+
+Null texts are empty; repeated rows give repeated results; an empty table gives none; a kept column
+named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
 
-from pathloom.llm.common import arrow_schema
+from pathloom.llm.common import arrow_schema, kept
 
 RATE, UP, DOWN = 16_000, 1, 2
 FRAME, HOP, N_FFT, MELS = 200, 80, 256, 32
@@ -164,6 +167,7 @@ def media_digest(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     """
     kinds = {f.name: f.dataType for f in docs.schema}
     added = {"n_bytes": LongType(), "payload_bytes": LongType(), "payload_sha256": StringType(), "tail_crc32": LongType(), "media_bytes": LongType(), "media_sha256": StringType(), "feature": StringType()}
+    keep = kept(keep, list(added))
     schema = StructType([StructField(c, kinds[c]) for c in keep] + [StructField(c, t) for c, t in added.items()])
     arrow, n = arrow_schema(schema), len(keep)
 
@@ -186,6 +190,7 @@ def audio_clips(media: DataFrame, media_col: str = "media", keep: tuple[str, ...
 
     Null media: no rows.  tensors() turns the tensor column of a collected batch into an Arrow fixed-shape tensor array.
     """
+    keep = kept(keep, ["clip", "start_s", "end_s", "active", "tensor"])
     kinds = {f.name: f.dataType for f in media.schema}
     schema = StructType([StructField(c, kinds[c]) for c in keep]).add("clip", "long").add("start_s", "double").add("end_s", "double").add("active", "double").add("tensor", ArrayType(FloatType()))
     arrow, n = arrow_schema(schema), len(keep)

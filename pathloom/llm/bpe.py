@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from pathloom.llm.common import arrow_schema
+from pathloom.llm.common import arrow_schema, kept
 
 LONG = 50_000
 GIANT = 2_000
@@ -103,9 +103,11 @@ def _bpe(ranks: bytes, pattern: str) -> Bpe:
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
     """The columns in keep, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 (of the bytes decoded from the ids) and, with_ids, token_ids.
 
-    Null text: no ids.  Repeated rows give repeated results.
+    Null text: no ids.  Repeated rows give repeated results; an empty table gives none; a kept column
+    named like a result gives way to it.
     """
     ranks = open(rank_file, "rb").read()
+    keep = kept(keep, ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids])
     kinds = {f.name: f.dataType for f in docs.schema}
     schema = StructType([StructField(c, kinds[c]) for c in keep] + [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())] + [StructField("token_ids", ArrayType(IntegerType()))] * with_ids)
     arrow, n_keep = arrow_schema(schema), len(keep)

@@ -13,7 +13,7 @@ Head, script, style and other elements that show no text are dropped while readi
 white space becomes one space; blocks are joined by a line feed.
 
 Null pages are empty, with an empty text; repeated rows give repeated results; an empty table gives
-none.  Other columns don't matter, whatever their names; a page of any length is read in linear time.
+none.  A kept column named like a result gives way to it; a page of any length is read in linear time.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from pathloom.llm.common import arrow_schema
+from pathloom.llm.common import arrow_schema, kept
 
 #: A whole tag; quotes count only after an equals sign.  Nothing in it backtracks.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>""")
@@ -432,6 +432,7 @@ def texts(pages: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[str]:
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", model: tuple | None = None) -> DataFrame:
     """The columns in keep, text (empty if there is none) and n_chars of every row of pages."""
+    keep = kept(keep, ["text", "n_chars"])
     model = model or default_model()
     kinds = {f.name: f.dataType for f in pages.schema}
     schema = StructType([StructField(c, kinds[c]) for c in keep] + [StructField("text", StringType()), StructField("n_chars", LongType())])

@@ -8,7 +8,7 @@ values can't look random: few characters have few bits whatever their source.  F
 only if they are owner-specific.
 
 Null texts are empty; a null repository or owner counts as one unknown one.  Repeated rows give
-repeated results and add no owner.  Positions are code points, ends are exclusive.
+repeated results and add no owner; an empty table gives no rows.  Positions are code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
-from pathloom.llm.common import arrow_schema, by_text, written
+from pathloom.llm.common import arrow_schema, by_text, join_counted, kept, packed, written
 
 #: Owners from which a value is a widely copied example.
 WIDE = 3
@@ -107,20 +107,25 @@ def scan(docs: DataFrame, keep: tuple[str, ...], repo: Column, owner: Column, te
 
 
 def labelled(scanned: DataFrame) -> DataFrame:
-    """For each text with candidates (_t, _u): _spans, the base and owner-specific ones with their numbers of repositories and owners and whether they look live."""
+    """For each text with candidates (_t, _u): _spans, the base and owner-specific ones with their numbers of repositories and owners and whether they look live.
+
+    Values that very many texts hold are few, and meet their counts by broadcast, so no task gathers one.
+    """
     one = scanned.filter(F.size("_found") > 0).select("_t", "_u", "_repo", "_owner", F.explode("_found").alias("c"))
+    spans = written(one.select("_t", "_u", "c", F.col("c.hash").alias("hash")).distinct())
     owners = one.select(F.col("c.hash").alias("hash"), "_repo", "_owner").distinct().groupBy("hash").agg(F.countDistinct("_repo").alias("repos"), F.countDistinct("_owner").alias("owners"))
-    spans = one.select("_t", "_u", "c", F.col("c.hash").alias("hash")).distinct().join(owners, "hash")
+    owners = written(owners.join(spans.groupBy("hash").agg(F.count("*").alias("n")), "hash"))
     live = (F.col("owners") < WIDE) & F.col("c.random")
-    spans = spans.withColumn("live", live).filter((F.col("c.kind") < 3) | F.col("live"))
+    spans = join_counted(spans, owners, "hash").withColumn("live", live).filter((F.col("c.kind") < 3) | F.col("live"))
     return spans.groupBy("_t", "_u").agg(F.array_sort(F.collect_list(F.struct(F.col("c.start").alias("start"), F.col("c.kind").alias("kind"), F.col("c.end").alias("end"), F.col("c.value_start").alias("value_start"), F.col("c.value_end").alias("value_end"), "repos", "owners", "live"))).alias("_spans"))
 
 
 def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), repo: Column | None = None, owner: Column | None = None, text_col: str = "text") -> DataFrame:
     """The columns in keep, n_assign, n_access, n_hex, base_sha256, spans (all, as kind:start:end) and n_live, n_example of every row.
 
-    repo and owner default to the column source.
+    repo and owner default to the column source.  A kept column named like a result gives way to it.
     """
+    keep = kept(keep, ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example"])
     repo, owner = F.col("source") if repo is None else repo, F.col("source") if owner is None else owner
     scanned = written(scan(docs, keep, repo, owner, text_col))
     kinds = F.array(*map(F.lit, KINDS))
@@ -141,7 +146,7 @@ def redact(docs: DataFrame, repo: Column | None = None, owner: Column | None = N
     scanned = scan(docs, (), repo, owner, text_col).filter(F.size("_found") > 0)
     live = labelled(written(scanned)).select("_t", "_u", F.filter("_spans", lambda s: s["live"]).alias("_spans")).filter(F.size("_spans") > 0)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(text).alias("_t"), F.hash(text).alias("_u")).join(live, ["_t", "_u"], "left")
+    rows = docs.select(packed(docs).alias("_row"), F.xxhash64(text).alias("_t"), F.hash(text).alias("_u")).join(live, ["_t", "_u"], "left")
 
     from pyspark.sql.functions import pandas_udf
 
@@ -159,6 +164,6 @@ def redact(docs: DataFrame, repo: Column | None = None, owner: Column | None = N
 
         return pd.Series(out, dtype=object)
 
-    clean = packed.filter("_spans IS NULL").select("_row.*")
-    found = packed.filter("_spans IS NOT NULL").select("_row.*", "_spans")
-    return clean.unionByName(found.withColumn(text_col, cut(F.col(text_col), F.col("_spans"))).drop("_spans").select(*docs.columns))
+    clean = rows.filter("_spans IS NULL").select("_row")
+    found = rows.filter("_spans IS NOT NULL").select(F.col("_row").withField(f"`{text_col}`", cut(F.col("_row").getField(text_col), F.col("_spans"))).alias("_row"))
+    return clean.unionByName(found).select("_row.*")

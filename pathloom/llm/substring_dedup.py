@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import wordhash as wh
 from pathloom.llm.automaton import SuffixAutomaton
-from pathloom.llm.common import arrow_schema, by_text, partitions, written
+from pathloom.llm.common import arrow_schema, by_text, kept, partitions, written
 
 #: Words of an anchor.
 ANCHOR = 8
@@ -267,8 +267,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, text_col: str = "text", k
 
     Every word covered by a window of ``window`` words whose word sequence also starts elsewhere in
     the corpus is removed; windows are judged on the input.  Kept words are joined by one space.
-    Nulls: a null text is empty (0 words).  Columns named like internal ones (_text, _t, _u) may be in docs.
+    Nulls: a null text is empty (0 words).  Columns named like internal ones (_text, _t, _u) may be in docs;
+    a kept column named like a result gives way to it.  An empty table gives no rows.
     """
+    keep = kept(keep, ["n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
     texts, found = spans(docs, window, text_col)
     marks = found.groupBy("_t", "_u").agg(F.collect_set(F.struct("anchor", "content", "windows")).alias("marks"))
     keyed = by_text(docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_source")), *[f"_k{i}" for i in range(len(keep))], text_col="_source")

@@ -23,7 +23,19 @@ _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _SEP_PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection that spreads every bit, in place."""
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+#: An odd number for each byte.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -43,15 +55,6 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection that spreads every bit, in place."""
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        h ^= h >> np.uint64(shift)
-        h *= np.uint64(factor)
-    h ^= h >> np.uint64(33)
-    return h
-
-
 def strings(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows (one more than rows)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -69,3 +69,23 @@ def test_query(spark, sf):
     assert len(rows) == len(texts)
     for r in rows:
         check(r, texts[r.doc_id])
+
+
+def test_clashing_columns_and_frequent_values(spark, make, monkeypatch):
+    """Columns named like internal ones and results; a value that most texts hold, taken for a frequent one."""
+    from pathloom.llm import common
+
+    rows = [(i, f"text {i} password=shared-Value-{7} and more", f"s{i % 5}") for i in range(30)] + [(50, "token: own0Value9x1", "s9"), (51, None), (51, None)]
+    docs = make(rows).selectExpr("*", "1 AS _spans", "2 AS _row", "3 AS spans", "4 AS hash", "5 AS n")
+    plain = {r.doc_id: r.spans for r in sc.find_secrets(docs, keep=("doc_id", "spans")).collect()}
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    out = sc.find_secrets(docs, keep=("doc_id", "spans", "_spans", "hash"))
+    assert out.columns == ["doc_id", "_spans", "hash", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example"]
+    got = out.collect()
+    assert {r.doc_id: r.spans for r in got} == plain and len(got) == 33
+    assert {r.n_example for r in got if r.doc_id < 30} == {1} and [r.n_live for r in got if r.doc_id == 50] == [1]
+    clean = sc.redact(docs)
+    assert clean.columns == docs.columns
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts[50] == "token: [SECRET]" and texts[0] == rows[0][1] and texts[51] is None and clean.count() == 33
+    assert {(r._spans, r._row, r.spans, r.hash) for r in clean.collect()} == {(1, 2, 3, 4)}
