@@ -46,3 +46,25 @@ def test_stages_keep_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).schema.simpleString() == docs.schema.simpleString()
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_nulls_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """Every stage on odd rows, with columns named like results and internal ones."""
+    sf = "/root/testdata/sf0.001"
+    labels, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
+    item = benchmark.first().text
+    secret = "my password: Zx8Qw7Er6Ty5 is here with some more words"
+    rows = [(1, None, "en", "a", None), (1, None, "en", "a", None), (2, "", None, None, 0), (None, "five words of some text here", "en", "b", 28), (3, "five words of some text here", "en", "b", 28), (3, "five words of some text here", "en", "b", 28), (4, "x " + item + " y", "en", "c", 9), (5, secret, "de", "d", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "0.9D AS p_toxic", "1 AS _spans", "2 AS _row", "3 AS label", "4 AS _v", "5 AS score", "6 AS token_ids", "7 AS _t")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    model = bpe.Bpe(open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), tokenizers.PATTERN)
+    assert sorted((r.doc_id or 0, model.decode(r.token_ids).decode()) for r in got) == [(1, ""), (1, ""), (2, ""), (3, rows[3][1]), (5, secret.replace("Zx8Qw7Er6Ty5", "[SECRET]"))]
+    empty = tmp_path / "empty"
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        table.limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
