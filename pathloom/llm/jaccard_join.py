@@ -48,6 +48,8 @@ VERIFY = 8.0
 #: Estimated texts from which a prefix shingle is dealt to several tasks.
 SALT = 20_000
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Bits of the filter of the texts that may be similar to others, at most, and for each of them.
+FILTER_BITS, BITS_A_TEXT = 1 << 27, 16
 #: Bits of a vertex's number (tests lower them, so that sets collide).
 VERTEX_BITS = 64
 #: Vertices that a task remembers so as not to send copies; connected ones that it keeps before it sends them.
@@ -403,8 +405,49 @@ def _join(ranks):
     return run
 
 
-def _texts(vertices: Vertices):
-    """Texts to (v, text), once for each vertex new to the task."""
+def _bits(v: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each vertex."""
+    h = wh.mix(v.view(np.uint64).copy())
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def member_filter(members: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of the vertices in column v, of FILTER_BITS bits at most; None where that is too few to hold many back.
+
+    It only spares texts without a candidate the way to the join by v, which decides.
+    """
+    bits = 1 << max(16, (BITS_A_TEXT * members.count()).bit_length())
+    if bits > 4 * FILTER_BITS:
+        return None
+    bits = min(bits, FILTER_BITS)
+    arrow = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
+
+    def build(batches):
+        seen = np.zeros(bits, bool)
+        for b in batches:
+            for at in _bits(b.column(0).to_numpy(), bits):
+                seen[at] = True
+        for k, part in enumerate(np.split(seen, SLICES)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())], schema=arrow)
+
+    def either(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(part), np.uint8)
+                sums[k] = sums[k] | part if k in sums else part
+        for k, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=arrow)
+
+    out, schema = np.zeros(bits // 8, np.uint8), "slice int, bits binary"
+    for r in members.select("v").mapInArrow(build, schema).repartition(min(SLICES, partitions(members.sparkSession)), "slice").mapInArrow(either, schema).collect():
+        size = len(out) // SLICES
+        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
+def _texts(vertices: Vertices, filter_):
+    """Texts to (v, text), once for each vertex new to the task that the filter (a broadcast of one or of None) lets through."""
     arrow = pa.schema([("v", pa.int64()), ("text", pa.string())])
 
     def run(batches):
@@ -419,7 +462,14 @@ def _texts(vertices: Vertices):
                             seen.add(v)
                         rows.append(low + r)
                         numbers.append(v)
-                if rows:
+                if not rows:
+                    continue
+                rows, numbers = np.array(rows), np.array(numbers, np.int64)
+                if filter_.value is not None:
+                    held = [filter_.value[at >> 3] >> (7 - (at & 7)) & 1 for at in _bits(numbers, 8 * len(filter_.value))]
+                    through = (held[0] & held[1]).astype(bool)
+                    rows, numbers = rows[through], numbers[through]
+                if len(rows):
                     yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), b.column(0).take(pa.array(rows)).cast(pa.string())], schema=arrow)
 
     return run
@@ -533,7 +583,8 @@ def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
     places = written(placed.groupBy("place").agg(F.count("*").alias("n"), pieces))
     number = F.pmod(F.xxhash64("v"), F.col("pieces"))
     blocks = join_counted(placed, places, "place").select("v", "copies", "buckets", F.when(F.col("buckets") == 1, F.col("place.family")).otherwise(F.xxhash64("place", number)).alias("block"))
-    homes = written(docs.select("_text").mapInArrow(_texts(vertices), "v long, text string").join(blocks, "v"))
+    through = spark.sparkContext.broadcast(member_filter(members))
+    homes = written(docs.select("_text").mapInArrow(_texts(vertices, through), "v long, text string").join(blocks, "v"))
     discard(members, placed, places)
     own = F.col("block").alias("own")
     laid = homes.filter("buckets = 1").select(F.col("block").alias("p"), F.col("block").alias("q"), "v", own, "copies", "text")

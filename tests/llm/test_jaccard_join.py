@@ -199,3 +199,12 @@ def test_kept_columns_give_way_to_results(make):
     out = jj.jaccard_components(docs, keep=("doc_id", "component_id", "label", "n", "family"))
     assert out.columns == ["doc_id", "label", "n", "family", "n_shingles", "component_id"] and out.count() == docs.count()
     assert jj.keep_one(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_the_filter_of_texts_only_spares_work(make, monkeypatch, bits):
+    """Too small to be used, and small enough to let other texts through."""
+    monkeypatch.setattr(jj, "FILTER_BITS", bits)
+    rows = corpus(12)
+    got = jj.jaccard_components(make(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
