@@ -590,7 +590,8 @@ def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
     laid = homes.filter("buckets = 1").select(F.col("block").alias("p"), F.col("block").alias("q"), "v", own, "copies", "text")
     if not families.filter("pieces > 1").isEmpty():
         large = homes.filter("buckets > 1")
-        found = visits(large.select("block", "v", "text").mapInArrow(_block_postings(ranks, SALT), "key long, part long, block long, n long, small boolean, v long"))
+        # written, so that its size is known when it meets the texts, which are much larger
+        found = written(visits(large.select("block", "v", "text").mapInArrow(_block_postings(ranks, SALT), "key long, part long, block long, n long, small boolean, v long")))
         laid = laid.unionByName(found.join(large, "v").select("p", "q", "v", own, "copies", "text"))
     return written(laid.repartition(n, "p", "q").sortWithinPartitions("p", "q").mapInArrow(_join(ranks), "a long, b long, n long"))
 
