@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import threading
 import uuid
+import warnings
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from pathloom.operators.interpreter import Options, evaluate_json
 from pathloom.plans.compiler import Items, Settings, array, compile_items
-from pathloom.plans.errors import ExpressionTimeoutError, NotCompilable, PathError
+from pathloom.plans.errors import ExpressionTimeoutError, NotCompilable, PathError, PathTypeError
 from pathloom.plans.syntax import Node, parse
 from pathloom.plans.types import Model
 from pathloom.plans.values import show
@@ -88,12 +89,21 @@ def constant(value: Any) -> Items:
     return Items(kind, F.lit(value).cast(data), data)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class ExpressionCache:
     """Compiled paths, least recently used out first, with hits and misses."""
 
     def __init__(self, limit: int = 1000) -> None:
         self.limit, self.hits, self.misses = limit, 0, 0
         self.kept: OrderedDict[tuple, CompiledPath] = OrderedDict()
+        self.makers: dict[tuple, Callable] = {}  # they hold the models, whose ids are in the keys
 
     def get(self, key: tuple, make: Callable[[], CompiledPath]) -> CompiledPath:
         if key in self.kept:
@@ -102,8 +112,9 @@ class ExpressionCache:
             return self.kept[key]
         self.misses += 1
         made = self.kept[key] = make()
+        self.makers[key] = make
         while len(self.kept) > self.limit:
-            self.kept.popitem(last=False)
+            self.makers.pop(self.kept.popitem(last=False)[0], None)
         return made
 
     def hit_rate(self) -> float:
@@ -111,6 +122,7 @@ class ExpressionCache:
 
     def clear(self) -> None:
         self.kept.clear()
+        self.makers.clear()
         self.hits = self.misses = 0
 
 
@@ -186,8 +198,9 @@ def interpret(df: DataFrame, expression: str, col: str = "resource", to: str = "
                 errors.append(f"{e.kind}: {e}")
         return pd.DataFrame({"result": results, "error": pd.Series(errors, dtype=object)})
 
-    out = df.withColumn("_path", run(F.col(col))).withColumn(to, F.col("_path.result"))
-    return (out.withColumn(errors_to, F.col("_path.error")) if errors_to else out).drop("_path")
+    path = fresh(df, "path")
+    out = df.withColumn(path, run(F.col(col))).withColumn(to, F.col(f"{path}.result"))
+    return (out.withColumn(errors_to, F.col(f"{path}.error")) if errors_to else out).drop(path)
 
 
 def evaluate(df: DataFrame, expression: str, col: str | None = "resource", to: str = "result", *, schema: T.StructType | str | None = None, options: Options | None = None, **compile_options) -> DataFrame:
@@ -195,22 +208,32 @@ def evaluate(df: DataFrame, expression: str, col: str | None = "resource", to: s
 
     col names the column of documents (None: the rows).  A struct compiles to a column.  JSON text is
     parsed by schema, if one is given, and compiles too; without schema it goes through the row
-    interpreter, as does a struct for which the expression has no column form.
+    interpreter, with a warning, as does a struct for which the expression has no column form, or text
+    that only its value shows to be a date.
     """
     if col is not None and isinstance(df.schema[col].dataType, T.StringType):
         if schema is None:
             return interpret(df, expression, col, to, options)
-        parsed = df.withColumn("_parsed", F.from_json(col, schema))
+        name = fresh(df, "parsed")
+        parsed = df.withColumn(name, F.from_json(col, schema))
         try:
-            return compile_path(expression, parsed.schema["_parsed"].dataType, "_parsed", **compile_options).apply(parsed, to).drop("_parsed")
-        except NotCompilable:
+            return compile_path(expression, parsed.schema[name].dataType, name, **compile_options).apply(parsed, to).drop(name)
+        except (NotCompilable, PathTypeError) as e:
+            _by_rows(expression, e)
             return interpret(df, expression, col, to, options)
     schema = df.schema if col is None else df.schema[col].dataType
     try:
         return compile_path(expression, schema, col, **compile_options).apply(df, to)
-    except NotCompilable:
+    except (NotCompilable, PathTypeError) as e:
+        _by_rows(expression, e)
+        name = fresh(df, "document")
         document = F.struct(*[F.col(f"`{f}`") for f in schema.fieldNames()]) if col is None else F.col(col)
-        return interpret(df.withColumn("_document", F.to_json(document)), expression, "_document", to, options).drop("_document")
+        return interpret(df.withColumn(name, F.to_json(document)), expression, name, to, options).drop(name)
+
+
+def _by_rows(expression: str, why: Exception) -> None:
+    """Tell that an expression goes through the row interpreter, whose result is an array of strings."""
+    warnings.warn(f"{expression}: {why}; the row interpreter evaluates it and gives an array of strings", stacklevel=3)
 
 
 def evaluate_many(df: DataFrame, expressions: dict[str, str], col: str | None = "resource", **compile_options) -> DataFrame:

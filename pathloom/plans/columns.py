@@ -313,7 +313,7 @@ def _substring(k, x, start, length=None):
         part = F.substring(s, a + 1, n)
     else:
         raw = F.encode(s, "utf-8")
-        part = F.when(size == F.char_length(s), F.substring(s, a + 1, n)).otherwise(F.decode(F.substring(raw, a + 1, n), "utf-8"))
+        part = F.when(size == F.char_length(s), F.substring(s, a + 1, n)).otherwise(F.make_valid_utf8(F.substring(raw, a + 1, n).cast("string")))
     return k.string(F.when((a >= 0) & (a < size) & (n >= 0), part))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import references
-from pathloom.operators.api import compile_path, from_rows, traced, within
+from pathloom.operators.api import compile_path, evaluate, from_rows, interpret, traced, within
 from pathloom.plans.errors import ExpressionTimeoutError
 from pathloom.sources import readers
 from pathloom.streaming import streams
@@ -83,3 +83,38 @@ def test_timeout(spark):
     with pytest.raises(ExpressionTimeoutError):
         within(spark, 1.0, lambda: spark.range(4).select(slow(F.col("id").cast("int"))).collect())
     assert within(spark, 30, lambda: spark.range(4).count()) == 4
+
+
+def test_member_of_codings_and_their_systems(spark):
+    coding = "struct<system:string,code:string>"
+    rows = [(1, ("s", "a"), ([("t", "x"), ("s", "a")],)), (2, ("t", "a"), ([("t", "a")],)), (3, (None, "a"), ([],)), (4, None, None), (5, ("s", "b"), ([("s", "b")],))]
+    df = spark.createDataFrame(rows, f"id int, one {coding}, concept struct<coding:array<{coding}>>").withColumn("codings", F.lit("kept"))
+    sets = spark.createDataFrame([("u", "s", "a"), ("u", "s2", "a"), ("v", "t", "a")], "url string, system string, code string")
+    found = lambda e: [r.member for r in references.member_of(df, e, sets, "u").orderBy("id").collect()]
+    assert found("one") == [True, False, True, None, False]
+    assert found("concept") == [True, False, None, None, False]
+    assert references.member_of(df, "one", sets, "u").columns == [*df.columns, "member"]
+
+
+def test_columns_named_like_helpers_stay(spark):
+    df = spark.createDataFrame([("Patient/1", ["Patient/1", "Patient/2"], "k", "v", '{"a": 1}')], "one string, many array<string>, key string, value string, path string").withColumn("_key", F.lit(1))
+    df = df.withColumns({"one": F.struct(F.col("one").alias("reference")), "many": F.transform("many", lambda x: F.struct(x.alias("reference")))})
+    resources = spark.createDataFrame([("Patient/1", "p1"), ("Patient/2", "p2")], "key string, resource string")
+    for e, want in (("one", "p1"), ("many", ["p1", "p2"])):
+        out = references.resolve(df, e, resources)
+        row = out.first()
+        assert out.columns == [*df.columns, "resolved"] and (row.key, row.value, row._key, row.resolved) == ("k", "v", 1, want)
+    assert interpret(df, "a + 1", col="path").columns == [*df.columns, "result"]
+
+
+def test_bytes_cut_inside_a_character(spark):
+    df = spark.createDataFrame([("é",), ("a€b",), ("plain",)], "s string")
+    assert [r[0] for r in df.select(compile_path("s.substring(0, 1)", df.schema).column()).collect()] == ["\ufffd", "a", "p"]
+    assert df.select(compile_path("s.substring(1, 3)", df.schema).column()).collect()[1][0] == "€"
+
+
+def test_text_that_is_a_date(spark):
+    df = spark.createDataFrame([("1990-01-15",), (None,)], "birthDate string")
+    with pytest.warns(UserWarning, match="row interpreter"):
+        out = evaluate(df, "birthDate + 1 month", col=None)
+    assert [r.result for r in out.collect()] == [["1990-02-15"], []]
