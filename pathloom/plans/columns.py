@@ -645,7 +645,7 @@ def _extension_value(k, x, url):
     if not fields:
         return EMPTY
     if len(kinds) > 1:
-        raise NotCompilable("extension values of several types")
+        raise k.several(found, "value", {f: f.removeprefix("value") for f in fields})
     values = F.filter(F.transform(found.c, lambda e: F.coalesce(*[e.getField(f) for f in fields])), lambda v: v.isNotNull())
     return of(T.ArrayType(found.data[fields[0]].dataType, False), values)
 

@@ -28,8 +28,13 @@ from pathloom.plans.types import CHOICE_SUFFIXES, EXTENSION_VALUES, STABLE, TEMP
 from pathloom.plans.values import FIELDS
 
 LONG, DECIMAL, STRING = T.LongType(), T.DecimalType(38, 18), T.StringType()
+#: The date of a text and the time after it.
+TEXT_DATE = r"^(\d{4}(?:-\d{2}(?:-\d{2})?)?)((?<=-\d{2}-\d{2})T\d{2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
 QUANTITY = T.StructType([T.StructField("value", DECIMAL), T.StructField("unit", STRING)])
 KINDS = {T.BooleanType: "Boolean", T.StringType: "String", T.DateType: "Date", T.TimestampType: "DateTime", T.TimestampNTZType: "DateTime"}
+#: Functions and operators of one item each, besides the conversions.
+SINGLE = frozenset("upper lower length trim startsWith endsWith contains indexOf substring matches replace replaceMatches split toChars abs ceiling floor truncate round sqrt exp ln log power hasValue getValue".split())
+SINGLE_OPERATORS = frozenset("= != ~ !~ < <= > >= + - * / div mod &".split())
 #: Functions that look at whole objects, so that arrays of structs keep all fields.
 WHOLE = frozenset("children descendants distinct isDistinct intersect exclude union combine subsetOf supersetOf toString resolve conformsTo first single last".split())
 
@@ -86,11 +91,18 @@ class Settings:
 
 
 class SeveralTypes(NotCompilable):
-    """A choice element whose fields have different types; a type test can still pick one."""
+    """A choice element whose fields have different types, of which a document has one.
 
-    def __init__(self, name: str, choices: list[Items]) -> None:
+    A type test picks one; what takes a single item is compiled for each of them.  Where there may be
+    several elements, pick gives the choices of the first, the last or the only one.
+    """
+
+    def __init__(self, name: str, choices: list[Items], pick: Callable[[str], list[Items]] | None = None) -> None:
         super().__init__(f"{name} is of several types")
-        self.choices = choices
+        self.name, self.choices, self.pick = name, choices, pick
+
+    def single(self, which: str = "only") -> list[Items]:
+        return self.pick(which) if self.pick else self.choices
 
 
 def of(data: T.DataType, c: Column, name: str = "", nulls: bool = True) -> Items:
@@ -274,7 +286,57 @@ class Compiler:
             return found[0]
         if not x.many and len({(f.kind, str(f.data), f.many) for f in found}) == 1 and not found[0].many:
             return replace(found[0], c=F.coalesce(*[f.c for f in found]))
-        raise SeveralTypes(name, found)
+        raise self.several(x, name, {f.name: k for f, k in self.choice_fields(x, name, choices)})
+
+    @staticmethod
+    def choice_fields(x: Items, name: str, choices: list[str]) -> list[tuple[T.StructField, str]]:
+        return [(x.data[name + c], c) for c in choices if name + c in x.data.fieldNames()]
+
+    def several(self, x: Items, name: str, fields: dict[str, str]) -> SeveralTypes:
+        """x's fields (with their document types) as the choices of one element."""
+
+        def found(y: Items) -> list[Items]:
+            return [self.field(y, f, kind) for f, kind in fields.items()]
+
+        if not x.many:
+            return SeveralTypes(name, found(x))
+
+        def pick(which: str) -> list[Items]:
+            some = F.filter(x.c, lambda e: F.coalesce(*[F.when(e.getField(f).isNotNull(), F.lit(True)) for f in fields], F.lit(False)))
+            if which == "only":
+                return found(self.one(replace(x, c=some)))
+            return found(replace(x, c=F.try_element_at(some, F.lit(1 if which == "first" else -1)), many=False))
+
+        return SeveralTypes(name, found(x), pick)
+
+    def for_each_choice(self, name: str, choices: list[Items], run: Callable[[Items], Items]) -> Items:
+        """What run gives for the choice that a document has, if its results are of one type; a choice that run doesn't take fails."""
+        if any(x.many for x in choices):
+            raise SeveralTypes(name, choices)
+        results: list[tuple[Column, Items | None]] = []
+        for x in choices:
+            try:
+                results.append((self.has(x), run(x)))
+            except PathTypeError:
+                results.append((self.has(x), None))
+        known = [r for _, r in results if r is not None and r.kind != "Empty"]
+        if not known:
+            if any(r is not None for _, r in results):
+                return EMPTY
+            raise PathTypeError(f"no type of {name} is taken here")
+        if len({(r.kind, str(r.data), r.many) for r in known}) > 1:
+            if any(r.many for r in known):
+                raise SeveralTypes(name, known)
+            raise SeveralTypes(name, [replace(r, c=F.when(has, r.c)) for has, r in results if r is not None and r.kind != "Empty"])
+        # a document without any choice has what an empty one of a taken type gives
+        shape = known[0]
+        none = F.array().cast(T.ArrayType(shape.data)) if shape.many else F.lit(None).cast(shape.data)
+        c = None
+        for has, r in results:
+            value = none if r is not None and r.kind == "Empty" else r.c if r is not None else none if shape.many else self.fail("a type that isn't taken here", shape.data)
+            c = F.when(has, value) if c is None else c.when(has, value)
+        names_ = {r.name for r in known}
+        return replace(shape, c=c.otherwise(shape.c), name=shape.name if len(names_) == 1 else "")
 
     def field(self, x: Items, name: str, document_type: str) -> Items:
         data = x.data[name].dataType
@@ -306,7 +368,21 @@ class Compiler:
                 for x in e.choices:
                     some = some | self.has(x)
                 return self.boolean(some if step.value == "exists" else ~some)
-            raise
+            if step.kind == "call" and step.value in ("first", "last") and not step.parts:
+                raise SeveralTypes(e.name, e.single(step.value)) from None
+            if step.kind == "call" and step.value == "count" and e.pick:
+                total = F.lit(0)
+                for x in e.choices:
+                    total = total + F.size(x.c)
+                return self.integer(total)
+            if step.kind == "member" and e.pick:
+                found = [f for f in (self.run(step, replace(scope, this=x)) for x in e.choices) if f.kind != "Empty"]
+                if len(found) > 1:
+                    raise
+                return found[0] if found else EMPTY
+            if e.pick and not (step.kind == "call" and (step.value in SINGLE or step.value.startswith(("to", "convertsTo")))):
+                raise
+            return self.for_each_choice(e.name, e.single(), lambda x: self.run(step, replace(scope, this=x)))
         if step.kind == "call" and step.value in ("where", "select", "exists", "all", "aggregate") and node.parts[0].kind in ("member", "path"):
             base = self.prune(base)
         return self.run(step, replace(scope, this=base))
@@ -376,8 +452,18 @@ class Compiler:
         return replace(x, c=F.filter(x.c, test)) if x.many else replace(x, c=F.when(test(x.c), x.c))
 
     def _binary(self, node: Node, scope: Scope) -> Items:
-        op = node.value
-        a, b = (self.run(p, scope) for p in node.parts)
+        op, sides = node.value, []
+        for k, p in enumerate(node.parts):
+            try:
+                sides.append(self.run(p, scope))
+            except SeveralTypes as e:
+                if op not in SINGLE_OPERATORS:
+                    raise
+                other = node.parts[1 - k]
+                return self.for_each_choice(e.name, e.single(), lambda x, k=k, other=other: self.operate(op, *((x, self.run(other, scope)) if k == 0 else (self.run(other, scope), x))))
+        return self.operate(op, *sides)
+
+    def operate(self, op: str, a: Items, b: Items) -> Items:
         if op in ("and", "or", "xor", "implies"):
             x, y = self.truth(a), self.truth(b)
             if op == "and":
@@ -555,8 +641,9 @@ class Compiler:
         if op == "+" and a.kind == b.kind == "String":
             return self.string(F.concat(a.c, b.c))
         if op in ("+", "-") and b.kind == "Quantity":
-            if a.kind in ("Date", "DateTime") and self.unit_of(b) is not None:
-                return self.shifted(a, F.try_element_at(F.array(b.c.getField("value").cast("bigint")), F.lit(1)) * (1 if op == "+" else -1), self.unit_of(b))
+            unit = self.unit_of(b)
+            if unit is not None and (a.kind in ("Date", "DateTime") or (a.kind == "String" and unit.removesuffix("s") in (*FIELDS, "week"))):
+                return self.shifted(a, F.try_element_at(F.array(b.c.getField("value").cast("bigint")), F.lit(1)) * (1 if op == "+" else -1), unit)
             if a.kind == "Quantity":
                 u, v = (F.coalesce(x.c.getField("unit"), F.lit("")) for x in (a, b))
                 x, y = a.c.getField("value"), b.c.getField("value")
@@ -598,7 +685,7 @@ class Compiler:
         """A Date or DateTime n calendar units later; days that a month lacks run over into the next one."""
         unit = "millisecond" if unit == "ms" else unit.removesuffix("s")
         if isinstance(a.data, T.StringType):
-            raise NotCompilable("arithmetic on dates as text")
+            return self.shifted_text(a, n, unit)
         day = a.c.cast("date")
         if unit in ("month", "year"):
             first = F.add_months(F.trunc(day, "month"), (n * (12 if unit == "year" else 1)).cast("int"))
@@ -614,6 +701,23 @@ class Compiler:
         rest = F.unix_micros(a.c.cast("timestamp")) - F.unix_micros(F.date_trunc("day", a.c.cast("timestamp")))
         return replace(a, c=F.timestamp_micros(F.unix_micros(moved.cast("timestamp")) + rest), data=T.TimestampType())
 
+    def shifted_text(self, a: Items, n: Column, unit: str) -> Items:
+        """A date as text (of a year, a month or a day), or a date and time, n units later, as precise as it was; other text fails."""
+        if unit not in ("year", "month", "week", "day"):
+            if a.kind == "Date":
+                return a
+            raise NotCompilable("times of day as text")
+        date, rest = F.regexp_extract(a.c, TEXT_DATE, 1), F.regexp_extract(a.c, TEXT_DATE, 2)
+        january = F.concat(F.substring(date, 1, 4), F.lit("-01-01")).try_cast("date")
+        month, day = (F.coalesce(F.substring(date, at, 2).try_cast("int"), F.lit(1)) for at in (6, 9))
+        months, days = (n * (12 if unit == "year" else 1), 0) if unit in ("month", "year") else (0, n * (7 if unit == "week" else 1))
+        moved = F.date_add(F.add_months(january, (month - 1 + months).cast("int")), (day - 1 + days).cast("int"))
+        text = F.concat(F.substring(F.date_format(moved, "yyyy-MM-dd"), F.lit(1), F.length(date)), rest)
+        # only months run over into other years
+        able = F.year(moved).between(1, 9999) & (F.lit(unit == "month") | month.between(1, 12))
+        known = F.when(a.c.isNotNull() & (date == ""), self.fail("text that isn't a date", STRING)).when(able, text).otherwise(a.c)
+        return Items("Date" if a.kind == "String" else a.kind, known, STRING)
+
     # sets
 
     def together(self, a: Items, b: Items) -> tuple[Items, Items]:

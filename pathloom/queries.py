@@ -50,7 +50,7 @@ def kept(fields: dict[str, Column], used: set[str] | None) -> list[Column]:
 def order_documents(spark: SparkSession, sf_dir: str, used: set[str] | None = None) -> DataFrame:
     c = F.col
     orders = table(spark, sf_dir, "orders").select(
-        c("o_orderkey").alias("key"), c("o_orderstatus").alias("status"), c("o_totalprice").cast("decimal(15,2)").alias("amount"), c("o_orderdate").cast("date").alias("date"), c("o_orderpriority").alias("priority"), F.struct(F.concat(F.lit("Customer/"), c("o_custkey").cast("string")).alias("reference")).alias("customer")
+        c("o_orderkey").alias("key"), c("o_orderstatus").alias("status"), c("o_totalprice").cast("decimal(15,2)").alias("amount"), c("o_orderdate").cast("date").alias("date"), F.date_format(c("o_orderdate").cast("date"), "yyyy-MM-dd").alias("written"), c("o_orderpriority").alias("priority"), F.struct(F.concat(F.lit("Customer/"), c("o_custkey").cast("string")).alias("reference")).alias("customer")
     )
     lines = {
         "n": c("l_linenumber").cast("bigint"), "partkey": c("l_partkey"), "suppkey": c("l_suppkey"), "quantity": c("l_quantity").cast("bigint"), "price": c("l_extendedprice").cast("decimal(15,2)"), "discount": c("l_discount").cast("decimal(4,2)"),
@@ -157,6 +157,10 @@ PLAN = {
     "fn_datetime": Query("event", {"hour_": ("ts.hour()", "i", "hour(ts)"), "minute_": ("ts.minute()", "i", "minute(ts)"), "second_": ("ts.second()", "i", "second(ts)"), "milli": ("ts.millisecond()", "i", "millisecond(ts) % 1000"), "year_": ("ts.year()", "i", "year(ts)"), "late": ("ts > @2024-01-15T12:00:00.000Z", "b", "ts > TIMESTAMP '2024-01-15 12:00:00'"), "shifted": ("(ts + 36 hours).day()", "i", "day(ts + INTERVAL 36 HOUR)"), "months": ("(ts + 2 months).month()", "i", "month(date_trunc('month', ts) + INTERVAL 2 MONTH + to_days(CAST(day(ts) - 1 AS INTEGER)))"), "day_": ("ts.toDate() = @2024-01-15", "b", "CAST(ts AS DATE) = DATE '2024-01-15'")}),
     "fn_clock": Query("part", {"now_": ("now() > @2020-01-01T00:00:00.000Z", "b", "true"), "today_": ("today() > @2020-01-01", "b", "true"), "time_": ("timeOfDay().exists()", "b", "true"), "noon": ("@T12:30:15.minute()", "i", "30")}),
     "fn_to_temporal": Query("part", {"date_": ("'2024-02-30'.toDate().day()", "i", "30"), "none": ("name.toDate()", "s", "NULL"), "datetime_": ("name.toDateTime()", "s", "name"), "time_": ("name.toTime()", "s", "name")}),
+    "fn_text_dates": Query("order", {"days": ("(written + 10 days).toString()", "s", "strftime(date + 10, '%Y-%m-%d')"), "weeks": ("(written - 2 weeks).toString()", "s", "strftime(date - 14, '%Y-%m-%d')"), "months": ("(written + 1 month).toString()", "s", "strftime(CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE) + CAST(day(date) - 1 AS INTEGER), '%Y-%m-%d')"), "later": ("written + 1 year > @1996-06-30", "b", "CAST(date_trunc('month', date) + INTERVAL 12 MONTH AS DATE) + CAST(day(date) - 1 AS INTEGER) > DATE '1996-06-30'")}),
+    "fn_several_types": Query("customer", {"same": ("value = name", "b", "CASE key % 3 WHEN 0 THEN false WHEN 1 THEN true END"), "other": ("name != value", "b", "CASE key % 3 WHEN 0 THEN true WHEN 1 THEN false END"), "n": ("value.count()", "i", "CASE WHEN key % 3 < 2 THEN 1 ELSE 0 END")}),
+    "fn_as": Query("customer", {"amount": ("value.as(Quantity).value", "d", "CASE WHEN key % 3 = 0 THEN balance END"), "text": ("value.as(String)", "s", "CASE WHEN key % 3 = 1 THEN name END")}),
+    "nav_type_name": Query("order", {"status": ("Order.status", "s", "status"), "n": ("Order.lines.count()", "i", "len(lines)")}),
     "fn_boundaries": Query("order", {"low": ("date.toString().substring(0, 7).toDate().lowBoundary().toString()", "s", "strftime(date_trunc('month', date), '%Y-%m-%d')"), "high": ("date.toString().substring(0, 7).toDate().highBoundary().toString()", "s", "strftime(last_day(date), '%Y-%m-%d')"), "amount_low": ("amount.lowBoundary()", "d", "amount - 0.005"), "amount_high": ("amount.highBoundary()", "d", "amount + 0.005"), "whole": ("key.lowBoundary()", "i", "key")}),
     "fn_quantity": Query("part", {"same": ("size.toQuantity('mg') = 0.011 'g'", "b", "size = 11"), "more": ("size.toQuantity('kg') > 25000 'g'", "b", "size > 25"), "apart": ("size.toQuantity('kg') = 1 'm'", "b", "false"), "like": ("size.toQuantity('MG') ~ 11 'mg'", "b", "size = 11"), "sum_": ("(size.toQuantity('mg') + 5 'mg') = 16 'mg'", "b", "size = 11"), "calendar": ("1 year = 12 months", "b", "false")}),
     "fn_extension": Query("customer", {"value": ("extension('http://example.org/segment').valueString", "s", "segment"), "has": ("hasExtension('http://example.org/nation')", "b", "true"), "has_not": ("hasExtension('http://example.org/none')", "b", "false"), "got": ("getExtensionValue('http://example.org/nation')", "s", "CAST(nationkey AS VARCHAR)")}),

@@ -1,3 +1,4 @@
+import json
 import time
 
 import pytest
@@ -113,8 +114,51 @@ def test_bytes_cut_inside_a_character(spark):
     assert df.select(compile_path("s.substring(1, 3)", df.schema).column()).collect()[1][0] == "€"
 
 
-def test_text_that_is_a_date(spark):
-    df = spark.createDataFrame([("1990-01-15",), (None,)], "birthDate string")
+def both(spark, schema, documents, expression, **options):
+    """What the column and the row interpreter give for each document, as text; a failure is empty."""
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(documents)], "i int, resource string").withColumn("d", F.from_json("resource", schema))
+    path = compile_path(expression, df.schema["d"].dataType, "d", cache=None, **options)
+    column = [r[0] for r in df.orderBy("i").select(path.to_strings()).collect()]
+    return column, [r.result or [] for r in interpret(df, expression).orderBy("i").collect()]
+
+
+@pytest.mark.parametrize("move", ["+ 1 month", "- 13 months", "+ 40 days", "- 2 weeks", "+ 3 years"])
+def test_text_that_is_a_date(spark, move):
+    texts = ["1990-01-15", "2024-01-31", "2023-02", "1999", "2020-02-29T10:30:00Z", "2020-12-31T23:00:00+02:00", "no date", "1990-13-01", "", None]
+    column, rows = both(spark, "birthDate string", [{"birthDate": t} for t in texts], f"birthDate {move}")
+    assert column == rows
+    assert [len(r) for r in rows] == [1] * 6 + [0, 1, 0, 0]  # months run over
+
+
+def test_text_and_times_of_day_go_through_the_row_interpreter(spark):
+    df = spark.createDataFrame([("1990-01-15T10:00:00Z",), (None,)], "at string")
+    with pytest.warns(UserWarning, match="row interpreter"):
+        out = evaluate(df, "at + 2 hours", col=None)
+    assert [r.result for r in out.collect()] == [["1990-01-15T12:00:00Z"], []]
+
+
+MIXED = "extension array<struct<url:string,valueString:string,valueInteger:long,valueBoolean:boolean>>, valueString string, valueInteger long"
+MIXED_DOCUMENTS = [
+    {"extension": [{"url": "a", "valueString": "wet"}, {"url": "b", "valueInteger": 4}], "valueInteger": 4},
+    {"extension": [{"url": "b", "valueBoolean": True}, {"url": "c", "valueInteger": 9}, {"url": "a", "valueInteger": 7}], "valueString": "four"},
+    {"extension": [{"url": "a"}, {"url": "b", "valueString": "4"}, {"url": "a", "valueBoolean": False}]},
+    {"extension": [{"url": "a", "valueString": "x"}, {"url": "a", "valueInteger": 1}], "valueString": "4"},
+    {},
+]
+
+
+@pytest.mark.parametrize(
+    "expression",
+    ["value.toString()", "value = 4", "value = '4'", "value != 4", "value ~ 'FOUR'", "4 = value", "value.exists()", "value + 1 = 5", "value.ofType(Integer)", "value.first().toString()", "value.count()", "value.toInteger()",
+     "extension('a').value.first().toString()", "extension('a').value.last().toString()", "extension('a').value.count()", "extension.value.count()", "extension('b').value = 4", "extension('b').value.toString()", "extension('a').value.exists()",
+     "getExtensionValue('b').toString()", "getExtensionValue('b') = '4'", "getExtensionValue('a').first().toString()", "getExtensionValue('a').count()", "getExtensionValue('b').ofType(Integer)", "extension.where(value = 4).url", "extension.select(value.toString())"],
+)
+def test_values_of_several_types(spark, expression):
+    column, rows = both(spark, MIXED, MIXED_DOCUMENTS, expression)
+    assert column == rows
+
+
+def test_values_of_several_types_without_a_single_one(spark):
+    df = spark.createDataFrame([(json.dumps(d),) for d in MIXED_DOCUMENTS], "resource string").select(F.from_json("resource", MIXED).alias("resource"))
     with pytest.warns(UserWarning, match="row interpreter"):
-        out = evaluate(df, "birthDate + 1 month", col=None)
-    assert [r.result for r in out.collect()] == [["1990-02-15"], []]
+        assert [r.result for r in evaluate(df, "extension.value").collect()][0] == ["wet", "4"]
