@@ -29,6 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pathloom-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[list[str]] = []
 
 
@@ -37,10 +38,22 @@ def _files(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of what is executed inside go when it ends; otherwise they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, computed once and kept as a Parquet table in the shared folder, until discard() or the end of the application."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     files, where = _files(spark, path)
     files.deleteOnExit(where)
     for made in _made:

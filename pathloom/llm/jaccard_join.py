@@ -8,10 +8,12 @@ Each text takes the l (1 to ``MOST``) of least estimated cost: what its prefix's
 to meet, and what must then be verified.  Pairs need as many common prefix shingles as the smaller l
 asks for before their whole sets are compared.
 
-Prefix shingles are dealt by value; texts of similar size with a common one form a family.  A family of
+Prefix shingles are dealt by value.  Where few texts of similar size have one, it is counted for each pair of
+them; pairs with as many as the smaller l asks for (one, if either has a short prefix), and all texts of similar size
+with a shingle that more texts have, form families: a shingle that two long texts share by chance connects nothing.  A family of
 bounded size is joined in one task.  In a larger one texts are dealt to blocks of bounded size, like
-texts to the same ones (by least hash), and a text is sent to a pair of blocks only if a prefix shingle,
-by the sizes of the texts that have it, lets it be similar to one of the other block.  So the cost
+texts to the same ones (by least hash), and a text is sent to a pair of blocks only if it has as many prefix shingles in
+common with one of the other block, or if a shingle of many texts, by their sizes, lets it be similar to one there.  So the cost
 goes with the candidates, not with the square of the family.  Within a pair of blocks a pair of texts needs as
 many common prefix shingles as the smaller l, then every such pair is verified, once; pairs are not
 written out: each text's number of links leaves, and a spanning set of the links, of which the
@@ -48,6 +50,10 @@ VERIFY = 8.0
 #: Estimated texts from which a prefix shingle is dealt to several tasks.
 SALT = 20_000
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Texts of similar size with a common prefix shingle up to which it is counted for each pair of them.
+PAIRS = 8
+#: Prefix shingles from which a text asks for l common ones before it is sent to another; a shorter one, which costs little, asks for one.
+COUNTED = 32
 #: Bits of the filter of the texts that may be similar to others, at most, and for each of them.
 FILTER_BITS, BITS_A_TEXT = 1 << 27, 16
 #: Bits of a vertex's number (tests lower them, so that sets collide).
@@ -122,7 +128,7 @@ def prefix(s: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int, int]:
     least = alpha(n)
     most = min(MOST, least)
     keys = ordered(s, ranks, n - least + most)
-    meets = np.cumsum(frequency(keys))
+    meets = np.cumsum(np.maximum(frequency(keys), 1.0))
     l, cost = 1, np.inf
     for k in range(1, most + 1):
         c = meets[n - least + k - 1] * (1 + VERIFY / (k * k))
@@ -196,40 +202,42 @@ def apart(described: DataFrame) -> tuple[DataFrame, DataFrame, Vertices]:
 
 
 def _postings(ranks, vertices: Vertices):
-    """Texts to (key, salt, n, v, small): a row for each prefix shingle of each vertex new to the task.
+    """Texts to (key, salt, n, v, l): a row for each prefix shingle of each vertex new to the task.
 
+    l, how many common ones the vertex needs, is negative where the shingle isn't in the prefix for sets that aren't smaller.
     Shingles of very many texts are dealt by size class (each text to its own and the next, so that
     texts of similar sizes meet in one) and, within it, by vertex.
     """
-    arrow = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("n", pa.int32()), ("v", pa.int64()), ("small", pa.bool_())])
+    arrow = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("n", pa.int32()), ("v", pa.int64()), ("l", pa.int8())])
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             for _, data, offsets in wh.chunks(b.column(0)):
-                keys, numbers, sizes, small, lengths = [], [], [], [], []
+                keys, numbers, sizes, needs, lengths = [], [], [], [], []
                 for _, s in shingle_sets(data, offsets):
                     v = vertices.number(s)
                     if v in seen:
                         continue
                     if len(seen) < SEEN:
                         seen.add(v)
-                    k, _, n_small = prefix(s, ranks.value)
+                    k, l, n_small = prefix(s, ranks.value)
                     keys.append(k)
                     numbers.append(v)
                     sizes.append(len(s))
                     lengths.append(len(k))
-                    small.append(np.arange(len(k)) < n_small)
+                    need = l if len(k) >= COUNTED else 1
+                    needs.append(np.where(np.arange(len(k)) < n_small, need, -need).astype(np.int8))
                 if not keys:
                     continue
-                k, v, n, few = np.concatenate(keys), np.repeat(np.array(numbers, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths), np.concatenate(small)
+                k, v, n, l = np.concatenate(keys), np.repeat(np.array(numbers, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths), np.concatenate(needs)
                 parts = shares(k, SALT)
                 many = parts > 1
                 salt = np.where(many, 1 + size_class(n) * parts + v % parts, 0)
                 again = np.flatnonzero(many)
                 at = np.concatenate([np.arange(len(k)), again])
                 salt = np.concatenate([salt, (salt + parts)[again]])
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)[at]), pa.array(salt.astype(np.int32)), pa.array(n[at].astype(np.int32)), pa.array(v[at]), pa.array(few[at])], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)[at]), pa.array(salt.astype(np.int32)), pa.array(n[at].astype(np.int32)), pa.array(v[at]), pa.array(l[at])], schema=arrow)
 
     return run
 
@@ -258,63 +266,91 @@ class Sets:
             self.above[max(x, y)] = min(x, y)
 
 
-def _meetings():
-    """Postings sorted by key, salt, n and v to (a, b, hot): vertices of a shared key, of about one size, each with the least of those that it is connected to in this task.
+def runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run, and the run of each row; new: whether a row begins one."""
+    start = np.flatnonzero(new)
+    return start, np.append(start[1:], len(new)), np.cumsum(new) - 1
 
-    A run of vertices by size is cut where the next is too large for any pair across; what no set has in
-    its prefix for sets that aren't smaller connects nothing.  For salted keys (hot) that is decided over
-    all tasks: the first vertex of each run is given with a number of the key and size class and whether
-    the run has such a set; if it hasn't, so are its other vertices.
+
+def pairs(run: np.ndarray, short: np.ndarray, n: np.ndarray, v: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows x and y, and how many common shingles they need, of each pair of different vertices of similar size in a short run.
+
+    x is the smaller one, by n and v, and has the shingle in its prefix for sets that aren't smaller (l > 0).
     """
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_()), ("small", pa.bool_())])
+    rows, found = np.flatnonzero(short[run]), []
+    for step in range(1, len(rows)):
+        x, y = rows[:-step], rows[step:]
+        some = run[x] == run[y]
+        if not some.any():
+            break
+        x, y = x[some], y[some]
+        turned = (n[x] > n[y]) | ((n[x] == n[y]) & (v[x] > v[y]))
+        x, y = np.where(turned, y, x), np.where(turned, x, y)
+        some = (l[x] > 0) & (v[x] != v[y]) & (100 * n[x] >= PERCENT * n[y])
+        found.append((x[some], y[some]))
+    x, y = (np.concatenate([np.zeros(0, np.int64), *f]) for f in (zip(*found, strict=True) if found else ((), ())))
+    return x, y, np.minimum(np.abs(l[x]), np.abs(l[y]))
 
-    def rows(a: list, b: list, hot: bool, small: list | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot)), pa.array(small or [True] * len(a), pa.bool_())], schema=arrow)
 
-    def run(batches):
-        key = salt = first = None
-        size, small, waiting, sets, hot, class_ = 0, False, [], Sets(), [], 0
+def _meetings():
+    """Postings sorted by key, salt, n and v to (a, b, kind, n).
 
-        def close() -> None:
-            if salt:
-                hot.extend((class_, x, small) for x in dict.fromkeys([first, *waiting]))
+    A run of vertices by size is cut where the next is too large for any pair across; what no set has in
+    its prefix for sets that aren't smaller connects nothing.  A short run gives its pairs: a and b, each time n, have that many
+    prefix shingles in common, and kind is how many they need.  A longer one gives (kind 0) each of its vertices
+    with the least of those that it is connected to in this task.  For salted keys that is decided over
+    all tasks: the first vertex b of each run is given with a number a of the key and size class, and as kind whether
+    the run has such a set (-1); if it hasn't (-2), so are its other vertices.
+    """
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int8()), ("n", pa.int32())])
+
+    def rows(a, b, kind) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kind, pa.int8()), pa.array(np.ones(len(a), np.int32))], schema=arrow)
+
+    def meet(new, key, salt, n, v, l, sets):
+        """Of whole runs."""
+        start, end, run = runs(new)
+        short = (end - start <= PAIRS) & (salt[start] == 0)
+        x, y, need = pairs(run, short, n, v, l)
+        if len(x):
+            yield rows(v[x], v[y], need)
+        hot = []
+        for a, z in zip(start[~short].tolist(), end[~short].tolist(), strict=True):
+            members, small = v[a:z].tolist(), bool((l[a:z] > 0).any())
+            if small:
+                for other in members[1:]:
+                    sets.join(other, members[0])
+            if salt[a]:
+                number = (int(salt[a]) - 1) // int(shares(key[a : a + 1].view(np.uint64), SALT)[0])
+                class_ = int(wh.mix(key[a : a + 1].view(np.uint64) + np.uint64(number)).view(np.int64)[0])
+                hot.extend((class_, x, -1 if small else -2) for x in (members[:1] if small else members))
+        if hot:
+            yield rows(*zip(*hot, strict=True))
 
+    def run(batches):
+        sets, rest = Sets(), None
         for b in batches:
-            keys, salts, n, v, s = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            if not len(keys):
+            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            columns[2] = columns[2].astype(np.int64)
+            columns = columns if rest is None else [np.concatenate(pair) for pair in zip(rest, columns, strict=True)]
+            key, salt, n, v, _ = columns
+            if not len(key):
                 continue
-            n = n.astype(np.int64)
-            new = np.concatenate([[key is None or keys[0] != key or salts[0] != salt or 100 * size < PERCENT * n[0]], (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1]) | (100 * n[:-1] < PERCENT * n[1:])])
-            starts = np.unique(np.concatenate([[0], np.flatnonzero(new)]))
-            ends = np.concatenate([starts[1:], [len(keys)]])
-            busy = (ends - starts > 1) | (salts[starts] > 0) | ~new[starts]
-            busy[-1] = True  # may go on in the next batch
-            for a, z in zip(starts[busy].tolist(), ends[busy].tolist(), strict=True):
-                if new[a]:
-                    close()
-                    key, salt, first, small, waiting = keys[a], salts[a], int(v[a]), False, []
-                    if salt:
-                        number = (int(salt) - 1) // int(shares(keys[a : a + 1].view(np.uint64), SALT)[0])
-                        class_ = int(wh.mix(keys[a : a + 1].view(np.uint64) + np.uint64(number)).view(np.int64)[0])
-                waiting += v[a:z].tolist()
-                small = small or bool(s[a:z].any())
-                if small:
-                    for x in waiting:
-                        if x != first:
-                            sets.join(x, first)
-                    waiting = []
-            size = n[-1]
-            if hot:
-                yield rows([x for x, _, _ in hot], [y for _, y, _ in hot], True, [z for _, _, z in hot])
-                hot.clear()
+            other = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+            again = ~other & np.concatenate([[False], v[1:] == v[:-1]])  # a vertex of several tasks
+            new = (other | np.concatenate([[False], 100 * n[:-1] < PERCENT * n[1:]]))[~again]
+            columns = [c[~again] for c in columns]
+            cut = int(np.flatnonzero(new)[-1])  # the last run may go on
+            if cut:
+                yield from meet(new[:cut], *(c[:cut] for c in columns), sets)
+            rest = [c[cut:] for c in columns]
             if len(sets.above) > CONNECTED:
-                yield rows(list(sets.above), [sets.find(x) for x in sets.above], False)
+                yield rows(list(sets.above), [sets.find(x) for x in sets.above], np.zeros(len(sets.above), np.int8))
                 sets = Sets()
-        close()
-        if hot:
-            yield rows([x for x, _, _ in hot], [y for _, y, _ in hot], True, [z for _, _, z in hot])
+        if rest is not None:
+            yield from meet(np.arange(len(rest[0])) == 0, *rest, sets)
         if sets.above:
-            yield rows(list(sets.above), [sets.find(x) for x in sets.above], False)
+            yield rows(list(sets.above), [sets.find(x) for x in sets.above], np.zeros(len(sets.above), np.int8))
 
     return run
 
@@ -476,53 +512,64 @@ def _texts(vertices: Vertices, filter_):
 
 
 def _block_postings(ranks, most: int):
-    """Texts of large families (block, v, text) to a row for each prefix shingle: key, part, block, n, small, v.
+    """Texts of large families (block, v, text) to a row for each prefix shingle: key, part, block, n, l (as in _postings), v.
 
     A shingle of very many texts is dealt to several parts, each text to one; in the others it is
     known, without v, by its block and size.
     """
-    arrow = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("small", pa.bool_()), ("v", pa.int64())])
+    arrow = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("l", pa.int8()), ("v", pa.int64())])
 
     def run(batches):
         for b in batches:
             blocks, numbers = b.column(0).to_numpy(), b.column(1).to_numpy()
             for low, data, offsets in wh.chunks(b.column(2)):
-                rows, keys, sizes, small = [], [], [], []
+                rows, keys, sizes, needs = [], [], [], []
                 for r, s in shingle_sets(data, offsets):
-                    k, _, n_small = prefix(s, ranks.value)
+                    k, l, n_small = prefix(s, ranks.value)
                     rows.append(low + r)
                     keys.append(k)
                     sizes.append(len(s))
-                    small.append(np.arange(len(k)) < n_small)
+                    need = l if len(k) >= COUNTED else 1
+                    needs.append(np.where(np.arange(len(k)) < n_small, need, -need).astype(np.int8))
                 if not rows:
                     continue
                 lengths, k = [len(x) for x in keys], np.concatenate(keys)
-                at, n, few, parts = np.repeat(rows, lengths), np.repeat(sizes, lengths), np.concatenate(small), shares(k, most)
+                at, n, l, parts = np.repeat(rows, lengths), np.repeat(sizes, lengths), np.concatenate(needs), shares(k, most)
                 home = numbers[at] % parts
                 for step in range(int(parts.max())):
                     some = np.flatnonzero(parts > step)
                     v = pa.array(numbers[at[some]], mask=np.full(len(some), step > 0))
-                    yield pa.RecordBatch.from_arrays([pa.array(k[some].view(np.int64)), pa.array((home[some] + step) % parts[some]), pa.array(blocks[at[some]]), pa.array(n[some]), pa.array(few[some]), v], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array(k[some].view(np.int64)), pa.array((home[some] + step) % parts[some]), pa.array(blocks[at[some]]), pa.array(n[some]), pa.array(l[some]), v], schema=arrow)
 
     return run
 
 
-def _visits(batches):
-    """Rows of _block_postings sorted by key, part and block to (p, q, v): v must visit the blocks p and q."""
-    arrow = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("v", pa.int64())])
+def _visits(most: int):
+    """Rows of _block_postings sorted by key, part, block and v to (p, q, v, w, need, times).
 
-    def meet(key, part, block, n, small, v, known):
-        """Of whole runs of one key and part: each row with v and each block of its run that may hold a similar text."""
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    v and w, each time, have that many prefix shingles in common, and must visit the blocks p and q if these are as many as they need.
+    """
+    arrow = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("need", pa.int8()), ("times", pa.int32())])
+
+    def rows(p, q, v, w, need) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (p, q, v, w, need.astype(np.int8), np.ones(len(p), np.int32))], schema=arrow)
+
+    def meet(key, part, block, n, l, v, known):
+        """Of whole runs of one key and part: the pairs of short ones; of the others each row with v and each block of its run that may hold a similar text."""
+        first, end, run = runs(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        short = (end - first <= PAIRS) & (shares(key[first].view(np.uint64), most) == 1)
+        x, y, need = pairs(run, short, n, v, l)
+        if len(x):
+            yield rows(np.minimum(block[x], block[y]), np.maximum(block[x], block[y]), v[x], v[y], need)
+        small, known = l > 0, known & ~short[run]
         at = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (block[1:] != block[:-1])]))
         texts, other = np.diff(np.append(at, len(key))), block[at]
         low, high = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)
         small_low, small_high = np.minimum.reduceat(np.where(small, n, 1 << 62), at), np.maximum.reduceat(np.where(small, n, -1), at)
         groups = np.bincount(run[at], minlength=len(first))
         start = np.cumsum(groups) - groups
-        rows = np.flatnonzero(known & ((groups > 1) | (texts[start] > 1))[run])
-        for some in np.split(rows, np.searchsorted(np.cumsum(groups[run[rows]]), np.arange(1 << 20, int(groups[run[rows]].sum()), 1 << 20))):
+        able = np.flatnonzero(known & ((groups > 1) | (texts[start] > 1))[run])
+        for some in np.split(able, np.searchsorted(np.cumsum(groups[run[able]]), np.arange(1 << 20, int(groups[run[able]].sum()), 1 << 20))):
             many = groups[run[some]]
             x = np.repeat(some, many)
             g = np.repeat(start[run[some]] - (np.cumsum(many) - many), many) + np.arange(len(x))
@@ -532,33 +579,39 @@ def _visits(batches):
             a, b, who = block[x[kept_]], other[g[kept_]], v[x[kept_]]
             found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), who], 1), axis=0)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)], schema=arrow)
-
-    rest = None
-    for b in batches:
-        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        columns += [b.column(5).fill_null(0).to_numpy(zero_copy_only=False), b.column(5).is_valid().to_numpy(zero_copy_only=False)]
-        columns = columns if rest is None else [np.concatenate(pair) for pair in zip(rest, columns, strict=True)]
-        if not len(columns[0]):
-            continue
-        last = len(columns[0]) - int(np.argmax((columns[0][::-1] != columns[0][-1]) | (columns[1][::-1] != columns[1][-1])))
-        whole = (columns[0][0] != columns[0][-1]) or (columns[1][0] != columns[1][-1])
-        cut = last if whole else 0  # the last run may go on
-        if cut:
-            yield from meet(*(c[:cut] for c in columns))
-        rest = [c[cut:] for c in columns]
-    if rest is not None:
-        yield from meet(*rest)
+                yield rows(*found.T, found[:, 2], np.zeros(len(found)))
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            columns += [b.column(5).fill_null(0).to_numpy(zero_copy_only=False), b.column(5).is_valid().to_numpy(zero_copy_only=False)]
+            columns = columns if rest is None else [np.concatenate(pair) for pair in zip(rest, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            last = len(columns[0]) - int(np.argmax((columns[0][::-1] != columns[0][-1]) | (columns[1][::-1] != columns[1][-1])))
+            whole = (columns[0][0] != columns[0][-1]) or (columns[1][0] != columns[1][-1])
+            cut = last if whole else 0  # the last run may go on
+            if cut:
+                yield from meet(*(c[:cut] for c in columns))
+            rest = [c[cut:] for c in columns]
+        if rest is not None:
+            yield from meet(*rest)
+
+    return run
 
 
 def visits(postings: DataFrame) -> DataFrame:
     """(p, q, v), once each: v must visit the blocks p and q, because it may be similar to a text of the one that it isn't in.
 
     Of two similar texts that have a prefix shingle in common, the one that isn't larger has it in its
-    prefix for sets that aren't smaller.  The texts of a shingle are summed up by block before they meet.
+    prefix for sets that aren't smaller.  The texts of a shingle that many have are summed up by block before they
+    meet; the others' pairs are counted.
     """
-    dealt = postings.repartition(partitions(postings.sparkSession), "key", "part").sortWithinPartitions("key", "part", "block")
-    return dealt.mapInArrow(_visits, "p long, q long, v long").distinct()
+    dealt = postings.repartition(partitions(postings.sparkSession), "key", "part").sortWithinPartitions("key", "part", "block", "v")
+    met = dealt.mapInArrow(_visits(SALT), "p long, q long, v long, w long, need byte, times int")
+    met = met.groupBy("p", "q", "v", "w", "need").agg(F.sum("times").alias("times")).filter("times >= need")
+    return met.select("p", "q", F.explode(F.array("v", "w")).alias("v")).distinct()
 
 
 def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
@@ -568,11 +621,12 @@ def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     ranks = spark.sparkContext.broadcast(count_cells(docs))
-    postings = docs.select("_text").mapInArrow(_postings(ranks, vertices), "key long, salt int, n int, v long, small boolean")
-    met = written(postings.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "n", "v").mapInArrow(_meetings(), "a long, b long, hot boolean, small boolean").distinct())
-    hot = met.filter("hot")
-    across = hot.join(hot.groupBy("a").agg(F.min("b").alias("least"), F.max("small").alias("any")).filter("any"), "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    families = components(met.filter("NOT hot").select("a", "b").unionByName(across))
+    postings = docs.select("_text").mapInArrow(_postings(ranks, vertices), "key long, salt int, n int, v long, l byte")
+    met = postings.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "n", "v").mapInArrow(_meetings(), "a long, b long, kind byte, n int")
+    met = written(met.groupBy("a", "b", "kind").agg(F.sum("n").alias("n")).filter("n >= kind"))
+    hot = met.filter("kind < 0")
+    across = hot.join(hot.groupBy("a").agg(F.min("b").alias("least"), F.max("kind").alias("most")).filter("most = -1"), "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    families = components(met.filter("kind >= 0").select("a", "b").unionByName(across))
     discard(met)
     members = written(families.join(sets, "v").select("v", F.col("label").alias("family"), F.col("n").alias("size"), "copies", "m"))
 
@@ -591,9 +645,11 @@ def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
     if not families.filter("pieces > 1").isEmpty():
         large = homes.filter("buckets > 1")
         # written, so that its size is known when it meets the texts, which are much larger
-        found = written(visits(large.select("block", "v", "text").mapInArrow(_block_postings(ranks, SALT), "key long, part long, block long, n long, small boolean, v long")))
+        found = written(visits(large.select("block", "v", "text").mapInArrow(_block_postings(ranks, SALT), "key long, part long, block long, n long, l byte, v long")))
         laid = laid.unionByName(found.join(large, "v").select("p", "q", "v", own, "copies", "text"))
-    return written(laid.repartition(n, "p", "q").sortWithinPartitions("p", "q").mapInArrow(_join(ranks), "a long, b long, n long"))
+    out = written(laid.repartition(n, "p", "q").sortWithinPartitions("p", "q").mapInArrow(_join(ranks), "a long, b long, n long"))
+    discard(homes, families)
+    return out
 
 
 def jaccard_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", with_links: bool = False, with_class: bool = False) -> DataFrame:

@@ -208,3 +208,37 @@ def test_the_filter_of_texts_only_spares_work(make, monkeypatch, bits):
     rows = corpus(12)
     got = jj.jaccard_components(make(rows)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("settings_", [{"PAIRS": 1}, {"PAIRS": 2, "SALT": 2, "BLOCK_TEXTS": 3}, {"PAIRS": 3, "BLOCK_TEXTS": 2}, {"PAIRS": 30, "BLOCK_TEXTS": 4, "SEEN": 2}])
+def test_pairs_that_are_counted_and_shingles_of_many_texts(make, monkeypatch, settings_):
+    for k, v in ({"COUNTED": 1} | settings_).items():
+        monkeypatch.setattr(jj, k, v)
+    rows = corpus(13) + [(700 + i, t) for i, (_, t) in enumerate(corpus(13, 4))]
+    got = jj.jaccard_components(make(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_a_shingle_common_by_chance_connects_nothing(make, monkeypatch):
+    """Long texts that share one sentence of five words each with the next; only two copies go to the join of whole texts."""
+    sent = []
+    plain = jj.member_filter
+    monkeypatch.setattr(jj, "member_filter", lambda members: sent.append(members.count()) or plain(members))
+    chance = lambda k: [f"c{k}x{j}" for j in range(5)]
+    rows = [(i, " ".join([*chance(i), *[f"own{i}x{k}" for k in range(150)], *chance(i + 1)])) for i in range(60)]
+    rows.append((99, rows[7][1] + " end"))
+    got = jj.jaccard_components(make(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert sent == [2]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from pathloom.llm.common import written
+
+    def shuffled():
+        return {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before = shuffled()
+    table = written(spark.range(10_000).selectExpr("id % 100 AS k", "id").repartition(5, "k").groupBy("k").count())
+    assert shuffled() <= before
+    assert table.count() == 100
