@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from pathloom.llm.common import arrow_schema, kept
+from pathloom.llm.common import arrow_schema, kept, lean
 
 LONG = 50_000
 GIANT = 2_000
@@ -131,7 +131,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
                     columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text")).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:

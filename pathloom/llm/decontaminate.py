@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from pathloom.llm import wordhash as wh
-from pathloom.llm.common import arrow_schema, kept, partitions, written
+from pathloom.llm.common import arrow_schema, kept, lean, partitions, written
 
 PASSAGE = 128
 K1, B = 1.2, 0.75
@@ -291,7 +291,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id"):
     spark = benchmark.sparkSession
     split = not {"question", "answer"} <= set(benchmark.columns)
     schema, describe = _described(benchmark.schema[id_col].dataType, split)
-    items = benchmark.select(F.col(id_col).alias("id"), *(["text"] if split else ["question", "answer"])).mapInArrow(describe, schema)
+    items = benchmark.select(F.col(id_col).alias("id"), *(["text"] if split else ["question", "answer"])).mapInArrow(lean(describe), schema)
     items = written(items.withColumn("key", F.monotonically_increasing_id()))
     total = items.agg(F.count("*").alias("n"), F.sum("n").alias("words")).first()
     if not total["words"]:
@@ -303,7 +303,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id"):
     df = terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     postings = terms.join(df, ["term", "salt"]).groupBy("key").agg(F.collect_list(F.struct("term", "tf", "df")).alias("postings"))
     made = items.select("key", "class", "shard", "id", "n", "question", "answer").join(postings, "key").select("class", "shard", "id", "n", "postings", "question", "answer")
-    made = made.repartition(partitions(spark), "class", "shard").sortWithinPartitions("class", "shard").mapInArrow(_build(total["n"], total["words"] / total["n"]), "class int, shard int, index binary")
+    made = made.repartition(partitions(spark), "class", "shard").sortWithinPartitions("class", "shard").mapInArrow(lean(_build(total["n"], total["words"] / total["n"])), "class int, shard int, index binary")
     held, size = [], 0
     for r in written(made).orderBy("class", "shard").toLocalIterator():
         if held and size + len(r["index"]) > BROADCAST:
@@ -345,7 +345,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
         if before is not None:  # a further pass: the one before is done and its shards are let go
             out = written(out)
             before.destroy()
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(lean(run), schema)
         out, before = (part if out is None else out.unionByName(part)), index
     return spark.createDataFrame([], schema) if out is None else out
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pathloom.llm import wordhash as wh
-from pathloom.llm.common import arrow_schema, discard, join_counted, kept, partitions, written
+from pathloom.llm.common import arrow_schema, discard, join_counted, kept, lean, partitions, written
 from pathloom.llm.graph import components
 
 SHINGLE = 5
@@ -163,7 +163,7 @@ def count_cells(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], schema=arrow)
 
     counts = np.zeros(CELLS, np.uint64)
-    for r in docs.select("_text").mapInArrow(count, schema).repartition(min(SLICES, partitions(docs.sparkSession)), "slice").mapInArrow(add, schema).collect():
+    for r in docs.select("_text").mapInArrow(lean(count), schema).repartition(min(SLICES, partitions(docs.sparkSession)), "slice").mapInArrow(lean(add), schema).collect():
         counts[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(zlib.decompress(r["cells"]), np.uint64)
     return np.round(16 * np.log2(1.0 + np.maximum(counts - counts.mean(), 0.0))).astype(np.uint16)
 
@@ -476,7 +476,7 @@ def member_filter(members: DataFrame) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=arrow)
 
     out, schema = np.zeros(bits // 8, np.uint8), "slice int, bits binary"
-    for r in members.select("v").mapInArrow(build, schema).repartition(min(SLICES, partitions(members.sparkSession)), "slice").mapInArrow(either, schema).collect():
+    for r in members.select("v").mapInArrow(lean(build), schema).repartition(min(SLICES, partitions(members.sparkSession)), "slice").mapInArrow(lean(either), schema).collect():
         size = len(out) // SLICES
         out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out
@@ -609,7 +609,7 @@ def visits(postings: DataFrame) -> DataFrame:
     meet; the others' pairs are counted.
     """
     dealt = postings.repartition(partitions(postings.sparkSession), "key", "part").sortWithinPartitions("key", "part", "block", "v")
-    met = dealt.mapInArrow(_visits(SALT), "p long, q long, v long, w long, need byte, times int")
+    met = dealt.mapInArrow(lean(_visits(SALT)), "p long, q long, v long, w long, need byte, times int")
     met = met.groupBy("p", "q", "v", "w", "need").agg(F.sum("times").alias("times")).filter("times >= need")
     return met.select("p", "q", F.explode(F.array("v", "w")).alias("v")).distinct()
 
@@ -621,8 +621,8 @@ def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     ranks = spark.sparkContext.broadcast(count_cells(docs))
-    postings = docs.select("_text").mapInArrow(_postings(ranks, vertices), "key long, salt int, n int, v long, l byte")
-    met = postings.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "n", "v").mapInArrow(_meetings(), "a long, b long, kind byte, n int")
+    postings = docs.select("_text").mapInArrow(lean(_postings(ranks, vertices)), "key long, salt int, n int, v long, l byte")
+    met = postings.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "n", "v").mapInArrow(lean(_meetings()), "a long, b long, kind byte, n int")
     met = written(met.groupBy("a", "b", "kind").agg(F.sum("n").alias("n")).filter("n >= kind"))
     hot = met.filter("kind < 0")
     across = hot.join(hot.groupBy("a").agg(F.min("b").alias("least"), F.max("kind").alias("most")).filter("most = -1"), "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -638,16 +638,16 @@ def links(docs: DataFrame, sets: DataFrame, vertices: Vertices) -> DataFrame:
     number = F.pmod(F.xxhash64("v"), F.col("pieces"))
     blocks = join_counted(placed, places, "place").select("v", "copies", "buckets", F.when(F.col("buckets") == 1, F.col("place.family")).otherwise(F.xxhash64("place", number)).alias("block"))
     through = spark.sparkContext.broadcast(member_filter(members))
-    homes = written(docs.select("_text").mapInArrow(_texts(vertices, through), "v long, text string").join(blocks, "v"))
+    homes = written(docs.select("_text").mapInArrow(lean(_texts(vertices, through)), "v long, text string").join(blocks, "v"))
     discard(members, placed, places)
     own = F.col("block").alias("own")
     laid = homes.filter("buckets = 1").select(F.col("block").alias("p"), F.col("block").alias("q"), "v", own, "copies", "text")
     if not families.filter("pieces > 1").isEmpty():
         large = homes.filter("buckets > 1")
         # written, so that its size is known when it meets the texts, which are much larger
-        found = written(visits(large.select("block", "v", "text").mapInArrow(_block_postings(ranks, SALT), "key long, part long, block long, n long, l byte, v long")))
+        found = written(visits(large.select("block", "v", "text").mapInArrow(lean(_block_postings(ranks, SALT)), "key long, part long, block long, n long, l byte, v long")))
         laid = laid.unionByName(found.join(large, "v").select("p", "q", "v", own, "copies", "text"))
-    out = written(laid.repartition(n, "p", "q").sortWithinPartitions("p", "q").mapInArrow(_join(ranks), "a long, b long, n long"))
+    out = written(laid.repartition(n, "p", "q").sortWithinPartitions("p", "q").mapInArrow(lean(_join(ranks)), "a long, b long, n long"))
     discard(homes, families)
     return out
 
@@ -664,7 +664,7 @@ def jaccard_components(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_
     source = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     names = [f"_k{i}" for i in range(len(keep))] + ["_id"]
     schema = StructType([StructField(x, kinds[c]) for x, c in zip(names, [*keep, id_col], strict=True)] + [StructField("n_shingles", LongType()), *[StructField(c, LongType()) for c in ("_v", "_u", "_m")]])
-    described = written(source.mapInArrow(_describe(len(names), arrow_schema(schema), Vertices()), schema))
+    described = written(source.mapInArrow(lean(_describe(len(names), arrow_schema(schema), Vertices())), schema))
     described, sets, vertices = apart(described)
     found = links(source, sets, vertices)
     labels = components(found)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
-from pathloom.llm.common import arrow_schema, by_text, join_counted, kept, packed, written
+from pathloom.llm.common import arrow_schema, by_text, join_counted, kept, lean, packed, written
 
 #: Owners from which a value is a widely copied example.
 WIDE = 3
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...], repo: Column, owner: Column, te
                 columns = [part.column(c) for c in names] + [pa.array(c, pa.int64()) for c in counts] + [pa.array(digests, pa.string()), pa.array(found, arrow.field("_found").type)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def labelled(scanned: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pathloom.llm.common import arrow_schema, kept, written
+from pathloom.llm.common import arrow_schema, kept, lean, written
 
 #: Labelled rows that train the model, at most.
 SAMPLE = 20_000
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col:
                 texts = part.column("_text").to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([list(words(t)) for t in texts], arrow.field(0).type), pa.array([figures(t) for t in texts], arrow.field(1).type), part.column("_fold"), *[part.column(c) for c in columns]], schema=arrow)
 
-    rows = written(rows.mapInArrow(featurise, schema))
+    rows = written(rows.mapInArrow(lean(featurise), schema))
     if rows.isEmpty():
         return Chain(names, {}, [np.concatenate([np.zeros(FIGURES + k), [-30.0]]).astype(np.float32) for k in range(len(names))])
     chosen_words = vocabularies(rows, columns)
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col:
             found = [sorted(vocabulary[w] for w in ws if w in vocabulary) for ws in b.column("_words").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, designed_arrow.field(0).type), *[b.column(f.name) for f in schema.fields[1:]]], schema=designed_arrow)
 
-    data = list(rows.mapInArrow(number, designed).orderBy(*columns, "_fold", F.col("_figures").cast("string"), F.col("c").cast("string")).toLocalIterator())
+    data = list(rows.mapInArrow(lean(number), designed).orderBy(*columns, "_fold", F.col("_figures").cast("string"), F.col("c").cast("string")).toLocalIterator())
     row = np.repeat(np.arange(len(data)), [len(r["c"]) for r in data])
     column = np.array([c for r in data for c in r["c"]], np.int64)
     x = Rows(row, column, len(vocabulary), np.array([[*r["_figures"], 1.0] for r in data]))
@@ -248,7 +248,7 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), te
                 columns = [part.column(i) for i in range(n)] + [pa.array([s[k] for s in scores], pa.float64()) for k in range(len(chain.categories))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text")).mapInArrow(lean(run), schema)
 
 
 #: The categories of the table labels, in chain order.
